@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import mixing, rules, tokens, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op6_quality_rules": rules.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
+    "op10_mixing": mixing.OP10_SQL,
+}
