@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, rules, tokens, warc
+from . import mixing, near, rules, tokens, warc
 
 QUERIES = {
+    "op1_near_duplicates": near.op1_near_duplicates,
     "op2_warc": warc.op2_warc,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_duplicates": near.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
