@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, near, rules, tokens, warc
+from . import mixing, near, rules, suffixes, tokens, warc
 
 QUERIES = {
     "op1_near_duplicates": near.op1_near_duplicates,
     "op2_warc": warc.op2_warc,
+    "op5_repeated_passages": suffixes.op5_repeated_passages,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
     "op10_mixing": mixing.op10_mixing,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_near_duplicates": near.OP1_SQL,
     "op2_warc": warc.OP2_SQL,
+    "op5_repeated_passages": suffixes.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
