@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near, rules, suffixes, tokens, warc
+from . import decontam, mixing, near, rules, suffixes, tokens, warc
 
 QUERIES = {
     "op1_near_duplicates": near.op1_near_duplicates,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_repeated_passages": suffixes.op5_repeated_passages,
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
+    "op8_decontamination": decontam.op8_decontamination,
     "op10_mixing": mixing.op10_mixing,
 }
 
