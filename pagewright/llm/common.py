@@ -171,3 +171,11 @@ def blocks_for(df: DataFrame, column: str = "text", mb: float = 24.0) -> int:
     """Blocks of about mb MB into which the texts of df go; one narrow aggregate."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return max(1, int(total / (mb * 1e6)) + 1)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nobody holds any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, near, rules, suffixes, tokens, warc
+from . import decontam, lm, mixing, near, rules, suffixes, tokens, warc
 
 QUERIES = {
     "op1_near_duplicates": near.op1_near_duplicates,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_quality_rules": rules.op6_quality_rules,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_quality_classifier": lm.op9_quality_classifier,
     "op10_mixing": mixing.op10_mixing,
 }
 
