@@ -2,7 +2,7 @@
 
 Rule statistics of a whole text come from one vectorised pass. The forest isolates rows
 by random splits of the statistics' ratios; a short mean path marks an anomaly. It is fitted on
-at most SAMPLE labelled rows of each label (a documented bound); the threshold comes from
+at most SAMPLE rows labelled good (a documented bound); the threshold comes from
 the scores of all labelled rows: the lowest at which at most MAX_LOSS of the rows labelled
 good fall above it. Without labelled rows nothing is anomalous.
 
@@ -93,9 +93,9 @@ def rule_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def ratios(x: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest splits on."""
+    """What the forest splits on: logarithms of ratios, so that large values don't stretch the range of splits."""
     n, chars = np.maximum(x["n_words"], 1), np.maximum(x["word_chars"], 1)
-    return np.stack([x["n_symbols"] / n, x["n_marks"] / n, x["n_dup_lines"] / np.maximum(x["n_lines"], 1), x["n_repeat_words"] / n, x["n_upper"] / chars], axis=1)
+    return np.log1p(100 * np.stack([x["n_symbols"] / n, x["n_marks"] / n, x["n_dup_lines"] / np.maximum(x["n_lines"], 1), x["n_repeat_words"] / n, x["n_upper"] / chars], axis=1))
 
 
 class Forest:
@@ -162,18 +162,13 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """
     stats = C.cut(rule_statistics(docs, key, text))
     known = stats.join(labels.select(F.col(key), F.col(label).alias("_label")).where(F.col("_label").isin(0, 1)).groupBy(key).agg(F.max("_label").alias("_label")), key)
-    rows = []
-    for value in (0, 1):  # at most `sample` rows of each label
-        rows += known.where((F.col("_label") == value) & (F.col("n_words") > 0)).orderBy(F.xxhash64(key), key).limit(sample).select(*COUNTS, "_label").collect()
+    good = known.where((F.col("_label") == 1) & (F.col("n_words") > 0)).orderBy(F.xxhash64(key), key).limit(sample).select(*COUNTS).collect()
     kinds = dict(stats.dtypes)
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", anomaly_score double"
-    good = [r for r in rows if r["_label"] == 1]
-    bad = [r for r in rows if r["_label"] == 0]
     if len(good) < 2:
         scored, threshold = stats.withColumn("anomaly_score", F.lit(0.0)), 1.0
     else:
-        seen = good + bad[: max(1, len(good) // 16)]  # anomalies are few among what trees see
-        forest = Forest(ratios({c: np.array([r[c] for r in seen], float) for c in COUNTS}))
+        forest = Forest(ratios({c: np.array([r[c] for r in good], float) for c in COUNTS}))
 
         def run(batches):
             for b in batches:
