@@ -1,10 +1,50 @@
-"""Stages from raw documents to a mixed training set."""
+"""Stages from raw documents to a mixed training set, each by an operator of pagewright.llm.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last
+return the columns of documents; the last gives each selected document with its place in the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pagewright.llm import decontam, lm, mixing, near, suffixes
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity their language's threshold allows."""
+    return lm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near duplicates (five words, 0.8)."""
+    return near.keep_one(docs, k=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words or more that an earlier document holds."""
+    return suffixes.remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with a benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents selected by the target weights, and how often each is taken."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixed),
+]
+
+#: The quality model and the tolerant overlaps can't be expressed in SQL; tests hold run() against plain versions.
 ORACLE_SQL = None
 
 
