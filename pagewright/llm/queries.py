@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, lm, mixing, near, rules, suffixes, tokens, toxicity, warc
+from . import decontam, lm, mixing, near, rules, suffixes, tokens, toxicity, warc, wrappers
 
 QUERIES = {
     "op1_near_duplicates": near.op1_near_duplicates,
     "op2_warc": warc.op2_warc,
+    "op3_main_text": wrappers.op3_main_text,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_repeated_passages": suffixes.op5_repeated_passages,
     "op6_quality_rules": rules.op6_quality_rules,
