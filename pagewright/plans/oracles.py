@@ -47,21 +47,21 @@ ORACLE_SQL = {
     "corner_radii": _E + "SELECT page_id, idx, greatest(0, least(floor(CASE idx % 5 WHEN 0 THEN 8 WHEN 1 THEN 0.5 * width WHEN 2 THEN 4 WHEN 3 THEN 0 ELSE 1000 END + 0.5), floor(width / 2)))::BIGINT AS rx, greatest(0, least(floor(CASE idx % 5 WHEN 0 THEN 8 WHEN 1 THEN 0.5 * height WHEN 2 THEN 20 * height / 100 WHEN 3 THEN 0 ELSE 1000 END + 0.5), floor(height / 2)))::BIGINT AS ry FROM el",
     "alpha_bbox": _E + ", p AS (SELECT page_id || '-' || idx AS item_id, kind, a.x, b.y, (a.x * 31 + b.y * 17 + idx + page_id * 7) % 80 AS alpha, CASE WHEN kind IN ('button', 'badge') THEN 56 ELSE 18 END AS least_alpha FROM ki, (SELECT unnest(range(0, 6)) AS x) a, (SELECT unnest(range(0, 5)) AS y) b WHERE idx % 10 = 0 AND idx < 400) SELECT item_id, kind, min(x) FILTER (alpha >= least_alpha) AS x0, min(y) FILTER (alpha >= least_alpha) AS y0, max(x) FILTER (alpha >= least_alpha) AS x1, max(y) FILTER (alpha >= least_alpha) AS y1 FROM p GROUP BY ALL HAVING max(alpha) >= 32",
     "select_listing": _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, area DESC, priority DESC, idx) AS reading FROM pr) SELECT page_id, reading, reading || '. [' || kind || '] ' || coalesce(nullif(label, ''), 'untitled') || ' (' || width || 'x' || height || '+' || x || '+' || y || ')' AS line FROM r",
-    "patch_selection": _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, area DESC, priority DESC, idx) AS reading FROM pr) SELECT page_id, c.i AS index, idx, kind, count(*) OVER (PARTITION BY page_id) AS total FROM r JOIN (VALUES (1, 3), (2, 1), (3, 7)) c(i, at_) ON r.reading = c.at_",
+    "patch_selection": _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, area DESC, priority DESC, idx) AS reading FROM pr) SELECT page_id, c.i::BIGINT AS index, idx, kind, count(*) OVER (PARTITION BY page_id) AS total FROM r JOIN (VALUES (1, 3), (2, 1), (3, 7)) c(i, at_) ON r.reading = c.at_",
     "site_manifest_totals": f"SELECT {_ORIGIN} AS origin, count(*) AS total, count(*) FILTER (html LIKE '%</html>%') AS succeeded, count(*) FILTER (html NOT LIKE '%</html>%') AS failed FROM pages GROUP BY ALL",
     "sitemap_pages": "WITH u AS (SELECT 'http://a.example/p' || (page_id % 40) AS url, min(page_id) AS first FROM pages GROUP BY ALL) SELECT row_number() OVER (ORDER BY first) AS ord, url FROM u ORDER BY first LIMIT 25",
-    "robots_sitemaps": f"SELECT page_id, unnest([0, 1, 2]) AS pos, unnest([{_ORIGIN} || '/sitemap.xml', 'http://s.example/' || page_id || '.xml', 'http://s.example/z.xml']) AS sitemap FROM pages",
+    "robots_sitemaps": f"SELECT page_id, unnest([0, 1, 2]::BIGINT[]) AS pos, unnest([{_ORIGIN} || '/sitemap.xml', 'http://s.example/' || page_id || '.xml', 'http://s.example/z.xml']) AS sitemap FROM pages",
     "scroll_positions": f"WITH {_PHASES}, st AS (SELECT page_id, m, plan, step FROM {_SCROLL}, (VALUES ('prime', 250), ('tile', 1000)) s(plan, step)), sv AS (SELECT page_id, plan, list_concat(list_filter(range(0, m + 1, step), lambda y: y = 0 OR y < m), CASE WHEN m > 0 THEN [m] ELSE [] END) AS v FROM st) SELECT page_id, 'phase' AS plan, pos, y FROM ph UNION ALL SELECT page_id, plan, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS y FROM sv",
     "frame_plan": f"WITH {_PHASES}, f AS (SELECT page_id, pos + 1 AS phase, y AS position, unnest(range(0, CASE WHEN pos = 0 THEN 11 ELSE 7 END)) AS frame FROM ph) SELECT page_id, phase, position, frame, frame * 180 AS elapsed_ms, printf('frame-%03d', row_number() OVER (PARTITION BY page_id ORDER BY phase, frame)) AS frame_id FROM f",
     "event_cap": "SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 40",
     "state_diff_join": f"WITH {_DIFF} SELECT event_id, after_id, changes FROM d",
     "timeline_summary": f"WITH {_DIFF} SELECT user_id, count(*) AS before_count, count(after_id) AS after_count, count(*) FILTER (changes <> '') AS changed, count(DISTINCT after_id) AS distinct_after FROM d GROUP BY user_id",
-    "animation_scores": _E + f", a AS (SELECT page_id, idx, idx % 9 = 0 AS active, {_pick(['none', 'spin'], 'idx + page_id')} AS an, {_pick(['none', 'all'], 'idx')} AS tr, idx % 3 AS du, {_pick(['none', 'none', 'scale(2)'], 'idx')} AS tf, {_pick(['1', '1', '0.5'], 'idx + 1')} AS op, {_pick(['auto', 'opacity', 'scale'], 'idx + page_id')} AS wc FROM el), s AS (SELECT page_id, idx, CASE WHEN active THEN 100 ELSE 0 END + CASE WHEN an <> 'none' THEN 60 ELSE 0 END + CASE WHEN tr <> 'none' AND du > 0 THEN 35 ELSE 0 END + CASE WHEN tf <> 'none' THEN 25 ELSE 0 END + CASE WHEN op <> '1' THEN 20 ELSE 0 END + CASE WHEN wc = 'opacity' THEN 12 ELSE 0 END AS score FROM a WHERE active OR (an <> 'none' AND du > 0) OR (tr <> 'none' AND du > 0) OR tf <> 'none' OR op <> '1' OR wc <> 'auto') SELECT * FROM (SELECT page_id, idx, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) AS rank FROM s) WHERE rank <= 12",
-    "state_candidates": _E + ", s AS (SELECT *, CASE WHEN expanded IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN selected IS NOT NULL THEN 12 ELSE 0 END + CASE WHEN aria_role IN ('tab', 'switch', 'checkbox') THEN 18 ELSE 0 END + CASE WHEN regexp_matches(lower(concat_ws(' ', label, kind, semantic_type, aria_role, '', class)), 'tab|menu|filter|dropdown|accordion|toggle|expand|more|open|faq|modal|drawer') THEN 16 ELSE 0 END + CASE WHEN semantic_type = 'navigation' THEN 6 ELSE 0 END AS score FROM pr) SELECT * FROM (SELECT page_id, idx, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, area DESC, idx) AS rank FROM s WHERE (list_contains(actions, 'click') OR list_contains(actions, 'toggle')) AND tag <> 'a' AND score > 0) WHERE rank <= 6",
+    "animation_scores": _E + f", a AS (SELECT page_id, idx, idx % 9 = 0 AS active, {_pick(['none', 'spin'], 'idx + page_id')} AS an, {_pick(['none', 'all'], 'idx')} AS tr, idx % 3 AS du, {_pick(['none', 'none', 'scale(2)'], 'idx')} AS tf, {_pick(['1', '1', '0.5'], 'idx + 1')} AS op, {_pick(['auto', 'opacity', 'scale'], 'idx + page_id')} AS wc FROM el), s AS (SELECT page_id, idx, CASE WHEN active THEN 100 ELSE 0 END + CASE WHEN an <> 'none' THEN 60 ELSE 0 END + CASE WHEN tr <> 'none' AND du > 0 THEN 35 ELSE 0 END + CASE WHEN tf <> 'none' THEN 25 ELSE 0 END + CASE WHEN op <> '1' THEN 20 ELSE 0 END + CASE WHEN wc = 'opacity' THEN 12 ELSE 0 END AS score FROM a WHERE active OR (an <> 'none' AND du > 0) OR (tr <> 'none' AND du > 0) OR tf <> 'none' OR op <> '1' OR wc <> 'auto') SELECT * FROM (SELECT page_id, idx, score::BIGINT AS score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) AS rank FROM s) WHERE rank <= 12",
+    "state_candidates": _E + ", s AS (SELECT *, CASE WHEN expanded IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN selected IS NOT NULL THEN 12 ELSE 0 END + CASE WHEN aria_role IN ('tab', 'switch', 'checkbox') THEN 18 ELSE 0 END + CASE WHEN regexp_matches(lower(concat_ws(' ', label, kind, semantic_type, aria_role, '', class)), 'tab|menu|filter|dropdown|accordion|toggle|expand|more|open|faq|modal|drawer') THEN 16 ELSE 0 END + CASE WHEN semantic_type = 'navigation' THEN 6 ELSE 0 END AS score FROM pr) SELECT * FROM (SELECT page_id, idx, score::BIGINT AS score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, area DESC, idx) AS rank FROM s WHERE (list_contains(actions, 'click') OR list_contains(actions, 'toggle')) AND tag <> 'a' AND score > 0) WHERE rank <= 6",
     "state_novelty": "WITH p AS (SELECT user_id, event_id, event_type || '|' || json_extract_string(props, '$.k') AS state FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, state ORDER BY event_id) AS r FROM p WHERE event_id % 10 <> 0 AND state <> 'click|1'), n AS (SELECT user_id, event_id, state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM f WHERE r = 1) SELECT user_id, event_id, state FROM n WHERE k <= 6",
-    "state_fingerprint": "SELECT page_id, 64 AS digest_chars, length(html) AS html_length FROM pages",
+    "state_fingerprint": "SELECT page_id, 64::BIGINT AS digest_chars, length(html) AS html_length FROM pages",
     "css_time_lists": "SELECT page_id, ([0.0, 150.0, 1000.0, 0.0, 0.0, 500.0, 2.0, 1520.0])[page_id % 8 + 1]::DOUBLE AS total_ms, ([1, 1, 2, 1, 1, 1, 1, 2])[page_id % 8 + 1]::BIGINT AS parts, page_id % 8 IN (1, 2, 5, 6, 7) AS moves FROM pages",
     "escapes": f"WITH r AS (SELECT page_id, url, 'a<b>\"&:' || {_SLUG} || '.x y' AS raw FROM pages) SELECT page_id, regexp_replace(raw, '([^a-zA-Z0-9_-])', '\\\\\\1', 'g') AS css, replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS html_text, 'a b ' || url AS normal FROM r",
-    "ax_tree": "SELECT page_id, page_id::VARCHAR AS node, 'link' AS role, 'n' || page_id AS name, 2 AS children, 1 AS properties FROM pages UNION ALL SELECT page_id, 'x', 'text', NULL, 0, 0 FROM pages",
+    "ax_tree": "SELECT page_id, page_id::VARCHAR AS node, 'link' AS role, 'n' || page_id AS name, 2::BIGINT AS children, 1::BIGINT AS properties FROM pages UNION ALL SELECT page_id, 'x', 'text', NULL, 0, 0 FROM pages",
     "output_paths": f"SELECT page_id, n.name, 'pages/page-' || printf('%03d-', page_id + 1) || {_SLUG} || '/screenshots/' || n.name || '.png' AS path FROM pages, (VALUES ('full-page'), ('viewport'), ('without-text'), ('with-text')) n(name)",
 }

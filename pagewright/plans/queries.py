@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -292,7 +294,18 @@ def descendant_counts(spark, sf):
     return dom.descendant_counts(e, F.col("tag").isin("a", "p", "h1"))
 
 
-QUERIES = {f.__name__: f for f in (
+def _wide(query):
+    """The query with whole numbers as BIGINT."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = query(spark, sf)
+        return df.withColumns({c: F.col(c).cast("bigint") for c, kind in df.dtypes if kind == "int"})
+
+    return run
+
+
+QUERIES = {f.__name__: _wide(f) for f in (
     page_kind_counts, page_title, page_url_normalized, page_slug, page_fingerprint, crawl_default_pages, page_links, link_targets_distinct, dom_summary_counts, dom_headings, dom_landmarks,
     replay_snapshot, aria_roles, element_actions, element_semantic_types, element_blocks, element_priority_topk, element_dedupe_greedy, element_reading_order, page_manifest, paint_and_visibility,
     sibling_rank, crop_rects, corner_radii, alpha_bbox, select_listing, patch_selection, site_manifest_totals, bfs_crawl, sitemap_pages, robots_sitemaps, scroll_positions, frame_plan, event_cap,
