@@ -21,15 +21,16 @@ def bfs(edges: DataFrame, seeds: DataFrame, most: int, depth: int = 50) -> DataF
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
     level = seeds.groupBy("node").agg(F.min("ord").alias("ord")).orderBy("ord").limit(most)
     level = level.select("node", F.row_number().over(W.orderBy("ord")).alias("ord")).checkpoint()
-    seen = level
+    seen, n = level, level.count()
     for _ in range(depth):
-        room = most - seen.count()
+        room = most - n
         if room <= 0:
             break
         found = level.select(F.col("node").alias("src"), F.col("ord").alias("parent")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("parent", "ord")).alias("at"))
         found = found.join(seen, "node", "left_anti").orderBy("at").limit(room)
-        level = found.select("node", (F.row_number().over(W.orderBy("at")) + F.lit(most - room)).alias("ord")).checkpoint()
-        if not level.head(1):
+        level = found.select("node", (F.row_number().over(W.orderBy("at")) + F.lit(n)).alias("ord")).checkpoint()
+        more = level.count()
+        if not more:
             break
-        seen = seen.unionByName(level).checkpoint()
+        seen, n = seen.unionByName(level), n + more
     return seen
