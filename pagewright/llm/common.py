@@ -8,8 +8,10 @@ n items: n * n / 2**65).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -174,8 +176,8 @@ def blocks_for(df: DataFrame, column: str = "text", mb: float = 24.0) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nobody holds any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nobody holds any more; their cleaner needs two collections."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
