@@ -35,7 +35,7 @@ from . import common as C
 from .graph import components
 
 #: Tokens that a task takes together; of a block or bucket; classes of a tile.
-UNIT, BLOCK, TILE = 2_000_000, 2_000_000, 1024
+UNIT, BLOCK, TILE = 500_000, 1_200_000, 1024
 MOST_MATCHES = 4
 SKETCH_BITS = 18
 TOKEN = C.U((1 << 48) - 1)
