@@ -194,7 +194,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     The dictionary is trained on at most DICTIONARY_ROWS pages; every page is written.
     """
-    rows = pages.where("html IS NOT NULL").select(F.substring("html", 1, 16384).alias("html")).orderBy(F.xxhash64("html")).limit(DICTIONARY_ROWS).collect()
+    rows = pages.where("html IS NOT NULL").select(F.substring("html", 1, 16384).alias("html")).limit(DICTIONARY_ROWS).collect()
     samples = [record_bytes(0, "http://example.org/", "response", None, p, sha1_header(p), len(p)) for p in (r.html.encode() for r in rows)]
     dictionary = train(samples)
     data = folder.rstrip("/") + "/data"
