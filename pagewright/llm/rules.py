@@ -126,11 +126,15 @@ class Forest:
             at, x, depth = work.pop()
             low, high = (x.min(0), x.max(0)) if len(x) else (np.zeros(1), np.zeros(1))
             open_ = np.flatnonzero(high > low)
-            if depth >= self.depth or len(x) < 2 or not len(open_):
+            if depth >= self.depth or len(x) < 2:
                 nodes[at] = [-1, 0.0, at, depth + self._unsplit(len(x))]
                 continue
-            f = int(rng.choice(open_))
-            cut = rng.uniform(low[f], high[f])
+            if len(open_):
+                f = int(rng.choice(open_))
+                cut = rng.uniform(low[f], high[f])
+            else:  # rows that are all alike: a cut above them parts off what no row has shown
+                f = int(rng.integers(len(high)))
+                cut = high[f] + rng.uniform(0, 1)
             left = len(nodes)
             nodes += [[0, 0.0, 0, 0.0], [0, 0.0, 0, 0.0]]
             nodes[at] = [f, cut, left, 0.0]
