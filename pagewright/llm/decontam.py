@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks choose 8 of 12 word positions; a hash of the chosen words is equal even if
-ignored ones were replaced. Items and documents are hashed under every mask. A bitmap of
+Fixed masks choose 7 of up to 12 word positions; a hash of the chosen words is equal even if
+ignored ones were replaced. Every stretch that the verification accepts holds all chosen words of some mask
+somewhere, so none is missed. Items and documents are hashed under every mask. A bitmap of
 fixed size over the items' hashes, which is shipped to every task, lets pass few other hashes; what
 passes is joined with the items' hashes, and each (document, item, offset) that they meet at is
 verified word by word: the longest stretch in which at least SHARE percent of the words
 are equal, beginning and ending with an equal word. A document is contaminated by an item
 if that stretch has MIN_WORDS words, or for a shorter item if it covers the item. Items of fewer
-words than a mask are hashed whole, by their own length.
+words than MIN_WORDS have masks of their own length, which leave out what may be replaced.
 
 Words are runs of other than ASCII punctuation and white space in the lower-cased text. Null or
 empty texts and items have no words and meet nothing. Rows without doc_id aren't reported;
@@ -24,8 +25,23 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MASKS = ("110101101101", "101101011011", "111100001111", "110011110011", "011011011010")
-SPAN, MIN_WORDS, SHARE = 12, 12, 80
+#: Every row of 12 or more words with at least SHARE percent equal holds the ones of one of these, whatever words differ.
+MASKS = ("110101111", "111100010011", "11101100101", "100001110111", "1111100101", "110101000111", "111011011")
+#: Masks of items of fewer words: for each choice of words that may differ (the ends must not) one that leaves them out.
+SHORT = {
+    1: ("1",),
+    2: ("11",),
+    3: ("111",),
+    4: ("1111",),
+    5: ("10111", "11011", "11101"),
+    6: ("101111", "110111", "111011", "111101"),
+    7: ("1011111", "1101111", "1110111", "1111011", "1111101"),
+    8: ("10101111", "11011011", "11110101"),
+    9: ("101111011", "110111101", "111001111", "111010111"),
+    10: ("1000111111", "1010101111", "1011010111", "1011111001", "1100111101", "1101010111", "1101101011", "1110011011", "1110100111", "1111001101", "1111110001"),
+    11: ("10011011101", "10101010111", "10110011011", "10111000111", "11001101011", "11010110011", "11100110101", "11110101001"),
+}
+MIN_WORDS, SHARE = 12, 80
 #: Bits of the bitmap: 2 MB whatever the benchmark's size; a large benchmark only lets more pass.
 BITS = 24
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -58,10 +74,6 @@ def seeds(p: C.Piece, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, C.mix(h[at])
 
 
-def _masks(shorter: list[int]) -> list[str]:
-    return [*MASKS, *("1" * n for n in shorter)]
-
-
 def stretch(equal: np.ndarray, share: int = SHARE) -> tuple[int, int]:
     """(start, end) of the longest stretch with at least share percent equal that begins and ends with an equal one."""
     score = np.concatenate([[0], np.cumsum(np.where(equal, 100 - share, -share))])
@@ -86,19 +98,20 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         for b in batches:
             for p in C.pieces(_clean(b.column(0)), hashes=False):
                 n = np.unique(np.diff(p.word_of))
-                yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < SPAN)], pa.int32())], names=["n"])
+                yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < MIN_WORDS)], pa.int32())], names=["n"])
 
-    shorter = sorted(r.n for r in named.select("t").mapInArrow(lengths, "n int").distinct().collect())  # fewer than SPAN rows
-    masks = _masks(shorter)
+    shorter = sorted(r.n for r in named.select("t").mapInArrow(lengths, "n int").distinct().collect())  # fewer than MIN_WORDS rows
+    masks = [(m, 0) for m in MASKS] + [(m, n) for n in shorter for m in SHORT[n]]  # 0: of items of MIN_WORDS and more
+    asked = sorted({m for m, _ in masks})
 
     def of_items(batches):
         for b in batches:
             for p in C.pieces(_clean(b.column(1))):
                 size = np.diff(p.word_of)
-                for m in masks:
+                for m, n in masks:
                     at, h = seeds(p, m)
                     owner = np.searchsorted(p.word_of, at, "right") - 1
-                    ok = (size[owner] >= SPAN) if len(m) == SPAN else (size[owner] == len(m))
+                    ok = size[owner] == n if n else size[owner] >= MIN_WORDS
                     at, h, owner = at[ok], h[ok], owner[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), b.column(0).take(pa.array(owner + p.first)), pa.array(at - p.word_of[owner], pa.int32())], names=["seed", "item", "item_at"])
 
@@ -118,7 +131,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         for b in batches:
             for p in C.pieces(_clean(b.column(1))):
                 found = []
-                for m in masks:
+                for m in asked:
                     at, h = seeds(p, m)
                     ok = passes(h)
                     found.append((at[ok], h[ok]))

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -56,3 +57,48 @@ def test_stretch():
         ok = [j - i for i in range(len(e)) for j in range(i + 1, len(e) + 1) if e[i] and e[j - 1] and 100 * e[i:j].sum() >= D.SHARE * (j - i)]
         assert z - a == max(ok, default=0)
         assert z == a or (e[a] and e[z - 1] and 100 * e[a:z].sum() >= D.SHARE * (z - a))
+
+
+def spots(n, mask):
+    return [sum(1 << (i + s) for i, c in enumerate(mask) if c == "1") for s in range(n - len(mask) + 1)]
+
+
+def test_masks_meet_all_that_verify_accepts():
+    for n in range(1, 24):
+        places = [x for m in (D.SHORT[n] if n < D.MIN_WORDS else D.MASKS) for x in spots(n, m)]
+        for gone in itertools.combinations(range(1, n - 1), n * (100 - D.SHARE) // 100):
+            left = (1 << n) - 1 - sum(1 << i for i in gone)
+            assert any(x & left == x for x in places), (n, gone)
+
+
+def test_masks_meet_long_stretches():
+    """Best score (1 an equal word, -4 another; 0 is SHARE percent) of rows without any mask: below 0 from 12 to 23 words, so for all longer ones, being made of such."""
+    span, whole = max(map(len, D.MASKS)), [int(m, 2) for m in D.MASKS]
+    best = {(0, 0): 0}
+    for n in range(1, 2 * D.MIN_WORDS):
+        new = {}
+        for (row, size), score in best.items():
+            for equal in (0, 1):
+                x = (row << 1 | equal) & ((1 << span) - 1)
+                if not any(x & w == w for w in whole):
+                    at = x & ((1 << (span - 1)) - 1), min(size + 1, span)
+                    new[at] = max(new.get(at, -999), score + (1 if equal else -4))
+        best = new
+        assert n < D.MIN_WORDS or max(best.values()) < 0
+
+
+def test_replaced_words_are_found(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(8))
+    items, docs = [], []
+    for n in (5, 7, 10, 11, 12, 13, 15, 16, 18, 20, 25):
+        for _ in range(30):
+            item = [word() for _ in range(n)]
+            part = list(item)
+            for i in r.sample(range(1, n - 1), n // 5):
+                part[i] = word()
+            items.append(" ".join(item))
+            docs.append(" ".join([word() for _ in range(r.randrange(9))] + part + [word() for _ in range(r.randrange(9))]))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in D.contaminated(d, b).collect()) == [(i, i) for i in range(len(docs))]
