@@ -6,8 +6,8 @@ matching (the largest ordered matching of equal labels); a wrapper node counts t
 was met in and the texts it held most. Each task induces wrappers of the hosts it sees over all
 its pages; wrappers of a host are then merged by the same matching, first within salted groups, so no task
 holds a host's pages. A node whose text is the same in most pages of a host is template; slots whose text varies are content.
-The content root is the article or main element, or else the least subtree with most of the varying text; below it,
-parts whose tag or class say so (menus, footers, adverts, forms, comments and the like) are left out.
+The content root is the article or main element (all of them that stand at its place in the wrapper), or else the whole page without
+its template; below it, parts whose tag or class say so (menus, footers, adverts, forms, comments and the like) are left out.
 
 The html is read whole; character references are decoded, white space inside a block becomes one blank, blocks are joined
 in page order by two line breaks. A null or empty html, and a page without content, give ''. Pages
@@ -245,11 +245,8 @@ def _mass(w: list) -> int:
     return w[3] + sum(_mass(k) for k in w[4] if not _skipped(k[0]))
 
 
-def content_path(w: list) -> tuple[list[str], bool]:
-    """Labels from the root of a wrapper down to its content root, and whether that is an article or main element.
-
-    That element with most text, if one is there; else the least subtree with most of the text that varies.
-    """
+def content_path(w: list) -> list[str]:
+    """Labels from the root of a wrapper down to the article or main element with most text; empty without one."""
     pages, found = w[1], []
 
     def search(at, path):
@@ -261,17 +258,7 @@ def content_path(w: list) -> tuple[list[str], bool]:
                     search(k, [*path, k[0]])
 
     search(w, [])
-    if found:
-        return max(found, key=lambda f: f[:2])[2], True
-    path, at = [], w
-    total = varying(w, pages)
-    while total:
-        inner = [k for k in at[4] if not _skipped(k[0]) and k[4] and varying(k, pages) >= 0.7 * total]
-        if not inner:
-            break
-        at = max(inner, key=lambda k: varying(k, pages))
-        path.append(at[0])
-    return path, False
+    return max(found, key=lambda f: f[:2])[2] if found else []
 
 
 def _blocks(node: Node, inside: bool, drop: set[int], out: list[str]) -> None:
@@ -302,8 +289,14 @@ def _walk(node: Node):
             yield from _walk(k)
 
 
-def _length(node: Node) -> int:
-    return len(node.text) if node.text is not None else sum(_length(k) for k in node.kids if not k.skip)
+def _roots(node: Node):
+    """Outermost article and main elements."""
+    for k in node.kids:
+        if k.text is None and not k.skip:
+            if _semantic(k.label):
+                yield k
+            else:
+                yield from _roots(k)
 
 
 def extract(page: str | None, wrapper: list | None) -> str:
@@ -311,22 +304,22 @@ def extract(page: str | None, wrapper: list | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    at, drop = root, set()
+    at, drop = [root], set()
     wrapper = wrapper or wrap(fold(root))
-    path, whole = content_path(wrapper)
+    path = content_path(wrapper)
     for label in path:
-        step = [k for k in at.kids if k.text is None and k.label == label]
+        step = [k for x in at for k in x.kids if k.text is None and k.label == label]
         if not step:
             break
-        at = max(step, key=_length)
-    if whole and (at is root or not _semantic(at.label)):  # the page isn't built like its host's others
-        own = [x for x in _walk(root) if x.text is None and _semantic(x.label)]
-        at = max(own, key=_length, default=root)
-    if not _semantic(at.label):
+        at = step
+    if not _semantic(at[0].label):  # the host has no article, or the page isn't built like its host's others
+        at = (list(_roots(root)) if path else []) or [root]
+    if at[0] is root:
         _drop(root, wrapper, wrapper[1], drop)
-    for start, gone in ((at, drop), (root, drop), (root, set())):
+    for starts, gone in ((at, drop), ([root], drop), ([root], set())):
         out = []
-        _blocks(start, _semantic(start.label), gone, out)
+        for x in starts:
+            _blocks(x, _semantic(x.label), gone, out)
         if out:
             return "\n\n".join(out)
     return ""

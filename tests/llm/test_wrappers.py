@@ -65,3 +65,31 @@ def test_broken_pages():
         X.extract(p, None)
     assert X.extract("<nav>menu<article>text</article>", None) == "text"
     assert X.extract("<p>" + "long " * 50000, None) == ("long " * 50000).strip()
+
+
+def wrapper_of(pages):
+    out = None
+    for p in pages:
+        w = X.wrap(X.fold(X.parse(p)))
+        out = w if out is None else X.prune(X.merge(out, w))
+    return out
+
+
+def test_all_varying_slots_are_kept():
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(["oak", "elm", "ash", "fir"]) for _ in range(n))
+    bodies, want = [], []
+    for _ in range(12):
+        title, lead, one, two = text(4), text(8), text(60), text(40)
+        bodies.append(page(1, f"<div class=bar>Same words</div><div class=page><div class=head><h1>{title}</h1><p>{lead}</p></div><div class=text><p>{one}</p><div>{two}</div></div></div>"))
+        want.append(f"{title}\n\n{lead}\n\n{one}\n\n{two}")
+    w = wrapper_of(bodies)
+    assert [X.extract(b, w) for b in bodies] == want
+
+
+def test_alike_siblings_are_kept():
+    for tag in ("div class=content", "article", "article class=part"):
+        end = tag.split()[0]
+        two = [page(i, f"<div class=page><{tag}><h2>a {i}</h2><p>first of {i}</p></{end}><{tag}><h2>b {i}</h2><p>second and longer of {i}</p></{end}></div>") for i in range(8)]
+        w = wrapper_of(two)
+        assert [X.extract(p, w) for p in two] == [f"a {i}\n\nfirst of {i}\n\nb {i}\n\nsecond and longer of {i}" for i in range(8)]
