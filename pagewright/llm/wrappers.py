@@ -40,7 +40,7 @@ FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
-#: Texts whose counts a wrapper node keeps; pages from which rare nodes are left out of a wrapper, and their share.
+#: Texts whose counts a wrapper node keeps; pages from which nodes that are rare since they entered are left out of a wrapper, and their share.
 TEXTS, MANY, RARE = 3, 400, 0.005
 DEEP = 200
 
@@ -160,7 +160,7 @@ def fold(node: Node) -> list:
 
 
 def wrap(tree: list) -> list:
-    """A wrapper of one page: [label, pages, {text hash: pages}, characters of text, children]."""
+    """A wrapper of one page: [label, pages, {text hash: pages}, characters of text, children], from merges on with the pages that may have had the node before it entered."""
     texts = tree[1]
     return [tree[0], 1, {zlib.crc32("\n".join(texts).encode("utf-8", "surrogatepass")): 1} if texts else {}, sum(map(len, texts)) if texts else 0, [wrap(k) for k in tree[2]]]
 
@@ -194,28 +194,44 @@ def match(a: list, b: list) -> tuple[int, list]:
     return 1 + best[m][n], pairs[::-1]
 
 
-def merge(a: list, b: list) -> list:
-    """One wrapper of what two have seen; children of either without partner keep their place."""
+def _missed(w: list) -> float:
+    return w[5] if len(w) > 5 else 0
+
+
+def _gone(w: list) -> float:
+    """At most so many pages of a host's wrapper have had a node that it doesn't hold."""
+    return RARE * w[1] if w[1] >= MANY else 0
+
+
+def _late(w: list, gone: float) -> list:
+    return [*w[:4], [_late(k, gone) for k in w[4]], _missed(w) + gone] if gone else w
+
+
+def merge(a: list, b: list, gone: tuple[float, float] | None = None) -> list:
+    """One wrapper of what two have seen; children of either without partner keep their place.
+
+    gone: how many pages of a and of b may have had a node that was pruned there.
+    """
+    gone = (_gone(a), _gone(b)) if gone is None else gone
     texts = dict(a[2])
     for k, v in b[2].items():
         texts[k] = texts.get(k, 0) + v
     texts = dict(sorted(texts.items(), key=lambda kv: (-kv[1], kv[0]))[:TEXTS])
     kids, i, j = [], 0, 0
     for p, q in [*match(a, b)[1], (len(a[4]), len(b[4]))]:
-        kids += a[4][i:p] + b[4][j:q]
+        kids += [_late(k, gone[1]) for k in a[4][i:p]] + [_late(k, gone[0]) for k in b[4][j:q]]
         if p < len(a[4]):
-            kids.append(merge(a[4][p], b[4][q]))
+            kids.append(merge(a[4][p], b[4][q], gone))
         i, j = p + 1, q + 1
-    pages = a[1] + b[1]
-    return [a[0], pages, texts, a[3] + b[3], kids]
+    return [a[0], a[1] + b[1], texts, a[3] + b[3], kids, _missed(a) + _missed(b)]
 
 
 def prune(w: list, pages: int | None = None) -> list:
-    """w without nodes that few of many pages have; such nodes count as met by none."""
+    """w without nodes that few of many pages have, those before a node entered left aside (lossy counting); such nodes count as met by none."""
     pages = w[1] if pages is None else pages
     if pages < MANY:
         return w
-    return [*w[:4], [prune(k, pages) for k in w[4] if k[1] >= RARE * pages]]
+    return [*w[:4], [prune(k, pages) for k in w[4] if k[1] + _missed(k) >= RARE * pages], _missed(w)]
 
 
 def _template(w: list, pages: int) -> bool:

@@ -93,3 +93,19 @@ def test_alike_siblings_are_kept():
         two = [page(i, f"<div class=page><{tag}><h2>a {i}</h2><p>first of {i}</p></{end}><{tag}><h2>b {i}</h2><p>second and longer of {i}</p></{end}></div>") for i in range(8)]
         w = wrapper_of(two)
         assert [X.extract(p, w) for p in two] == [f"a {i}\n\nfirst of {i}\n\nb {i}\n\nsecond and longer of {i}" for i in range(8)]
+
+
+def test_late_layouts_are_learned():
+    old = [page(i, f"<div class=page><p>old {i}</p></div>") for i in range(500)]
+    new = [page(i, f"<section class=body><div class=box>Constant words</div><p>text {i}</p><p>more {i}</p></section>") for i in range(1500)]
+    w = wrapper_of(old + new)
+    assert [k[1] for k in w[4] if k[0] == "section|class=body"] == [1500]
+    assert X.extract(new[7], w) == "text 7\n\nmore 7"
+    early, late = wrapper_of(old), wrapper_of(new[:450])
+    both = X.prune(X.merge(early, late))
+    assert {k[0]: k[1] for k in both[4]}["section|class=body"] == 450 and {k[0]: k[1] for k in both[4]}["div|class=page"] == 500
+
+
+def test_wrappers_stay_bounded():
+    w = wrapper_of([page(i, f"<div class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x><p>text {i}</p></div><div class=all>{i}</div>") for i in range(1500)])
+    assert w[1] == 1500 and len(w[4]) <= 2 / X.RARE and max(k[1] for k in w[4]) == 1500
