@@ -10,7 +10,9 @@ and sums their logarithms over each text.
 
 Trusted are the rows that `labels` calls good; one fifth of them (by a hash of the key) isn't
 trained on, and its perplexities give each language's threshold, the QUANTILE of them.
-A language with fewer than FEW such rows takes the quantile over all; without any the threshold is infinite.
+A language with fewer than FEW such rows takes the highest of that, of the QUANTILE of all its trusted rows and of the
+quantile over all languages, so it is never held below what its own trusted rows show; without any trusted rows its
+threshold is infinite.
 
 A null or empty text has no perplexity and is not kept. A null key is never trusted; rows with
 equal keys share their label. A null language counts as ''. Columns but key, text and lang are not looked at.
@@ -207,10 +209,12 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     held = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0
     scored = C.written(perplexities(docs, good.where(~held), key, text, lang), "perplexity")
     C.release(spark)
-    sample = scored.join(good.where(held), key).where("perplexity IS NOT NULL")
-    by = sample.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("_own"), F.count("*").alias("_n")).where(F.col("_n") >= FEW).drop("_n")
-    every = sample.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
-    threshold = F.coalesce("_own", F.lit(float("inf") if every is None else float(every)))
+    sample = scored.join(good.withColumn("_held", held), key).where("perplexity IS NOT NULL")
+    at = lambda x: F.percentile_approx(x, quantile, 10000)
+    by = sample.groupBy(F.col("lang").alias("_lang")).agg(at(F.when(F.col("_held"), F.col("perplexity"))).alias("_own"), F.count_if("_held").alias("_n"), at("perplexity").alias("_all"))
+    every = sample.where("_held").agg(at("perplexity")).first()[0]
+    few = F.greatest("_own", "_all", F.lit(float("inf") if every is None else float(every)))
+    threshold = F.when(F.col("_lang").isNull(), F.lit(float("inf"))).when(F.col("_n") >= FEW, F.col("_own")).otherwise(few)
     out = scored.join(by, F.col("lang") == F.col("_lang"), "left").withColumn("threshold", threshold)
     return out.select(key, "lang", "n_chars", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
 

@@ -73,3 +73,17 @@ def test_judged(spark):
     assert stay.columns == docs.columns and stay.count() == sum(x.kept or x.doc_id is None for x in out)
     assert lm.judged(docs.limit(0), labels).count() == 0
     assert all(x.kept for x in lm.judged(docs.where("doc_id < 5"), labels.limit(0)).collect())
+
+
+def test_languages_with_few_trusted_rows(spark):
+    r = random.Random(5)
+    some = lambda words, n: " ".join(r.choice(words) for _ in range(n))
+    rare = ["".join(r.choice("αβγδεζηθικλμ") for _ in range(5)) for _ in range(400)]
+    none = ["".join(r.choice("бвгджзклмнпр") for _ in range(5)) for _ in range(400)]
+    rows = [(i, some(["the", "then", "and", "hand", "sand"], 40), "en") for i in range(300)]
+    rows += [(1000 + i, some(rare, 30), "el") for i in range(30)] + [(2000 + i, some(none, 30), "ru") for i in range(30)] + [(3000, None, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in [*range(250), *range(1000, 1012)]], "doc_id long, quality int")
+    out = {x.doc_id: x for x in lm.judged(docs, labels).collect()}
+    assert all(out[2000 + i].kept for i in range(30)) and not out[3000].kept
+    assert all(out[1000 + i].kept for i in range(12)) and all(out[1000 + i].threshold > out[0].threshold for i in range(30))
