@@ -209,13 +209,13 @@ def _sketch(docs: DataFrame, k: int, text: str, lower: bool) -> np.ndarray:
 
 
 def prefix(n: int, token: np.ndarray, percent: int, sketch: np.ndarray) -> tuple[int, np.ndarray]:
-    """l, and for each of the shared tokens of a set in order the least l whose prefix holds it."""
+    """l, at most as many tokens as any set that links with this one shares, and for each of the shared tokens of a set in order the least l whose prefix holds it."""
     at = np.arange(n - len(token), n) - (n + (-percent * n) // 100)
     level = np.maximum(at, 1) if len(at) else at
     level = np.where(at < 1, 1, at + 1)
     df = sketch[(token >> C.U(48 - SKETCH_BITS)).astype(np.int64)] + 2.0
     cost = []
-    for l in range(1, MOST_MATCHES + 1):
+    for l in range(1, max(1, min(MOST_MATCHES, -(-percent * n // 100))) + 1):
         read = df[level <= l].sum()
         cost.append(read + 20.0 * read / l**2)
     return int(np.argmin(cost)) + 1, level

@@ -82,3 +82,11 @@ def test_prefix_levels():
     l, level = near.prefix(20, t, 85, np.zeros(1 << near.SKETCH_BITS, np.int64))
     assert len(level) == 10 and level[0] == 8 and level[-1] == 17 and near.prefix_of_one(20, t, 85) == slice(0, 0)
     assert near.prefix(10, t, 85, np.zeros(1 << near.SKETCH_BITS, np.int64))[1].tolist() == [1, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("percent", [50, 60])
+def test_short_texts_at_low_thresholds(spark, percent):
+    texts = ["a b c d", "a b c d e", "a b c", "f g h i j k", "f g h i", "l m", "l m n", "o p q r", "o p q s"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, near.near_groups(df, 1, percent).collect())) == brute(texts, 1, percent)
+    assert sorted(map(tuple, near.near_groups(df, 2, percent).collect())) == brute(texts, 2, percent)
