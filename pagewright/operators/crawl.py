@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, most: int, depth: int = 50) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """node and ord (from 1) of the first `most` nodes in the order of a first-in-first-out crawl.
 
     edges: (src, ord, dst); seeds: (node, ord). Order by level, place of the parent and place of the link in it
@@ -22,10 +22,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, most: int, depth: int = 50) -> DataF
     level = seeds.groupBy("node").agg(F.min("ord").alias("ord")).orderBy("ord").limit(most)
     level = level.select("node", F.row_number().over(W.orderBy("ord")).alias("ord")).checkpoint()
     seen, n = level, level.count()
-    for _ in range(depth):
+    while n < most:
         room = most - n
-        if room <= 0:
-            break
         found = level.select(F.col("node").alias("src"), F.col("ord").alias("parent")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("parent", "ord")).alias("at"))
         found = found.join(seen, "node", "left_anti").orderBy("at").limit(room)
         level = found.select("node", (F.row_number().over(W.orderBy("at")) + F.lit(n)).alias("ord")).checkpoint()

@@ -54,6 +54,12 @@ def test_crawl_is_a_queue(spark, seed):
         assert got == fifo(edges, [0, 7], most)
 
 
+def test_bfs_of_a_long_row(spark):
+    edges = [(i, 0, i + 1) for i in range(60)]
+    got = crawl.bfs(spark.createDataFrame(edges, "src int, ord int, dst int"), spark.createDataFrame([(0, 0)], "node int, ord int"), 100)
+    assert [x.node for x in got.orderBy("ord").collect()] == list(range(61))
+
+
 def test_novel_states(spark):
     r = random.Random(3)
     rows = [(u, i, r.choice("abcdefg"), r.random() < 0.8) for u in range(4) for i in range(25)]
