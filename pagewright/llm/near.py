@@ -3,22 +3,21 @@
 A document's set holds the hashes of its distinct k-word shingles. Documents with equal
 sets form one class; the join is over classes, so copies never meet each other. Steps:
 
-1. Shingles that only one class has can't be shared. They are found by dealing each task's
-   shingles, counted there first, to buckets by hash; a shingle that a task sees in two or
-   more of its documents doesn't need that and goes straight to its classes, so a passage
-   that a third of all rows share is no hot key.
-2. Only a class whose shared shingles make up the threshold's part of its set can link.
-3. In such a class shared shingles are ordered, rarest first, by a count sketch of fixed
-   size. Its prefix for l matches is the first n - ceil(t n) + l ones, those that nobody
-   shares coming first. l is chosen by estimated cost: the postings that the prefix would
-   read, and the candidates that are left when l of them must agree.
-4. Classes that share a token of their shortest prefix, directly or through others, are brought
-   together once; there a pair is a candidate if it shares as many tokens of both prefixes
-   as the smaller of their two l, and is then verified over the whole sets. Large sets of
-   candidates are cut into tiles, each pair of tiles a group of bounded size. A group
-   returns a spanning forest of its links, not all pairs.
-
-Every pair at or over the threshold is found: the filters are exact bounds. A null or empty
+1. Texts are shingled once; sets are written to the shared folder and read from there.
+2. Shingles of a class are ordered, rarest first, by a count sketch of fixed size. Two classes
+   that link share at least l of the first n - ceil(t n) + l of each, for every l. Each class
+   has an l of its own: a longer prefix costs postings, a shorter one candidates, and what
+   both cost is estimated from the sketch. A pair has to share as many tokens of both
+   prefixes as the smaller of its two l says.
+3. The postings of these prefixes are joined by token. Every token's list first meets only its
+   pivot, the class of the list whose prefix has most shared tokens; pairs that reach their l are verified
+   over the whole sets, and classes that link with a pivot take its label. Then what has another label than the pivot
+   meets the rest of the list that has not its own label: shared tokens of each such pair are counted, and
+   those that reach their l are verified. So members of a cluster meet its
+   pivot, not each other, and no pair of different labels is left out.
+4. Labels that a link joins form components.
+
+Every pair at or over the threshold is found or joined through others: the filters are exact bounds. A null or empty
 text has an empty set and is linked with nothing. Repeated doc_ids share the fate of the row they
 repeat if the texts agree, else each row is its own node with the same id. A null doc_id has
 a component only if its class holds a doc_id. Columns but the key and the text are not looked at.
@@ -34,13 +33,13 @@ from pyspark.sql import functions as F
 from . import common as C
 from .graph import components
 
-#: Tokens that a task takes together; of a block or bucket; classes of a tile.
-UNIT, BLOCK, TILE = 500_000, 1_200_000, 1024
-MOST_MATCHES = 4
+#: Tokens that a task takes together when it counts repeats.
+UNIT = 500_000
+#: Values of l that are tried.
+MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
+#: What verifying a candidate costs, in postings.
+VERIFY = 4.0
 SKETCH_BITS = 18
-TOKEN = C.U((1 << 48) - 1)
-BLOB = "block int, cls binary, n binary, cnt binary, tok binary"
-_BLOB = pa.schema([("block", pa.int32()), ("cls", pa.binary()), ("n", pa.binary()), ("cnt", pa.binary()), ("tok", pa.binary())])
 
 
 def sets(p: C.Piece, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,49 +70,6 @@ def sets(p: C.Piece, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, first, sig
 
 
-def classes(docs: DataFrame, k: int, key: str, text: str, lower: bool) -> DataFrame:
-    """key, n_shingles and cls (null for an empty set) of every row."""
-    kind = docs.select(key).schema[0].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            parts = [sets(p, k)[1:] for p in C.pieces(b.column(1), lower)]
-            if parts:
-                sig = np.concatenate([s for _, s in parts])
-                n = np.concatenate([np.diff(f) for f, _ in parts])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig.view(np.int64), pa.int64(), mask=sig == 0)], names=[key, "n_shingles", "cls"])
-
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_shingles long, cls long")
-
-
-def _units(batches, k: int, lower: bool):
-    """(class of each token, its size, token) of the distinct classes of about UNIT tokens at a time, with how often each token occurs among them."""
-    held, size = [], 0
-    for b in batches:
-        for p in C.pieces(b.column(0), lower):
-            held.append(sets(p, k))
-            size += len(held[-1][0])
-            if size >= UNIT:
-                yield _unit(held)
-                held, size = [], 0
-    if size:
-        yield _unit(held)
-
-
-def _unit(held):
-    sig = np.concatenate([s for _, _, s in held])
-    n = np.concatenate([np.diff(f) for _, f, _ in held])
-    token = np.concatenate([t for t, _, _ in held])
-    _, one = np.unique(sig, return_index=True)
-    keep = np.zeros(len(sig), bool)
-    keep[one] = True
-    keep &= sig != 0
-    mask = np.repeat(keep, n)
-    token = token[mask] & TOKEN
-    _, back, count = np.unique(token, return_inverse=True, return_counts=True)
-    return np.repeat(sig[keep], n[keep]), np.repeat(n[keep], n[keep]), token, count[back]
-
-
 def _pack(token: np.ndarray) -> bytes:
     return np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -124,222 +80,172 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _blobs(block: np.ndarray, cls: np.ndarray, n: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
-    """One row for each block, with its classes and their tokens."""
-    order = np.lexsort((cls, block))
-    block, cls, n, token = block[order], cls[order], n[order], token[order]
-    cuts = np.flatnonzero(np.diff(block)) + 1
-    rows = {c: [] for c in _BLOB.names}
-    for lo, hi in zip([0, *cuts], [*cuts, len(block)]):
-        if lo == hi:
-            continue
-        at = np.flatnonzero(np.append(True, cls[lo + 1 : hi] != cls[lo : hi - 1]))
-        rows["block"].append(int(block[lo]))
-        rows["cls"].append(cls[lo:hi][at].tobytes())
-        rows["n"].append(n[lo:hi][at].astype(np.int32).tobytes())
-        rows["cnt"].append(np.diff(np.append(at, hi - lo)).astype(np.int32).tobytes())
-        rows["tok"].append(_pack(token[lo:hi]))
-    return C.batch(_BLOB, **rows)
-
-
-def _unblob(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    join = lambda c, f: np.concatenate([f(x) for x in t.column(c).to_pylist()])
-    cnt = join("cnt", lambda x: np.frombuffer(x, np.int32))
-    return np.repeat(join("cls", lambda x: np.frombuffer(x, C.U)), cnt), np.repeat(join("n", lambda x: np.frombuffer(x, np.int32)), cnt), join("tok", _unpack)
-
-
-def _eligible(docs: DataFrame, k: int, percent: int, text: str, lower: bool, blocks: int, sketch: np.ndarray) -> DataFrame:
-    """cls, n and its shared tokens, rarest first, of classes that can have a link."""
-    texts = docs.select(text)
-
-    def singles(batches):
-        for cls, n, token, count in _units(batches, k, lower):
-            one = count == 1
-            known = np.unique(token[~one])
-            cls = np.concatenate([cls[one], np.zeros(len(known), C.U)])
-            n, token = np.concatenate([n[one], np.zeros(len(known), n.dtype)]), np.concatenate([token[one], known])
-            yield _blobs((token % C.U(blocks)).astype(np.int32), cls, n, token)
-
-    def repeated(batches):
-        for cls, n, token, count in _units(batches, k, lower):
-            more = count > 1
-            if more.any():
-                yield _blobs((C.mix(cls[more]) % C.U(blocks)).astype(np.int32), cls[more], n[more], token[more])
-
-    def bucket(t: pa.Table) -> pa.Table:
-        cls, n, token = _unblob(t)
-        order = np.argsort(token, kind="stable")
-        cls, n, token = cls[order], n[order], token[order]
-        at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        shared = np.minimum.reduceat(cls, at) != np.maximum.reduceat(cls, at)
-        keep = np.repeat(shared, np.diff(np.append(at, len(token)))) & (cls != 0)
-        if not keep.any():
-            return _BLOB.empty_table()
-        return pa.Table.from_batches([_blobs((C.mix(cls[keep]) % C.U(blocks)).astype(np.int32), cls[keep], n[keep], token[keep])])
-
-    found = texts.mapInArrow(singles, BLOB).groupBy("block").applyInArrow(bucket, BLOB)
-
-    def block(t: pa.Table) -> pa.Table:
-        cls, n, token = _unblob(t)
-        order = np.lexsort((token, sketch[(token >> C.U(48 - SKETCH_BITS)).astype(np.int64)], cls))
-        cls, n, token = cls[order], n[order], token[order]
-        new = np.append(True, (cls[1:] != cls[:-1]) | (token[1:] != token[:-1]))
-        cls, n, token = cls[new], n[new], token[new]
-        at = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
-        end = np.append(at[1:], len(cls))
-        ok = np.flatnonzero(100 * (end - at) >= percent * n[at])
-        return pa.table({"cls": cls[at[ok]].view(np.int64), "n": pa.array(n[at[ok]], pa.int32()), "tok": pa.array([_pack(token[at[i] : end[i]]) for i in ok], pa.binary())})
-
-    return found.unionByName(texts.mapInArrow(repeated, BLOB)).groupBy("block").applyInArrow(block, "cls long, n int, tok binary")
-
-
-def _sketch(docs: DataFrame, k: int, text: str, lower: bool) -> np.ndarray:
-    """Counts of repeated tokens by their first SKETCH_BITS bits: an array of fixed size."""
+def shingled(docs: DataFrame, k: int, key: str, text: str, lower: bool) -> DataFrame:
+    """id, n, cls (null for an empty set) and tok of every row; tok (sorted tokens of 6 bytes) only where a batch first meets the class."""
+    kind = docs.select(key).schema[0].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            seen: set[int] = {0}
+            for p in C.pieces(b.column(1), lower):
+                token, first, sig = sets(p, k)
+                body = _pack(token >> C.U(16))
+                toks = []
+                for s, lo, hi in zip(sig.tolist(), first[:-1].tolist(), first[1:].tolist()):
+                    toks.append(None if s in seen else body[6 * lo : 6 * hi])
+                    seen.add(s)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(p.first, p.n), pa.array(np.diff(first), pa.int32()), pa.array(sig.view(np.int64), pa.int64(), mask=sig == 0), pa.array(toks, pa.binary())], names=["id", "n", "cls", "tok"])
+
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, n int, cls long, tok binary")
+
+
+def _sketch(held: DataFrame) -> np.ndarray:
+    """Counts of tokens that repeat within a task's units, by their first SKETCH_BITS bits: an array of fixed size."""
 
     def run(batches):
-        for _, _, token, count in _units(batches, k, lower):
-            many = np.bincount((token[count > 1] >> C.U(48 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            at = np.flatnonzero(many)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(many[at], pa.int64())], names=["cell", "count"])
+        out = np.zeros(1 << SKETCH_BITS, np.int64)
+        toks, size = [], 0
+
+        def count():
+            token, n = np.unique(_unpack(b"".join(toks)), return_counts=True)
+            np.add.at(out, (token[n > 1] >> C.U(48 - SKETCH_BITS)).astype(np.int64), n[n > 1])
 
-    t = docs.select(text).mapInArrow(run, "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                toks.append(t)
+                size += len(t)
+                if size >= 6 * UNIT:
+                    count()
+                    toks, size = [], 0
+        if toks:
+            count()
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at], pa.int64())], names=["cell", "count"])
+
+    t = held.where("tok IS NOT NULL").select("tok").mapInArrow(run, "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[t.column("cell").to_numpy()] = t.column("count").to_numpy()
     return out
 
 
-def prefix(n: int, token: np.ndarray, percent: int, sketch: np.ndarray) -> tuple[int, np.ndarray]:
-    """l, at most as many tokens as any set that links with this one shares, and for each of the shared tokens of a set in order the least l whose prefix holds it."""
-    at = np.arange(n - len(token), n) - (n + (-percent * n) // 100)
-    level = np.maximum(at, 1) if len(at) else at
-    level = np.where(at < 1, 1, at + 1)
-    df = sketch[(token >> C.U(48 - SKETCH_BITS)).astype(np.int64)] + 2.0
-    cost = []
-    for l in range(1, max(1, min(MOST_MATCHES, -(-percent * n // 100))) + 1):
-        read = df[level <= l].sum()
-        cost.append(read + 20.0 * read / l**2)
-    return int(np.argmin(cost)) + 1, level
-
-
-def links(n: np.ndarray, tokens: list[np.ndarray], percent: int, sketch: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between some sets; side: only links between 0 and 1 matter."""
-    m = len(n)
-    chosen = [prefix(int(n[i]), tokens[i], percent, sketch) for i in range(m)]
-    l = np.array([c[0] for c in chosen])
-    row = np.repeat(np.arange(m), [len(t) for t in tokens])
-    token, level = np.concatenate(tokens), np.concatenate([c[1] for c in chosen])
-    _, back, count = np.unique(token, return_inverse=True, return_counts=True)
-    met = count[back] > 1
-    row, level = row[met], level[met]
-    _, column = np.unique(back[met], return_inverse=True)
-
-    def shared(mask):
-        """How many of the masked tokens each pair has in common."""
-        out = np.zeros((m, m), np.float32)
-        cols, new = np.unique(column[mask], return_inverse=True)
-        r = row[mask]
-        order = np.argsort(new, kind="stable")
-        new, r = new[order], r[order]
-        for lo in range(0, len(cols), 4096):
-            a, b = np.searchsorted(new, (lo, lo + 4096))
-            x = np.zeros((m, min(4096, len(cols) - lo)), np.float32)
-            x[r[a:b], new[a:b] - lo] = 1
-            out += x @ x.T
-        return out
-
-    size = n.astype(np.float64)
-    candidate = 100 * np.minimum.outer(size, size) >= percent * np.maximum.outer(size, size)
-    need = np.minimum.outer(l, l)
-    agree = np.zeros((m, m), bool)
-    for x in np.unique(l):
-        agree |= (need == x) & (shared(level <= x) >= x)
-    candidate &= agree
-    np.fill_diagonal(candidate, False)
-    if side is not None:
-        candidate &= side[:, None] != side[None, :]
-    if not candidate.any():
-        return []
-    both = shared(np.ones(len(row), bool))
-    linked = candidate & (100 * both >= percent * (np.add.outer(size, size) - both))
-    out, seen = [], np.zeros(m, bool)
-    for i in range(m):
-        if seen[i]:
-            continue
-        seen[i] = True
-        front = np.array([i])
-        while len(front):
-            reach = np.flatnonzero(linked[front].any(0) & ~seen)
-            seen[reach] = True
-            out += [(i, int(j)) for j in reach]
-            front = reach
-    return out
+def prefixes(n: np.ndarray, token: np.ndarray, percent: int, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """l of each set, and the tokens of its prefix for l matches with the set each belongs to; n: sizes of the sets, whose tokens follow each other."""
+    first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    seen = sketch[(token >> C.U(48 - SKETCH_BITS)).astype(np.int64)]
+    order = np.lexsort((token, seen, row))
+    token = token[order]
+    met = np.concatenate([[0], np.cumsum(seen[order])]).astype(float)
+    overlap = -(-percent * n // 100)  # at least what a linking set shares
+    best, l = np.full(len(n), np.inf), np.ones(len(n), np.int64)
+    for x in (m for m in MATCHES if m <= most):
+        size = n - overlap + x
+        cost = np.where(x <= overlap, size + VERIFY * (met[np.minimum(first[:-1] + size, first[1:])] - met[first[:-1]]) / x**2, np.inf)
+        l = np.where(cost < best, x, l)
+        best = np.minimum(best, cost)
+    inside = np.arange(len(token)) - first[row] < (n - overlap + l)[row]
+    return l, token[inside], row[inside]
+
+
+def postings(held: DataFrame, percent: int, sketch: np.ndarray, most: int) -> DataFrame:
+    """token, cls, n, l and weight of every token in a class's prefix that another class's prefix holds too; weight: how many of such tokens the class has, as part of its prefix."""
+
+    def run(batches):
+        for b in batches:
+            cls, n, toks = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_pylist()
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + UNIT, "right")))
+                l, token, row = prefixes(n[at:to], _unpack(b"".join(toks[at:to])), percent, sketch, most)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(cls[at:to][row], pa.int64()), pa.array(n[at:to][row], pa.int32()), pa.array(l[row], pa.int32())], names=["token", "cls", "n", "l"])
+                at = to
+
+    every = held.where("tok IS NOT NULL").select("cls", "n", "tok").mapInArrow(run, "token long, cls long, n int, l int")
+    met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
+    shared = C.written(every.join(met, "token").distinct(), "postings")
+    size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("l")
+    weight = shared.groupBy("cls").agg(F.count("*").alias("hits"))
+    return shared.join(weight, "cls").withColumn("weight", F.col("hits") / size).drop("hits")
+
+
+def to_pivots(p: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of each token's pivot a with the others of its list."""
+    pivot = p.groupBy("token").agg(F.max(F.struct("weight", "cls", "n", "l")).alias("pivot"))
+    pairs = p.join(pivot, "token").where("cls <> pivot.cls").where(_sizes("n", "pivot.n", percent))
+    return pairs.groupBy(F.col("pivot.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l", "pivot.l")).alias("need")).where("met >= need").select("a", "b")
+
+
+def to_others(p: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) with different labels and their labels (u, v): all that the pivots' labels don't join."""
+    named = C.written(p.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    lists = named.groupBy("token").agg(F.max(F.struct("weight", "cls", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", F.col("top.label").alias("top"))
+    left = named.join(lists, "token").select("token", "cls", "n", "l", "label", (F.col("label") != F.col("top")).alias("minor"))
+    a, b = left.where("minor").alias("a"), left.alias("b")
+    pairs = a.join(b, F.col("a.token") == F.col("b.token")).where("a.label <> b.label AND (NOT b.minor OR a.cls < b.cls)").where(_sizes("a.n", "b.n", percent))
+    low, high = F.least("a.cls", "b.cls"), F.greatest("a.cls", "b.cls")
+    u = F.when(F.col("a.cls") < F.col("b.cls"), F.col("a.label")).otherwise(F.col("b.label"))
+    v = F.when(F.col("a.cls") < F.col("b.cls"), F.col("b.label")).otherwise(F.col("a.label"))
+    met = pairs.groupBy(low.alias("a"), high.alias("b")).agg(F.count("*").alias("met"), F.first(F.least("a.l", "b.l")).alias("need"), F.first(u).alias("u"), F.first(v).alias("v"))
+    return met.where("met >= need").select("a", "b", "u", "v")
+
+
+def _sizes(x: str, y: str, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs (a, b and more) whose whole sets link; tokens: cls and tok of every class."""
+    one, two = (tokens.select(F.col("cls").alias(c), F.col("tok").alias(f"tok_{c}")) for c in "ab")
+    both = pairs.join(one, "a").join(two, "b").select(*pairs.columns, "tok_a", "tok_b")
+    names, wide = pairs.columns, len(pairs.columns)
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(wide).to_pylist(), b.column(wide + 1).to_pylist()):
+                x, y = _unpack(x), _unpack(y)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(b.columns[:wide], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema)
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", lower: bool = True) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", lower: bool = True, most: int = MATCHES[-1]) -> DataFrame:
     """key, n_shingles and component_id (least key that links lead to) of every row.
 
-    Two sets link when 100 * size of intersection >= percent * size of union.
+    Two sets link when 100 * size of intersection >= percent * size of union. most: the largest l.
     """
-    spark = docs.sparkSession
-    rows = C.cut(classes(docs, k, key, text, lower))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK))
-    sketch = _sketch(docs, k, text, lower)
-    able = C.written(_eligible(docs, k, percent, text, lower, blocks, sketch), "near")
-
-    def first_prefix(batches):
-        for b in batches:
-            n, toks = b.column(1).to_pylist(), [_unpack(x) for x in b.column(2).to_pylist()]
-            keep = [t[prefix_of_one(s, t, percent)] for s, t in zip(n, toks)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in keep]), pa.int64()), pa.array(np.concatenate(keep).view(np.int64), pa.int64())], names=["cls", "token"])
-
-    posting = able.mapInArrow(first_prefix, "cls long, token long")
-    heads = posting.groupBy("token").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last").drop("last")
-    met = components(posting.join(heads, "token").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v")))
-    met = C.cut(met)
-    sizes = met.groupBy("root").agg(F.count("*").alias("m"))
-    groups = max(1, -(-able.count() // 1000))
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    placed = able.join(met, able.cls == met.node).join(sizes, "root").withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    low, high = F.least("tile", "other"), F.greatest("tile", "other")
-    where = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("root"), F.lit(groups)).cast("string")).otherwise(F.concat_ws(":", F.col("root").cast("string"), low, high))
-    placed = placed.select(where.alias("place"), "root", "cls", "n", "tok", F.when(low == high, None).otherwise((F.col("tile") == high).cast("int")).alias("side"), (F.col("tiles") > 1).alias("split"))
-
-    def verify(t: pa.Table) -> pa.Table:
-        root, cls, n = (t.column(c).to_numpy() for c in ("root", "cls", "n"))
-        toks, side, split = t.column("tok").to_pylist(), t.column("side").to_pylist(), t.column("split")[0].as_py()
-        order = np.argsort(root, kind="stable")
-        cuts = np.flatnonzero(np.diff(root[order])) + 1
-        u, v = [], []
-        for part in np.split(order, cuts):
-            if len(part) < 2:
-                continue
-            s = None if side[part[0]] is None else np.array([side[i] for i in part])
-            for a, b in links(n[part], [_unpack(toks[i]) for i in part], percent, sketch, s):
-                u.append(cls[part[a]])
-                v.append(cls[part[b]])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "split": pa.array([split] * len(u), pa.bool_())})
-
-    forest = C.cut(placed.groupBy("place").applyInArrow(verify, "u long, v long, split boolean"))
-    whole = forest.where("NOT split").select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(forest.where("NOT split").select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-    member = whole.unionByName(components(forest.where("split").select("u", "v")))
-    first = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(key).alias("_first"))
-    grouped = first.join(member, first.cls == member.node, "left").withColumn("_root", F.coalesce("root", "cls")).select("cls", "_root", "_first")
-    least = grouped.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    ids = grouped.join(least, "_root").select(F.col("cls").alias("_cls"), "component_id")
-    return rows.join(ids, rows.cls == F.col("_cls"), "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
-
-
-def prefix_of_one(n: int, token: np.ndarray, percent: int) -> slice:
-    """The shared tokens in the shortest prefix of a set."""
-    return slice(0, max(0, n + (-percent * n) // 100 + 1 - (n - len(token))))
+    held = C.written(shingled(docs, k, key, text, lower), "sets")
+    rows = held.select("id", "n", "cls")
+    p = C.written(postings(held, percent, _sketch(held), most), "prefixes")
+    tokens = C.written(held.where("tok IS NOT NULL").select("cls", "tok").join(p.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "tokens")
+    star = C.cut(verified(C.cut(to_pivots(p, percent)), tokens, percent))
+    pivots = star.select("a").distinct()
+    labels = star.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label")).join(pivots, F.col("cls") == F.col("a"), "left_anti").unionByName(pivots.select(F.col("a").alias("cls"), F.col("a").alias("label")))
+    labels = C.cut(labels)
+    more = verified(C.cut(to_others(p, labels, percent)), tokens, percent).select("u", "v")
+    across = star.join(labels, F.col("b") == F.col("cls")).where("a <> label").select(F.col("a").alias("u"), F.col("label").alias("v"))
+    joined = components(more.unionByName(across))
+    roots = labels.join(joined, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("root", "label").alias("root"))
+    alone = joined.join(labels, F.col("node") == F.col("cls"), "left_anti").select(F.col("node").alias("cls"), "root")
+    member = roots.unionByName(alone).withColumnRenamed("cls", "node")
+    first = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("id").alias("first"))
+    grouped = first.join(member, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "first")
+    least = grouped.groupBy("root").agg(F.min("first").alias("component"))
+    ids = grouped.join(least, "root").select(F.col("cls").alias("class"), "component")
+    out = rows.join(ids, F.col("cls") == F.col("class"), "left")
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the members of a group other than the one with the least key; rows without key stay."""
-    out = near_groups(docs, k, percent, key, text).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(out, F.col(key) == F.col("_gone"), "left_anti")
+    out = near_groups(docs, k, percent, key, text).where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return docs.join(out, key, "left_anti").select(*docs.columns)
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,15 +47,35 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("seed,k,percent,tile", [(1, 4, 85, 1024), (2, 5, 80, 5), (3, 3, 60, 4)])
-def test_against_brute_force(spark, monkeypatch, seed, k, percent, tile):
-    monkeypatch.setattr(near, "TILE", tile)
+@pytest.mark.parametrize("seed,k,percent,most", [(1, 4, 85, 16), (2, 5, 80, 3), (3, 3, 60, 16), (4, 2, 70, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, k, percent, most):
+    monkeypatch.setattr(near, "UNIT", 2000)
     texts = corpus(seed)
     df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, cls int, n int, tok int").repartition(3)
-    got = sorted(map(tuple, near.near_groups(df, k, percent).collect()))
+    got = sorted(map(tuple, near.near_groups(df, k, percent, most=most).collect()))
     assert got == brute(texts, k, percent)
 
 
+def test_longer_prefixes_leave_fewer_pairs_to_verify(spark, monkeypatch):
+    """Texts that share one passage but don't link: with l chosen by cost fewer pairs are verified than with l = 1, and the groups are the same."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    passage = [word() for _ in range(90)]
+    texts = [" ".join(passage[i % 7 : 80 + i % 9] + [word() for _ in range(r.randrange(3, 25))]) for i in range(60)] + [" ".join(word() for _ in range(50)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    pairs, links = [], near.verified
+
+    def verified(p, tokens, percent):
+        pairs[-1] += p.count()
+        return links(p, tokens, percent)
+
+    monkeypatch.setattr(near, "verified", verified)
+    for most in (1, 16):
+        pairs.append(0)
+        assert sorted(map(tuple, near.near_groups(df, 4, 85, most=most).collect())) == brute(texts, 4, 85)
+    assert 0 < pairs[1] < 0.8 * pairs[0]
+
+
 def test_matches_sql(spark):
     assert of_spark(near.op1_near_duplicates(spark, SF)) == rows(near.OP1_SQL, SF)
 
@@ -77,11 +97,16 @@ def test_components(spark):
     assert len(set(got.values())) == len({min(x for x in got if got[x] == v) for v in set(got.values())})
 
 
-def test_prefix_levels():
-    t = np.arange(10, dtype=np.uint64)
-    l, level = near.prefix(20, t, 85, np.zeros(1 << near.SKETCH_BITS, np.int64))
-    assert len(level) == 10 and level[0] == 8 and level[-1] == 17 and near.prefix_of_one(20, t, 85) == slice(0, 0)
-    assert near.prefix(10, t, 85, np.zeros(1 << near.SKETCH_BITS, np.int64))[1].tolist() == [1, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+def test_prefixes():
+    token = np.arange(20, dtype=np.uint64) << np.uint64(40)
+    cold = np.zeros(1 << near.SKETCH_BITS, np.int64)
+    l, kept, row = near.prefixes(np.array([10, 10]), token, 85, cold, 16)
+    assert l.tolist() == [1, 1] and kept.tolist() == [*token[:2], *token[10:12]] and row.tolist() == [0, 0, 1, 1]
+    hot = cold.copy()
+    hot[(token[:10] >> np.uint64(48 - near.SKETCH_BITS)).astype(int)] = 1000
+    l, kept, row = near.prefixes(np.array([10, 10]), token, 85, hot, 16)
+    assert l[0] > 1 and l[1] == 1 and (row == 0).sum() == 1 + l[0]
+    assert near.prefixes(np.array([10]), token[:10], 85, hot, 16)[0][0] <= 9
 
 
 @pytest.mark.parametrize("percent", [50, 60])
