@@ -1,7 +1,8 @@
 """Rules that classify page elements, as columns over one row per element.
 
-Expected columns: tag, class, role, label, id, type, href (null if none), expanded, selected, contenteditable,
-onclick, overflow, scroll_height, client_height, x, y, width, height, painted, outer_frame. First match wins in every chain.
+Expected columns: tag, class, role, label, id, type, href (null if none), expanded, selected, contenteditable, aria_modal,
+onclick, overflow, scroll_height, client_height, scroll_width, client_width, x, y, width, height, painted, outer_frame. First match wins
+in every chain.
 """
 
 from __future__ import annotations
@@ -24,6 +25,18 @@ STAT = "stat|metric|data cores|costs|score|counter"
 PRICE = "price|cost|coin|core|energy|currency|amount|(?<![A-Za-z0-9_])[0-9]+\\s*/\\s*[0-9]+(?![A-Za-z0-9_])"
 PROBE = "tab|menu|filter|dropdown|accordion|toggle|expand|more|open|faq|modal|drawer"
 #: Semantic types by pattern over lower-cased id, class, role and label, after the tag rules.
+HERO, NEAR_TOP = "hero|headline|above[-_\\s]?fold", "h1|headline|trial|demo|start|signup|sign up"
+CTA = "trial|demo|start|buy|subscribe|contact|signup|sign up|get started|learn more"
+DECORATION = "blur|gradient|glow|orb|background|decoration|absolute|rounded-full"
+NO_COLOUR = "rgba?\\(\\s*0\\s*,\\s*0\\s*,\\s*0\\s*(?:,\\s*0\\s*)?\\)"
+#: Roles of tags, and elements that show something by themselves.
+TAG_ROLES = [("select", "combobox"), ("img", "img"), ("nav", "navigation"), ("form", "form"), ("header", "banner"), ("footer", "contentinfo"), ("main", "main")]
+RENDERABLE = ["img", "svg", "canvas", "picture", "video", "input", "textarea", "select", "button", "a"]
+#: Kinds by how their image is taken.
+HIDES_INNER = ["card-large", "card", "panel", "badge"]
+ISOLATED = ["card-large", "card", "panel", "button", "badge", "stat", "price", "media", "icon"]
+HIDES_OUTER = ["button", "badge"]
+BROWSER_SHAPE = ["button", "badge", "stat", "price", "media", "icon"]
 SEMANTIC = [("pricing", "pricing|price|plan|billing|subscription"), ("testimonial", "testimonial|review|quote|customer story|case study"), ("faq", "faq|question|accordion"), ("feature", "feature|benefit|capability")]
 
 
@@ -35,13 +48,20 @@ def has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(pattern))
 
 
+def weighed(terms: list[tuple[Column, int]]) -> Column:
+    """The sum of the weights of the conditions that hold."""
+    total = F.lit(0)
+    for condition, weight in terms:
+        total = total + F.when(condition, weight).otherwise(0)
+    return total
+
+
 def aria_role() -> Column:
     t, kind = F.col("tag"), F.coalesce(F.col("type"), F.lit(""))
-    pairs = [("select", "combobox"), ("img", "img"), ("nav", "navigation"), ("form", "form"), ("header", "banner"), ("footer", "contentinfo"), ("main", "main")]
     out = F.when((t == "a") & (F.coalesce(F.col("href"), F.lit("")) != ""), "link").when(t == "button", "button")
     out = out.when((t == "input") & kind.isin("button", "submit", "reset"), "button").when((t == "input") & (kind == "checkbox"), "checkbox").when((t == "input") & (kind == "radio"), "radio")
     out = out.when(t.isin("input", "textarea"), "textbox")
-    for tag, role in pairs:
+    for tag, role in TAG_ROLES:
         out = out.when(t == tag, role)
     return F.coalesce(truthy("role"), out.when(t.isin("h1", "h2", "h3", "h4", "h5", "h6"), "heading").otherwise(""))
 
@@ -53,7 +73,7 @@ def kind() -> Column:
     large = lambda other: F.when(area > 180000, "card-large").otherwise(other)
     return (
         F.when((F.coalesce(F.col("label"), F.lit("")) == "") & (t == "span") & (cls == ""), "decoration")
-        .when((t == "dialog") | (role == "dialog") | has(cls, MODAL), "modal")
+        .when((t == "dialog") | (role == "dialog") | (F.coalesce(F.col("aria_modal"), F.lit("")) == "true") | has(cls, MODAL), "modal")
         .when((t == "svg") | has(cls, "icon|ico"), "icon")
         .when((t == "button") | (role == "button") | has(cls, BUTTON), "button")
         .when(t == "a", "link")
@@ -83,19 +103,20 @@ def semantic_type(viewport_height: int = 1000) -> Column:
     for name, pattern in SEMANTIC:
         out = out.when(has(text, pattern), name)
     near_top = F.col("y") < 0.9 * viewport_height
-    out = out.when(has(text, "hero|headline|above[-_\\s]?fold") | (near_top & has(text, "h1|headline|trial|demo|start|signup|sign up") & (F.col("width") > 360)), "hero")
-    out = out.when((k == "button") & has(text, "trial|demo|start|buy|subscribe|contact|signup|sign up|get started|learn more"), "cta")
+    out = out.when(has(text, HERO) | (near_top & has(text, NEAR_TOP) & (F.col("width") > 360)), "hero")
+    out = out.when((k == "button") & has(text, CTA), "cta")
     return out.when(k.isin("card", "card-large", "panel"), "section").otherwise(k)
 
 
 def actions() -> Column:
     """Ordered actions; needs aria_role."""
     t, role, kind_ = F.col("tag"), F.col("aria_role"), F.coalesce(F.col("type"), F.lit(""))
-    click = (t == "button") | ((t == "a") & (F.coalesce(F.col("href"), F.lit("")) != "")) | role.isin("button", "link", "menuitem", "tab", "option") | F.col("expanded").isNotNull() | (t == "summary")
-    fill = (t == "textarea") | ((t == "input") & ~kind_.isin("button", "checkbox", "file", "hidden", "image", "radio", "reset", "submit")) | (role == "textbox")
+    set_ = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    click = (t == "button") | set_("onclick") | ((t == "a") & (F.coalesce(F.col("href"), F.lit("")) != "")) | role.isin("button", "link", "menuitem", "tab", "option") | F.col("expanded").isNotNull() | (t == "summary")
+    fill = (t == "textarea") | (F.coalesce(F.col("contenteditable"), F.lit("")) == "true") | ((t == "input") & ~kind_.isin("button", "checkbox", "file", "hidden", "image", "radio", "reset", "submit")) | (role == "textbox")
     select = (t == "select") | role.isin("combobox", "listbox")
     toggle = role.isin("checkbox", "radio", "switch") | ((t == "input") & kind_.isin("checkbox", "radio"))
-    scroll = has(F.col("overflow"), "(auto|scroll)") & (F.col("scroll_height") > F.col("client_height") + 8)
+    scroll = has(F.col("overflow"), "(auto|scroll)") & ((F.col("scroll_height") > F.col("client_height") + 8) | (F.col("scroll_width") > F.col("client_width") + 8))
     hover = click | fill | select | toggle
     found = F.array(*[F.when(c, F.lit(n)) for n, c in (("click", click), ("fill", fill), ("select", select), ("toggle", toggle), ("hover", hover), ("scroll", scroll))])
     return F.filter(found, lambda a: a.isNotNull())
@@ -108,14 +129,41 @@ def priority() -> Column:
 
 
 def visible() -> Column:
-    """Needs display, visibility, opacity and aria_hidden."""
-    return (F.col("width") >= 4) & (F.col("height") >= 4) & (F.col("display") != "none") & (F.col("visibility") != "hidden") & (F.col("opacity").try_cast("double") != 0) & (F.coalesce(F.col("aria_hidden"), F.lit("")) != "true")
+    """Needs display, visibility, opacity and aria_hidden. An opacity that is no number hides nothing; an empty one is 0."""
+    number = F.when(F.trim("opacity") == "", 0.0).otherwise(F.col("opacity").try_cast("double"))
+    shown = F.coalesce(number, F.lit(1.0)) != 0
+    return (F.col("width") >= 4) & (F.col("height") >= 4) & (F.col("display") != "none") & (F.col("visibility") != "hidden") & shown & (F.coalesce(F.col("aria_hidden"), F.lit("")) != "true")
 
 
 def has_paint() -> Column:
-    """Needs background, image, shadow, border_width and border_style. Opaque black counts as no colour."""
-    colour = (F.col("background") != "transparent") & ~has(F.col("background"), "rgba?\\(0, 0, 0(, 0)?\\)")
-    return colour | (F.col("image") != "none") | (F.col("shadow") != "none") | ((F.col("border_width") > 0) & (F.col("border_style") != "none"))
+    """Needs background, image, shadow, outline_width and outline_style, and borders, an array of (width, style). Opaque black counts as no colour."""
+    colour = ~F.col("background").isin("", "transparent") & ~has(F.col("background"), NO_COLOUR)
+    drawn = lambda width, style: (width > 0) & ~style.isin("", "none")
+    effects = ~F.col("image").isin("", "none") | ~F.col("shadow").isin("", "none")
+    return colour | effects | drawn(F.col("outline_width"), F.col("outline_style")) | F.exists("borders", lambda b: (b["width"] > 0) & (b["style"] != "none"))
+
+
+def renderable() -> Column:
+    """Elements of which an ancestor isn't mere decoration; needs attrs."""
+    return F.col("tag").isin(*RENDERABLE) | F.map_contains_key("attrs", F.lit("role"))
+
+
+def paint_only() -> Column:
+    """Decoration without label or content; needs raw_label, source, class, position and renderables, the number of renderable descendants."""
+    plain = (F.coalesce(F.col("raw_label"), F.lit("")) == "") & F.col("tag").isin("div", "span") & (F.coalesce(F.col("source"), F.lit("")) == "") & (F.col("renderables") == 0)
+    return plain & (has(_lc("class"), DECORATION) | F.col("position").isin("absolute", "fixed") | ((F.col("width") <= 72) & (F.col("height") <= 72)))
+
+
+def outer_frame(width: int = 1440, height: int = 1000) -> Column:
+    """Frames of an application; needs area, painted and visuals, the number of visible painted descendants of 5000 square pixels or more, up to 4."""
+    view = width * height
+    return (F.col("area") >= 0.45 * view) & (F.col("area") < 0.9 * view) & (F.col("width") >= 0.75 * width) & (F.col("height") >= 0.55 * height) & F.col("painted") & (F.col("visuals") >= 4)
+
+
+def image_rules() -> dict[str, Column]:
+    """How an item's image is taken, by its kind."""
+    rules = {"hides_inner": HIDES_INNER, "isolated": ISOLATED, "hides_outer": HIDES_OUTER, "browser_shape": BROWSER_SHAPE}
+    return {name: F.col("kind").isin(*kinds) for name, kinds in rules.items()}
 
 
 def background_shell(width: int = 1440, height: int = 1000) -> Column:
@@ -131,7 +179,7 @@ def probe_score() -> Column:
     """Needs kind, semantic_type and aria_role."""
     text = _lc("label", "kind", "semantic_type", "aria_role", "id", "class")
     terms = [(F.col("expanded").isNotNull(), 20), (F.col("selected").isNotNull(), 12), (F.col("aria_role").isin("tab", "switch", "checkbox"), 18), (has(text, PROBE), 16), (F.col("semantic_type") == "navigation", 6)]
-    return sum((F.when(c, n).otherwise(0) for c, n in terms[1:]), F.when(terms[0][0], terms[0][1]).otherwise(0))
+    return weighed(terms)
 
 
 def can_probe() -> Column:

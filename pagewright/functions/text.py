@@ -62,7 +62,7 @@ def has_time(c: Column | str) -> Column:
 
 def radius_pair(c: Column | str, width: Column, height: Column) -> Column:
     """(x, y) of a CSS radius, in pixels or percent of the box; a missing y is x."""
-    parts = F.split(F.trim(F.coalesce(col(c), F.lit("0"))), " ")
+    parts = F.split(normalize_text(c), " ")
 
     def size(p: Column, of: Column) -> Column:
         n = F.coalesce(F.regexp_extract(p, "^[0-9.]+", 0).try_cast("double"), F.lit(0.0))
@@ -71,6 +71,15 @@ def radius_pair(c: Column | str, width: Column, height: Column) -> Column:
     return F.struct(size(F.get(parts, F.lit(0)), width).alias("x"), size(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))), height).alias("y"))
 
 
+def corner_radii(corners: dict[str, Column | str], width: Column, height: Column) -> Column:
+    """The radii of four corners (topLeft, topRight, bottomRight, bottomLeft), rounded, at most half the box."""
+    out = []
+    for name, c in corners.items():
+        r = radius_pair(c, width, height)
+        out.append(F.struct(clamp_radius(r["x"], width).alias("x"), clamp_radius(r["y"], height).alias("y")).alias(name))
+    return F.struct(*out)
+
+
 def clamp_radius(r: Column, size: Column) -> Column:
     return F.greatest(F.lit(0), F.least(round_half_up(r), F.floor(size / 2)))
 
@@ -102,6 +111,50 @@ def slug(c: Column | str) -> Column:
     return F.coalesce(truthy(s), F.lit("capture"))
 
 
+def valid_url(c: Column | str) -> Column:
+    """(url, error): an http, https or file URL in its usual form (lower-case scheme and host, no default port, a path), or why not."""
+    given = F.trim(F.coalesce(col(c), F.lit("")))
+    scheme = F.lower(F.regexp_extract(given, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    after = F.regexp_extract(given, "^[A-Za-z][A-Za-z0-9+.-]*:(.*)$", 1)
+    rest = F.when(scheme.isin("http", "https"), F.regexp_replace(after, "^[/\\\\]*", "//")).when(after.startswith("//"), after).when(after.startswith("/"), F.concat(F.lit("//"), after)).otherwise(F.concat(F.lit("///"), after))
+    place, tail = F.lower(F.regexp_extract(rest, "^//([^/?#]*)", 1)), F.regexp_extract(rest, "^//[^/?#]*(.*)$", 1)
+    default = F.when(scheme == "http", F.regexp_replace(place, ":80$", "")).when(scheme == "https", F.regexp_replace(place, ":443$", "")).otherwise(place)
+    whole = F.concat(scheme, F.lit("://"), default, F.when(tail.startswith("/"), F.lit("")).otherwise(F.lit("/")), tail)
+    unknown = ~scheme.isin("http", "https", "file")
+    broken = (scheme == "") | (~unknown & (((place == "") & (scheme != "file")) | F.contains(place, F.lit(" "))))
+    error = F.when(given == "", "URL is required").when(broken, "Invalid URL").when(unknown, "Only http, https, and file URLs are supported")
+    return F.struct(F.when(error.isNull(), whole).alias("url"), error.alias("error"))
+
+
+def bounded(c: Column | str, low: int, high: int, error: str) -> Column:
+    """(value, error): a number within bounds, rounded down, or why not; NaN and infinite ones are none."""
+    x = col(c).cast("double")
+    ok = F.coalesce((x >= low) & (x <= high) & ~F.isnan(x), F.lit(False))
+    return F.struct(F.when(ok, F.floor(x)).alias("value"), F.when(~ok, F.lit(error)).alias("error"))
+
+
+def dimension(c: Column | str, name: str) -> Column:
+    return bounded(c, 320, 10000, f"{name} must be a number between 320 and 10000")
+
+
+def max_pages(c: Column | str) -> Column:
+    return bounded(c, 1, 200, "--max-pages must be a number between 1 and 200")
+
+
+def job_id(at: Column, url: Column | str, nonce: Column) -> Column:
+    """Time (UTC, to the millisecond), slug and the first 8 characters of a random id."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'"), F.lit("-"), slug(url), F.lit("-"), F.substring(nonce, 1, 8))
+
+
+def resolved_path(base: Column | str, path_: Column | str) -> Column:
+    """A path as seen from the folder of a file; '' stays '', an absolute one stays as it is, `.` and `..` are resolved."""
+    p = F.coalesce(col(path_), F.lit(""))
+    steps = F.filter(F.split(F.concat(F.regexp_replace(col(base), "[^/]*$", ""), p), "/"), lambda s: ~s.isin("", "."))
+    none = F.array().cast("array<string>")
+    walked = F.aggregate(steps, none, lambda done, s: F.when(s != "..", F.array_append(done, s)).otherwise(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))))
+    return F.when((p == "") | p.startswith("/"), p).otherwise(F.concat(F.lit("/"), F.array_join(walked, "/")))
+
+
 def is_asset(c: Column | str) -> Column:
     return F.rlike(path(c), F.lit(ASSETS))
 
@@ -110,10 +163,10 @@ def crawl_by_default(c: Column | str) -> Column:
     return F.rlike(col(c), F.lit("^https?://")) & path(c).isin("", "/") & ~F.contains(F.regexp_replace(col(c), "#.*$", ""), F.lit("?"))
 
 
-def item_line(n: Column, kind: Column, label: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """`N. [kind] label (WxH+X+Y)`."""
+def item_line(n: Column, kind: Column, label: Column, x: Column, y: Column, w: Column, h: Column, *others: Column) -> Column:
+    """`N. [kind] label (WxH+X+Y)`; without a label the first of others (selector, id) that isn't empty."""
     bounds = F.when(w.isNull(), F.lit("unknown-bounds")).otherwise(F.format_string("%dx%d+%d+%d", w, h, x, y))
-    return F.concat(n.cast("string"), F.lit(". ["), kind, F.lit("] "), F.coalesce(truthy(label), F.lit("untitled")), F.lit(" ("), bounds, F.lit(")"))
+    return F.concat(n.cast("string"), F.lit(". ["), kind, F.lit("] "), F.coalesce(truthy(label), *map(truthy, others), F.lit("untitled")), F.lit(" ("), bounds, F.lit(")"))
 
 
 def item_indexes(text: Column | str, most: Column) -> Column:

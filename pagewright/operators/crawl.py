@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as X
+from ..sources import pages as P
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """node and ord (from 1) of the first `most` nodes in the order of a first-in-first-out crawl.
@@ -18,7 +21,10 @@ def bfs(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="pagewright-"))
     level = seeds.groupBy("node").agg(F.min("ord").alias("ord")).orderBy("ord").limit(most)
     level = level.select("node", F.row_number().over(W.orderBy("ord")).alias("ord")).checkpoint()
     seen, n = level, level.count()
@@ -32,3 +38,22 @@ def bfs(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
             break
         seen, n = seen.unionByName(level), n + more
     return seen
+
+
+def discover(pages: DataFrame, start: str, most: int, sitemaps: DataFrame | None = None) -> DataFrame:
+    """url and ord (from 1) of the first `most` pages that a crawl from start finds.
+
+    pages: url and html of what was fetched; a page that wasn't is found but leads nowhere. Links and form actions
+    of the same origin count, without query and fragment, but for assets. The queue holds start, then the
+    pages of sitemaps (ord, body), then what each page links to, in order.
+    """
+    spark = pages.sparkSession
+    first = spark.createDataFrame([(start,)], "url string").select(X.page_url("url").alias("node"), X.origin("url").alias("origin"), F.lit(0).alias("ord"))
+    home, origin = first.select("node", "origin").first()
+    inside = lambda df: df.where((X.origin("dst") == origin) & ~X.is_asset("dst"))
+    found = P.links(pages.select(F.lit(0).alias("page_id"), "url", "html")).select(X.page_url("url").alias("src"), "ord", X.page_url(P.absolute("url", "href")).alias("dst"))
+    seeds = first.select("node", "ord")
+    if sitemaps is not None:
+        listed = P.sitemap_pages(sitemaps, origin, most).where(F.col("url") != home)
+        seeds = seeds.unionByName(listed.select(F.col("url").alias("node"), F.col("ord").cast("int").alias("ord")))
+    return bfs(inside(found), seeds, most).withColumnRenamed("node", "url")

@@ -19,6 +19,44 @@ def alpha_threshold(kind: Column) -> Column:
     return F.when(kind.isin("button", "badge"), 56).otherwise(18)
 
 
+def crop_padding(kind: Column) -> Column:
+    """Pixels around an item's bounds: none for every kind."""
+    return F.when(kind.isNotNull(), 0).otherwise(0)
+
+
+def edge_insets(kind: Column) -> Column:
+    """Pixels that are cut from an image's edges: the top row of buttons and badges."""
+    return F.struct(F.when(kind.isin("button", "badge"), 1).otherwise(0).alias("top"), *[F.lit(0).alias(n) for n in ("right", "bottom", "left")])
+
+
+def output_bounds(left: Column, top: Column, width: Column, height: Column, trim: Column, insets: Column) -> Column:
+    """Where an item's image lies on the page after a trim (x, y, width, height; null for none) and edge insets.
+
+    Insets are cut only if something is left.
+    """
+    w, h = F.coalesce(trim["width"], width), F.coalesce(trim["height"], height)
+    inner_w, inner_h = w - insets["left"] - insets["right"], h - insets["top"] - insets["bottom"]
+    cut = (inner_w > 0) & (inner_h > 0)
+    by = lambda n: F.when(cut, insets[n]).otherwise(0)
+    x, y = left + F.coalesce(trim["x"], F.lit(0)) + by("left"), top + F.coalesce(trim["y"], F.lit(0)) + by("top")
+    return F.struct(x.alias("x"), y.alias("y"), F.when(cut, inner_w).otherwise(w).alias("width"), F.when(cut, inner_h).otherwise(h).alias("height"))
+
+
+def rounded_mask(width: Column, height: Column, radii: Column, scale: int = 4) -> Column:
+    """The outline of a box with rounded corners as an SVG path, `scale` times as large; null without round corners."""
+    w, h = width * scale, height * scale
+    r = {n: (radii[n]["x"] * scale, radii[n]["y"] * scale) for n in ("topLeft", "topRight", "bottomRight", "bottomLeft")}
+    part = lambda letter, *v: F.concat_ws(" ", F.lit(letter), *[(x if isinstance(x, Column) else F.lit(x)).cast("long").cast("string") for x in v])
+    arc = lambda n, x, y: part("A", r[n][0], r[n][1], 0, 0, 1, x, y)
+    path = F.concat_ws(
+        " ", part("M", r["topLeft"][0], 0), part("L", w - r["topRight"][0], 0), arc("topRight", w, r["topRight"][1]),
+        part("L", w, h - r["bottomRight"][1]), arc("bottomRight", w - r["bottomRight"][0], h), part("L", r["bottomLeft"][0], h),
+        arc("bottomLeft", 0, h - r["bottomLeft"][1]), part("L", 0, r["topLeft"][1]), arc("topLeft", r["topLeft"][0], 0), F.lit("Z"),
+    )
+    flat = [c for n in r for c in r[n]]
+    return F.when(F.greatest(*flat) > 0, path)
+
+
 def alpha_boxes(pixels: DataFrame) -> DataFrame:
     """Bounding box of the pixels (item_id, kind, x, y, alpha) that reach their kind's threshold; faint items are dropped."""
     seen = F.col("alpha") >= alpha_threshold(F.col("kind"))

@@ -10,13 +10,14 @@ from pyspark.sql.window import Window as W
 
 from ..functions import elements as E
 from ..functions import text as X
-from ..operators import crawl, geometry, items, timeline
+from ..operators import crawl, geometry, items, timeline, tree
 from ..sources import dom
 from ..sources import pages as P
 from . import data as D
 
 VIEW = (1440, 1000)
-STYLE = {"display": ["block", "none", "flex"], "visibility": ["visible", "hidden", "visible", "visible"], "opacity": ["1", "0", "0.5", "0.0", "x"], "background": ["transparent", "rgb(0, 0, 0)", "rgba(0, 0, 0, 0)", "rgb(1, 2, 3)"], "border_style": ["none", "solid"]}
+HEADING = "(?is)<h[1-3]\\b[^>]*>(.*?)</h[1-3]\\s*>"
+STYLE = {"display": ["block", "none", "flex"], "visibility": ["visible", "hidden", "visible", "visible"], "opacity": ["1", "0", "0.5", "0.0", "x", ""], "background": ["transparent", "rgb( 0,0 , 0)", "rgba(0, 0, 0, 0)", "rgb(1, 2, 3)", ""], "border_style": ["none", "solid"], "outline_style": ["none", "none", "dotted"]}
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +52,9 @@ def crawl_default_pages(spark, sf):
 
 
 def page_links(spark, sf):
-    return P.links(pages(spark, sf)).select("page_id", "ord", "href", "source", P.absolute("url", "href").alias("target"))
+    """Links and form actions of each page, with a made form at its end."""
+    p = pages(spark, sf).withColumn("html", F.concat("html", F.lit("<FORM method=get Action='/find"), F.col("page_id").cast("string"), F.lit("'>")))
+    return P.links(p).select("page_id", "ord", "href", "source", P.absolute("url", "href").alias("target"))
 
 
 def link_targets_distinct(spark, sf):
@@ -65,8 +68,9 @@ def dom_summary_counts(spark, sf):
 
 def dom_headings(spark, sf):
     """The first 30 headings, of which those with text are kept."""
-    found = F.slice(F.regexp_extract_all("html", F.lit("<h[1-3][^>]*>([^<]*)</h[1-3]>"), F.lit(1)), 1, 30)
-    h = pages(spark, sf).select("page_id", F.posexplode(found).alias("pos", "raw")).withColumn("text", F.substring(X.normalize_text("raw"), 1, 180))
+    found = F.slice(F.regexp_extract_all(P.plain("html"), F.lit(HEADING), F.lit(1)), 1, 30)
+    bare = F.regexp_replace("raw", "<[^>]*>", "")
+    h = pages(spark, sf).select("page_id", F.posexplode(found).alias("pos", "raw")).withColumn("text", F.substring(X.normalize_text(bare), 1, 180))
     return h.where("text <> ''").select("page_id", "pos", "text")
 
 
@@ -113,17 +117,150 @@ def element_reading_order(spark, sf):
     return items.reading_order(D.classified(spark, sf)).select("page_id", "idx", "reading")
 
 
+def _item_rows(spark, sf):
+    """The 20 best items of each page as records, with images of made size and digest where the crop isn't empty."""
+    e = D.classified(spark, sf).withColumn("attrs", F.expr("map_filter(map('href', href, 'class', class, 'aria-expanded', expanded, 'aria-selected', selected, 'placeholder', repeat('p', cast(idx AS int))), (k, v) -> v IS NOT NULL)"))
+    e = e.withColumn("id", F.format_string("block-%03d", F.col("idx") + 1)).withColumn("content", F.concat(F.lit("  "), "label", F.lit("\n x"))).withColumn("accessible_name", F.col("label")).withColumn("source", F.lit(None).cast("string"))
+    xpath = F.concat(F.lit("/html/"), "tag")
+    e = e.withColumn("selectors", tree.selector_candidates(F.col("id"), F.col("aria_role"), F.col("label"), xpath)).withColumn("radii", X.corner_radii({n: F.lit("2px") for n in ("topLeft", "topRight", "bottomRight", "bottomLeft")}, F.col("width"), F.col("height")))
+    e = items.reading_order(items.top_items(e, 20))
+    bare, full = items.crop_paths(F.col("reading"), F.col("id"), F.col("kind"))
+    image = lambda path, other: F.when(F.col("idx") % 4 != 0, F.struct(path.alias("path"), "width", "height", F.sha2(F.concat(F.lit(other), "id"), 256).alias("sha256"), F.struct("x", "y", "width", "height").alias("bounds")))
+    return e.select("page_id", "reading", items.item_struct().withField("image", image(bare, "a")).withField("textImage", image(full, "b")).alias("item"))
+
+
+def _documents(spark, sf):
+    p = pages(spark, sf).select("page_id", "url", F.lit("t").alias("title"), F.lit("2024-01-01T00:00:00.000Z").alias("captured_at"), F.lit(VIEW[0]).alias("image_width"), F.length("html").alias("image_height"), F.sha2("html", 256).alias("image_sha"), F.sha2("url", 256).alias("textless_sha"))
+    return items.page_documents(p, _item_rows(spark, sf))
+
+
 def page_manifest(spark, sf):
-    m = items.page_manifests(items.top_items(D.classified(spark, sf), 20))
-    size, digest = X.asset(F.to_json(F.struct("schemaVersion", "captureKind", "totalBlocks", "items")))
-    return m.select("page_id", "totalBlocks", F.size("itemKindCounts").cast("long").alias("kinds"), F.element_at("items", 1)["id"].alias("first_id"))
+    """Of the nested document of each page: totals, and its lists of items, kinds, actions, crops and pictures as text."""
+    m = _documents(spark, sf)
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("itemKindCounts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    listed = lambda c, f: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *f(x))), ",")
+    return m.select(
+        "page_id", "totalBlocks", F.col("pages")[0]["totalBlocks"].alias("pageBlocks"), kinds.alias("kinds"), F.array_join(F.col("items.id"), ",").alias("ids"), listed("actions", lambda a: (a["id"], a["selector"])).alias("actions"),
+        listed("crops", lambda c: (c["id"], c["path"], c["sha256"])).alias("crops"), listed("screenshots", lambda s: (s["id"], s["path"], s["height"].cast("string"), s["sha256"])).alias("pictures"), F.col("textlessImage.sha256").alias("textless"),
+    )
+
+
+def agent_elements(spark, sf):
+    """What an agent gets of each item, flat."""
+    e = _item_rows(spark, sf).select("page_id", "reading", items.agent_element(F.col("item")).alias("e"))
+    texts = {"id": "id", "type": "type", "tag": "tagName", "body": "dom.text", "css": "selectors.css", "by_role": "selectors.role", "role": "aria.role", "expanded": "aria.expanded", "crop": "crop.path", "bare_crop": "textlessCrop.path", "digest": "crop.sha256"}
+    attributes = F.array_join(F.transform(F.array_sort(F.map_entries("e.dom.attributes")), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
+    return e.select("page_id", "reading", *[F.col(f"e.{c}").alias(n) for n, c in texts.items()], F.col("e.crop.width").alias("crop_width"), attributes.alias("attributes"), F.array_join("e.dom.classList", " ").alias("classes"))
+
+
+def _results(spark, sf):
+    p = pages(spark, sf).withColumn("site", X.origin("url")).withColumn("ord", F.row_number().over(W.partitionBy("site").orderBy("page_id")))
+    return items.page_results(p.withColumn("error", F.expr("CASE WHEN page_id % 7 = 3 THEN concat('Timeout ', page_id) END")).withColumn("blocks", F.length("html")))
+
+
+def page_results(spark, sf):
+    """A row for each page, failed ones with their error."""
+    return _results(spark, sf).select("page_id", "status", "folder", "manifest", "error")
+
+
+def site_manifests(spark, sf):
+    """The document of each site: totals, and its pages in order as text."""
+    r = _results(spark, sf).withColumn("job_id", F.concat(F.lit("job-"), "site")).withColumn("start_url", F.concat("site", F.lit("/"))).withColumn("mode", F.lit("site"))
+    listed = F.array_join(F.transform("pages", lambda p: F.concat_ws("|", p["url"], p["status"], F.coalesce(p["totalBlocks"].cast("string"), F.lit("-")), F.coalesce(p["error"], p["manifestPath"]))), ",")
+    return items.site_documents(r).select("jobId", "mode", "startUrl", "totalPages", "succeeded", "failed", listed.alias("listed"))
+
+
+def tree_paths(spark, sf):
+    return tree.paths(D.tree(spark, sf))
+
+
+def selectors(spark, sf):
+    """Every selector of elements of made trees but the xpath."""
+    role = F.element_at(F.array(*map(F.lit, ["button", "", "tab"])), F.expr("cast(idx % 3 + 1 AS int)"))
+    label = F.concat(F.lit(' say "'), "content", F.lit('" '), F.expr("repeat('w', cast(idx % 100 AS int))"))
+    c = tree.selector_candidates(F.format_string("block-%03d", F.col("idx") + 1), role, label, F.lit(""))
+    return D.tree(spark, sf).select("page_id", "idx", c.alias("c")).select("page_id", "idx", *[F.col(f"c.{n}").alias(n.lower()) for n in ("captureId", "css", "id", "testId", "role", "text")])
+
+
+def attribute_maps(spark, sf):
+    """The attributes that an item and that an animation snapshot keep, as text."""
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return D.tree(spark, sf).select("page_id", "idx", flat(tree.attribute_map()).alias("kept"), flat(tree.relevant_attributes()).alias("motion"))
+
+
+def accessible_names(spark, sf):
+    return tree.named(D.tree(spark, sf)).select("page_id", "idx", "accessible_name", "label")
+
+
+def tree_filters(spark, sf):
+    """Frames of an application, and decoration, told by descendants."""
+    e = D.tree(spark, sf).withColumn("area", F.col("width") * F.col("height")).withColumn("raw_label", F.expr("CASE WHEN idx % 3 = 0 THEN 'x' ELSE '' END")).withColumn("source", F.lit("")).withColumn("tag", F.expr("CASE WHEN idx % 5 = 2 THEN 'div' ELSE tag END")).withColumn("class", F.expr("CASE WHEN idx % 4 = 1 THEN 'Glow x' ELSE '' END"))
+    keys = ["page_id", "idx"]
+    visuals = dom.descendant_counts(e, F.col("painted") & (F.col("area") >= 5000)).withColumnRenamed("n", "visuals")
+    shown = dom.descendant_counts(e, E.renderable(), 1).withColumnRenamed("n", "renderables")
+    return e.join(visuals, keys).join(shown, keys).select("page_id", "idx", E.outer_frame(*VIEW).alias("frame"), E.paint_only().alias("decoration"))
+
+
+def image_rules(spark, sf):
+    """How the image of each element is taken, and what is cut from it."""
+    e = D.classified(spark, sf)
+    rules = E.image_rules()
+    return e.select("page_id", "idx", *[c.alias(n) for n, c in rules.items()], geometry.crop_padding(F.col("kind")).alias("padding"), geometry.edge_insets(F.col("kind"))["top"].alias("inset"))
+
+
+def output_bounds(spark, sf):
+    """Where images lie on the page after trims and insets; every third element has a trim."""
+    trim = F.expr("CASE WHEN idx % 3 = 0 THEN named_struct('x', cast(idx % 5 AS int), 'y', 1, 'width', cast(idx % 7 AS int), 'height', cast(idx % 2 AS int)) END")
+    insets = F.when(F.col("tag") == "a", geometry.edge_insets(F.lit("button"))).otherwise(geometry.edge_insets(F.lit("card")))
+    e = D.elements(spark, sf).select("page_id", "idx", geometry.output_bounds(F.col("x"), F.col("y"), F.col("width"), F.col("height"), trim, insets).alias("b"))
+    return e.select("page_id", "idx", "b.x", "b.y", "b.width", "b.height")
+
+
+def valid_urls(spark, sf):
+    """Made URLs in their usual form, or what is wrong with them."""
+    made = F.element_at(F.array(F.col("url"), F.lit(""), F.lit("no url"), F.lit("ftp://h/x"), F.lit("HTTP://Ex.Org:80?q=A"), F.lit("https://ex.org:443/A#b"), F.lit("file:///tmp/a"), F.lit("http:///x"), F.lit(None)), F.expr("cast(page_id % 9 + 1 AS int)"))
+    return pages(spark, sf).select("page_id", X.valid_url(made).alias("v")).select("page_id", "v.url", "v.error")
+
+
+def option_bounds(spark, sf):
+    d = pages(spark, sf).select("page_id", X.dimension(F.expr("page_id * 131 / 2.0"), "--width").alias("d"), X.max_pages(F.expr("CASE WHEN page_id % 5 > 0 THEN page_id / 2.0 END")).alias("m"))
+    return d.select("page_id", F.col("d.value").alias("width"), F.col("d.error").alias("width_error"), F.col("m.value").alias("pages"), F.col("m.error").alias("pages_error"))
+
+
+def job_ids(spark, sf):
+    return pages(spark, sf).select("page_id", X.job_id(F.timestamp_millis(F.col("page_id") * 123456789), "url", F.md5("url")).alias("job_id"))
+
+
+def asset_paths(spark, sf):
+    path = F.element_at(F.array(*map(F.lit, ["a/b", "/abs/c", "../d", "./x/.././e", "", "../../../../f"])), F.expr("cast(page_id % 6 + 1 AS int)"))
+    path = F.when(path != "", F.concat(path, F.col("page_id").cast("string")))
+    return pages(spark, sf).select("page_id", X.resolved_path(F.lit("/out/job 1/manifest.json"), path).alias("path"))
+
+
+def landed_bodies(spark, sf):
+    """Bodies of robots.txt by site, empty where the fetch failed or is missing."""
+    p = pages(spark, sf).select("page_id", F.concat(X.origin("url"), F.lit("/robots.txt?"), (F.col("page_id") % 50).cast("string")).alias("url"))
+    got = p.where("page_id % 4 > 0").select("url", F.expr("CASE page_id % 3 WHEN 0 THEN 404 ELSE 200 + page_id % 2 END").alias("status"), F.concat(F.lit("body "), F.format_string("%06d", "page_id")).alias("body"))
+    return P.landed(p, got).select("page_id", "body")
+
+
+def crawl_urls(spark, sf):
+    """A crawl of made pages by URL: links of the same origin, in order, from a start and two pages of a sitemap."""
+    p = pages(spark, sf).select("page_id")
+    n = p.agg(F.max("page_id") + 1).first()[0] or 1
+    link = lambda e: F.concat(F.lit("<A HREF='/p"), F.expr(f"({e}) % {n}").cast("string"), F.lit("/?q#f'>x</A>"))
+    html = F.concat(F.lit("<!-- <a href='/hidden'> --><a href=http://other.example/x>o</a><a href=/pic.png>i</a>"), link("page_id * 2 + 1"), F.lit('<form action="'), F.lit("/p"), F.expr(f"(page_id * 3 + 2) % {n}").cast("string"), F.lit('"></form>'))
+    made = p.select(F.concat(F.lit("http://a.example/p"), F.col("page_id").cast("string")).alias("url"), html.alias("html"))
+    sitemaps = spark.range(1).select(F.lit(0).alias("ord"), F.lit("<loc>http://a.example/p5</loc><loc>http://a.example/p3/</loc>").alias("body"))
+    return crawl.discover(made, "http://a.example/p0/?x", 120, sitemaps).select("url", F.col("ord").cast("long").alias("ord"))
 
 
 def _styles(spark, sf):
     e = D.elements(spark, sf)
     for k, (name, values) in enumerate(STYLE.items()):
         e = e.withColumn(name, F.element_at(F.array(*map(F.lit, values)), F.expr(f"cast((idx + page_id * {k + 1}) % {len(values)} + 1 AS int)")))
-    return e.withColumn("image", F.lit("none")).withColumn("shadow", F.lit("none")).withColumn("border_width", F.expr("idx % 3")).withColumn("aria_hidden", F.expr("CASE WHEN idx % 7 = 0 THEN 'true' END"))
+    borders = F.expr("array(named_struct('width', 0, 'style', 'solid'), named_struct('width', cast(idx % 3 AS int), 'style', border_style))")
+    return e.withColumn("image", F.lit("none")).withColumn("shadow", F.lit("none")).withColumn("borders", borders).withColumn("outline_width", F.expr("idx % 2")).withColumn("aria_hidden", F.expr("CASE WHEN idx % 7 = 0 THEN 'true' END"))
 
 
 def paint_and_visibility(spark, sf):
@@ -131,25 +268,34 @@ def paint_and_visibility(spark, sf):
 
 
 def sibling_rank(spark, sf):
-    """Rank of an element among its page's elements of the same tag, shown where there are several."""
-    t = P.tags(pages(spark, sf))
-    by = W.partitionBy("page_id", "tag")
-    step = F.concat("tag", F.when(F.count("*").over(by) > 1, F.concat(F.lit("["), F.row_number().over(by.orderBy("i")).cast("string"), F.lit("]"))).otherwise(""))
-    return t.select("page_id", "i", step.alias("step"))
+    """An element's tag with its place among its parent's children of that tag, shown where there are several."""
+    place = F.coalesce(F.concat(F.lit("["), F.col("nth").cast("string"), F.lit("]")), F.lit(""))
+    return tree.ranked_siblings(D.tree(spark, sf)).select("page_id", F.col("idx").alias("i"), F.concat("tag", place).alias("step"))
 
 
 def crop_rects(spark, sf):
     return geometry.crop_rects(D.elements(spark, sf).withColumn("x", F.col("x") - 50), *VIEW).select("page_id", "idx", "left", "top", "crop_width", "crop_height")
 
 
+def _radii(spark, sf):
+    texts = ["8px", "50%", "4px  20%", "", "1000px"]
+    corner = lambda k: F.element_at(F.array(*map(F.lit, texts)), F.expr(f"cast((idx + {k}) % 5 + 1 AS int)"))
+    names = ["topLeft", "topRight", "bottomRight", "bottomLeft"]
+    return D.elements(spark, sf).withColumn("radii", X.corner_radii({n: corner(k) for k, n in enumerate(names)}, F.col("width"), F.col("height")))
+
+
 def corner_radii(spark, sf):
-    text = F.element_at(F.array(*map(F.lit, ["8px", "50%", "4px 20%", "", "1000px"])), F.expr("cast(idx % 5 + 1 AS int)"))
-    r = D.elements(spark, sf).withColumn("r", X.radius_pair(text, F.col("width"), F.col("height")))
-    return r.select("page_id", "idx", X.clamp_radius(F.col("r.x"), F.col("width")).alias("rx"), X.clamp_radius(F.col("r.y"), F.col("height")).alias("ry"))
+    return _radii(spark, sf).select("page_id", "idx", F.col("radii.topLeft.x").alias("rx"), F.col("radii.topLeft.y").alias("ry"), F.col("radii.bottomLeft.x").alias("last_rx"), F.col("radii.bottomLeft.y").alias("last_ry"))
+
+
+def rounded_masks(spark, sf):
+    """The outline of elements of one tag, as an SVG path."""
+    e = _radii(spark, sf).where("tag IN ('p', 'h1')")
+    return e.select("page_id", "idx", geometry.rounded_mask(F.col("width"), F.col("height"), F.col("radii")).alias("path"))
 
 
 def alpha_bbox(spark, sf):
-    k = D.classified(spark, sf).where("idx % 10 = 0 AND idx < 400").select(F.concat_ws("-", "page_id", "idx").alias("item_id"), "kind", "page_id", "idx")
+    k = D.classified(spark, sf).select(F.concat_ws("-", "page_id", "idx").alias("item_id"), "kind", "page_id", "idx")
     px = k.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("alpha", F.expr("cast((x * 31 + y * 17 + idx + page_id * 7) % 80 AS int)"))
     return geometry.alpha_boxes(px).select("item_id", "kind", "x0", "y0", "x1", "y1")
 
@@ -190,7 +336,7 @@ def sitemap_pages(spark, sf):
 
 
 def robots_sitemaps(spark, sf):
-    robots = F.concat(F.lit("User-agent: *\n  SiteMap:  http://s.example/"), F.col("page_id").cast("string"), F.lit(".xml\nsitemap: http://s.example/z.xml\nSitemap: http://s.example/z.xml"))
+    robots = F.concat(F.lit("User-agent: *\r\n  SiteMap:  http://s.example/"), F.col("page_id").cast("string"), F.lit(".xml\r\nsitemap: http://s.example/z.xml \r\nSitemap: http://s.example/z.xml"))
     return pages(spark, sf).select("page_id", F.posexplode(P.sitemap_urls(robots, X.origin("url"))).alias("pos", "sitemap"))
 
 
@@ -236,9 +382,56 @@ def timeline_summary(spark, sf):
     return d.groupBy("user_id").agg(F.count("*").alias("before_count"), F.count("after_id").alias("after_count"), F.count_if(F.col("changes") != "").alias("changed"), F.countDistinct("after_id").alias("distinct_after"))
 
 
+def _entries(spark, sf):
+    """Before and after states of events as entries of phases: a page for each user, a phase for each half of the day."""
+    d = events(spark, sf).join(state_diff_join(spark, sf), "event_id")
+    d = d.select(F.col("user_id").alias("page_id"), F.expr("cast(event_id % 4 < 2 AS int)").alias("phase"), "event_id", F.expr("concat('s', event_id % 97)").alias("selector"), "after_id", (F.col("changes") != "").alias("changed"), F.expr("cast(event_id % 3 AS int)").alias("running"), F.expr("CASE WHEN event_id % 5 < 2 THEN 'none' ELSE 'all' END").alias("transition"))
+    return items.ranked(d, ["page_id", "phase"], [F.col("event_id")])
+
+
+def animation_phases(spark, sf):
+    return timeline.phase_totals(_entries(spark, sf), 10)
+
+
+def animation_summaries(spark, sf):
+    return timeline.animation_summary(_entries(spark, sf), events(spark, sf).where("event_id % 2 = 1").select(F.col("user_id").alias("page_id")), 10)
+
+
+def _snapshot(shift: int):
+    e = lambda x: F.expr(x.replace("@", str(shift)))
+    style = F.create_map(F.lit("opacity"), e("cast(idx % (2 + @) AS string)"), F.lit("color"), e("CASE WHEN idx % 3 > 0 THEN concat('c', (idx + @) % 2) END"), F.lit("top"), e("cast(idx + @ AS string)"), F.lit("unknown"), F.lit("x"))
+    box = timeline.bbox_snapshot(F.col("x") + e("(idx % 4) * @ / 5.0D"), F.col("y").cast("double"), F.col("width") + F.lit(0.25), F.col("height") - e("@ * (idx % 2) / 1.5D"))
+    attributes = F.create_map(F.lit("class"), e("concat('k', idx % (3 + @))"), F.lit("data-open"), F.lit("1"))
+    return F.struct(timeline.computed_snapshot(style).alias("computed"), box.alias("bbox"), attributes.alias("attributes"))
+
+
+def animation_changes(spark, sf):
+    """Changes between two made snapshots of each element; every sixth has none after."""
+    e = D.elements(spark, sf).withColumn("before", _snapshot(0)).withColumn("after", F.when(F.col("idx") % 6 > 0, _snapshot(1)))
+    c = e.select("page_id", "idx", F.posexplode(timeline.snapshot_changes(F.col("before"), F.col("after"))).alias("pos", "c"))
+    plain = lambda x: F.when(F.col("c.field").startswith("bbox"), F.format_string("%.2f", F.col(x).cast("double"))).otherwise(F.col(x))
+    return c.select("page_id", "idx", "pos", "c.field", plain("c.before").alias("before"), plain("c.after").alias("after"))
+
+
+def compact_animations(spark, sf):
+    """Running animations in compact form, flat."""
+    frames = F.expr("transform(sequence(0, cast(i % 15 AS int)), k -> map('offset', cast(k AS string), 'x', if(k % 2 = 0, repeat('y', 200 + 10 * k), null)))")
+    a = F.array(F.struct(F.expr("CASE WHEN i % 2 = 0 THEN concat('a', i) END").alias("id"), F.lit("running").alias("playState"), (F.col("i") * 1.5).alias("currentTime"), F.lit(1.0).alias("playbackRate"), F.expr("CASE WHEN i % 3 = 0 THEN 'CSSAnimation' END").alias("type"), F.create_map(F.lit("delay"), F.col("i").cast("string"), F.lit("duration"), F.lit(None).cast("string")).alias("timing"), frames.alias("keyframes")))
+    c = P.tags(pages(spark, sf)).select("page_id", "i", timeline.active_animations(a)[0].alias("a"))
+    frames = F.array_join(F.transform("a.keyframes", lambda m: F.concat_ws(":", m["offset"], F.coalesce(F.length(F.try_element_at(m, F.lit("x"))).cast("string"), F.lit("-")))), ",")
+    return c.select("page_id", "i", "a.id", "a.type", F.col("a.timing")["duration"].alias("duration"), F.col("a.timing")["delay"].alias("delay"), frames.alias("frames"))
+
+
+def active_targets(spark, sf):
+    """Elements on which an animation runs, of made running ones, some of them twice and some on none."""
+    t = P.tags(pages(spark, sf))
+    running = t.where("i % 4 = 1").select("page_id", F.expr("i * 3 % 40").alias("i")).unionByName(t.where("i % 8 = 1").select("page_id", F.expr("i * 3 % 40").alias("i")))
+    return timeline.with_active(t, running, ["page_id", "i"]).select("page_id", "i", "active")
+
+
 def _animated(spark, sf):
     pick = lambda v, n: F.element_at(F.array(*map(F.lit, v)), F.expr(f"cast(({n}) % {len(v)} + 1 AS int)"))
-    return D.elements(spark, sf).select("page_id", "idx", F.expr("idx % 9 = 0").alias("active"), pick(["none", "spin"], "idx + page_id").alias("animation"), pick(["none", "all"], "idx").alias("transition"), F.expr("cast(idx % 3 AS double)").alias("duration"), pick(["none", "none", "scale(2)"], "idx").alias("transform"), pick(["1", "1", "0.5"], "idx + 1").alias("opacity"), pick(["auto", "opacity", "scale"], "idx + page_id").alias("will_change"))
+    return D.elements(spark, sf).select("page_id", "idx", F.expr("idx % 9 = 0").alias("active"), pick(["none", "spin"], "idx + page_id").alias("animation"), pick(["none", "all"], "idx").alias("transition"), F.expr("cast(idx % 3 AS double)").alias("duration"), pick(["none", "none", "scale(2)"], "idx").alias("transform"), pick(["1", "1", "0.5"], "idx + 1").alias("opacity"), pick(["auto", "opacity", "scale"], "idx + page_id").alias("will_change"), pick(["none", "none", "none", "blur(1px)"], "idx").alias("filter"), pick(["none", "none", "none", "none", "circle()"], "idx").alias("clip_path"))
 
 
 def animation_scores(spark, sf):
@@ -258,12 +451,17 @@ def state_novelty(spark, sf):
 
 
 def state_fingerprint(spark, sf):
-    doc = F.to_json(F.struct(F.col("url"), F.length("html").alias("htmlLength"), F.substring("html", 1, 12000).alias("text")))
-    return pages(spark, sf).select("page_id", F.length(F.sha2(doc, 256)).cast("long").alias("digest_chars"), F.length("html").cast("long").alias("html_length"))
+    """A digest of a page's state: URL, title, the beginning of its text, size, open dialogs and expanded elements."""
+    text = F.substring(X.normalize_text(F.regexp_replace(P.plain("html"), "<[^>]*>", " ")), 1, 12000)
+    title = X.normalize_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    dialogs = F.size(F.regexp_extract_all(P.plain("html"), F.lit("(?i)<dialog\\b|\\brole=\"dialog\"|\\baria-modal=\"true\""), F.lit(0)))
+    expanded = F.size(F.regexp_extract_all(P.plain("html"), F.lit("(?i)\\baria-expanded=\"true\""), F.lit(0)))
+    whole = F.concat_ws("\u0001", "url", title, text, F.length("html").cast("string"), dialogs.cast("string"), expanded.cast("string"))
+    return pages(spark, sf).select("page_id", F.sha2(whole, 256).alias("digest"))
 
 
 def css_time_lists(spark, sf):
-    t = F.element_at(F.array(*map(F.lit, ["0s", "150ms", "1s, 0s", "", "abc", ".5s", "2", "1.5s,20ms"])), F.expr("cast(page_id % 8 + 1 AS int)"))
+    t = F.concat(F.element_at(F.array(*map(F.lit, ["0s", "150ms", "1s, 0s", "", "abc", ".5s", "2", "1.5s,20ms"])), F.expr("cast(page_id % 8 + 1 AS int)")), F.expr("CASE WHEN page_id % 3 = 0 THEN concat(', ', page_id, 'ms') ELSE '' END"))
     return pages(spark, sf).select("page_id", F.aggregate(X.css_times(t), F.lit(0.0), lambda a, x: a + x).alias("total_ms"), F.size(X.css_times(t)).cast("long").alias("parts"), X.has_time(t).alias("moves"))
 
 
@@ -273,9 +471,9 @@ def escapes(spark, sf):
 
 
 def ax_tree(spark, sf):
-    body = F.format_string('[{"nodeId":"%d","ignored":false,"role":{"value":"link"},"name":{"value":"n%d"},"childIds":["1","2"],"properties":[{"name":"focusable","value":{"value":"true"}},{"name":"url","value":{"value":""}}]},{"nodeId":"x","role":{"value":"text"}}]', F.col("page_id"), F.col("page_id"))
+    body = F.format_string('[{"nodeId":"%d","ignored":%s,"role":{"value":"link"},"name":{"value":"n%d"},"childIds":[%s],"properties":[{"name":"focusable","value":{"value":"true"}},{"name":"url","value":{"value":"%s"}},{"name":"none","value":null}]},{"nodeId":"x","role":{"value":"text"},"name":%s}]', F.col("page_id"), F.expr("if(page_id % 2 = 0, 'true', 'false')"), F.col("page_id"), F.expr("array_join(transform(sequence(0, cast(page_id % 4 AS int)), k -> concat('\"', k, '\"')), ',')"), F.expr("if(page_id % 3 = 0, '', url)"), F.expr("if(page_id % 5 = 0, 'null', concat('{\"value\":\"', page_id, '\"}'))"))
     n = P.ax_nodes(pages(spark, sf).select("page_id", body.alias("body")))
-    return n.select("page_id", F.col("nodeId").alias("node"), "role", "name", F.size("childIds").cast("long").alias("children"), F.size("properties").cast("long").alias("properties"))
+    return n.select("page_id", F.col("nodeId").alias("node"), "ignored", "role", "name", F.array_join("childIds", "+").alias("children"), F.array_join(F.array_sort(F.map_values("properties")), "+").alias("properties"))
 
 
 def output_paths(spark, sf):
@@ -290,8 +488,8 @@ def dom_tree(spark, sf):
 
 
 def descendant_counts(spark, sf):
-    e = dom.dom_elements(pages(spark, sf)).select("page_id", "idx", "parent", "last", "tag")
-    return dom.descendant_counts(e, F.col("tag").isin("a", "p", "h1"))
+    """How many links, paragraphs and headings each element of made trees holds, up to four."""
+    return dom.descendant_counts(D.tree(spark, sf), F.col("tag").isin("a", "p", "h1"))
 
 
 def _wide(query):
@@ -310,4 +508,6 @@ QUERIES = {f.__name__: _wide(f) for f in (
     replay_snapshot, aria_roles, element_actions, element_semantic_types, element_blocks, element_priority_topk, element_dedupe_greedy, element_reading_order, page_manifest, paint_and_visibility,
     sibling_rank, crop_rects, corner_radii, alpha_bbox, select_listing, patch_selection, site_manifest_totals, bfs_crawl, sitemap_pages, robots_sitemaps, scroll_positions, frame_plan, event_cap,
     state_diff_join, timeline_summary, animation_scores, state_candidates, state_novelty, state_fingerprint, css_time_lists, escapes, ax_tree, output_paths, dom_tree, descendant_counts,
+    rounded_masks, agent_elements, page_results, site_manifests, tree_paths, selectors, attribute_maps, accessible_names, tree_filters, image_rules, output_bounds, valid_urls, option_bounds, job_ids, asset_paths,
+    landed_bodies, crawl_urls, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
 )}

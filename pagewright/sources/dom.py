@@ -1,72 +1,106 @@
-"""A table function from HTML to its elements, for what patterns can't give: nesting, attributes, own text."""
+"""The tree of a page's elements, for what patterns can't give: nesting, attributes, text."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+#: Elements without content, and what ends an open list item or paragraph.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "h1", "h2", "h3", "section", "article", "footer", "nav", "table", "form"}}
-SCHEMA = "idx int, parent int, depth int, last int, tag string, attrs map<string,string>, text string"
+SCHEMA = "idx int, parent int, depth int, last int, tag string, attrs map<string,string>, text string, content string, above array<int>"
+_ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.int32())]
+#: Elements after which a batch goes on.
+ROWS = 5000
 
 
 class _Tree(HTMLParser):
+    """Elements in document order; of each its own pieces of text, and which pieces lie inside it."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.rows, self.open = [], []
+        self.rows, self.open, self.pieces = [], [], []
 
     def handle_starttag(self, tag, attrs):
-        while self.open and tag in CLOSED_BY.get(self.rows[self.open[-1]][4], ()):
+        while self.open and tag in CLOSED_BY.get(self.rows[self.open[-1]]["tag"], ()):
+            self._close()
+        at = len(self.rows)
+        names: dict[str, str] = {}
+        for k, v in attrs:
+            names.setdefault(k, v or "")
+        self.rows.append({"parent": self.open[-1] if self.open else None, "above": list(self.open), "tag": tag, "attrs": names, "own": [], "first": len(self.pieces)})
+        self.open.append(at)
+        if tag in VOID:
             self._close()
-        self.rows.append([len(self.rows), self.open[-1] if self.open else None, len(self.open), None, tag, {k: v or "" for k, v in attrs}, []])
-        if tag not in VOID:
-            self.open.append(len(self.rows) - 1)
-        else:
-            self.rows[-1][3] = len(self.rows) - 1
 
     def _close(self):
-        self.rows[self.open.pop()][3] = len(self.rows) - 1
+        row = self.rows[self.open.pop()]
+        row["last"], row["end"] = len(self.rows) - 1, len(self.pieces)
 
     def handle_endtag(self, tag):
-        if any(self.rows[i][4] == tag for i in self.open):
-            while self.rows[self.open[-1]][4] != tag:
+        if any(self.rows[i]["tag"] == tag for i in self.open):
+            while self.rows[self.open[-1]]["tag"] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data):
         if self.open:
-            self.rows[self.open[-1]][6].append(data)
+            self.rows[self.open[-1]]["own"].append(data)
+            self.pieces.append(data)
 
     def result(self):
         while self.open:
             self._close()
-        return [(*r[:6], " ".join("".join(r[6]).split())) for r in self.rows]
+        return [
+            (i, r["parent"], len(r["above"]), r["last"], r["tag"], list(r["attrs"].items()), " ".join("".join(r["own"]).split()), "".join(self.pieces[r["first"] : r["end"]]), r["above"])
+            for i, r in enumerate(self.rows)
+        ]
 
 
 def dom_elements(pages: DataFrame) -> DataFrame:
-    """page_id and SCHEMA of every element; last is the largest idx inside it, so idx..last spans its descendants."""
-
-    @F.udtf(returnType=SCHEMA)
-    class Elements:
-        def eval(self, html):
-            tree = _Tree()
-            tree.feed(html or "")
-            yield from tree.result()
-
-    spark = pages.sparkSession
-    spark.udtf.register("dom_elements", Elements)
-    return spark.sql("SELECT p.page_id, e.* FROM {pages} p, LATERAL dom_elements(p.html) e", pages=pages)
+    """page_id and SCHEMA of every element of pages (page_id, html); a null html has none.
 
-
-def descendant_counts(elements: DataFrame, wanted, most: int = 4) -> DataFrame:
-    """page_id, idx and how many wanted descendants each element has, at most `most`.
-
-    Every wanted element is counted at its ancestors, which are found by parent steps of its own page, so the work is
-    rows times depth, not rows times rows.
+    last is the largest idx inside an element, so idx..last spans it and its descendants; above: its ancestors, from the
+    root on; text: its own text; content: all text inside it.
+    """
+    kind = dict(pages.dtypes)["page_id"]
+    names = ["page_id", *(f.split()[0] for f in SCHEMA.split(", "))]
+
+    def run(batches):
+        for b in batches:
+            page, rows = [], []
+
+            def batch():
+                columns = list(zip(*rows)) or [()] * len(_ARROW)
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(page, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, _ARROW))], names=names)
+
+            for i, html in enumerate(b.column(1).to_pylist()):
+                tree = _Tree()
+                tree.feed(html or "")
+                tree.close()
+                found = tree.result()
+                page += [i] * len(found)
+                rows += found
+                if len(rows) >= ROWS:
+                    yield batch()
+                    page, rows = [], []
+            if rows:
+                yield batch()
+
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, {SCHEMA}")
+
+
+def descendant_counts(elements: DataFrame, wanted: Column, most: int = 4) -> DataFrame:
+    """page_id, idx and n, how many wanted descendants each element (page_id, idx, last) has, at most `most`.
+
+    A running count of wanted elements is taken at the last element inside one and at itself: one window and one
+    join by equal keys.
     """
-    path = elements.select("page_id", "idx", "parent", "last", wanted.alias("w"))
-    inner = path.where("w").select("page_id", F.col("idx").alias("d"))
-    pairs = path.alias("a").join(inner.alias("b"), (F.col("a.page_id") == F.col("b.page_id")) & F.col("b.d").between(F.col("a.idx") + 1, F.col("a.last")), "left")
-    return pairs.groupBy("a.page_id", "a.idx").agg(F.least(F.count("d"), F.lit(most)).alias("n"))
+    count = F.count_if(wanted).over(W.partitionBy("page_id").orderBy("idx"))
+    at = elements.select("page_id", "idx", "last", count.alias("seen"))
+    ends = at.select(F.col("page_id"), F.col("idx").alias("last"), F.col("seen").alias("to"))
+    return at.join(ends, ["page_id", "last"]).select("page_id", "idx", F.least(F.col("to") - F.col("seen"), F.lit(most)).alias("n"))

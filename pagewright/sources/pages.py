@@ -2,28 +2,51 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-TAG = "<([a-z][a-z0-9]*)"
+#: What starts a tag, and what holds no tags: comments and the bodies of scripts and styles.
+TAG = "<([a-zA-Z][a-zA-Z0-9]*)"
+SILENT = [("(?is)<!--.*?-->", ""), ("(?is)(<script\\b[^>]*>).*?</script", "$1</script"), ("(?is)(<style\\b[^>]*>).*?</style", "$1</style")]
+LINK = "(?is)<(?:a|area)\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\shref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
+FORM = "(?is)<form\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\saction\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(html: Column | str) -> Column:
+    """html without comments and the bodies of scripts and styles, in which nothing is a tag."""
+    out = X.col(html)
+    for pattern, by in SILENT:
+        out = F.regexp_replace(out, pattern, by)
+    return out
+
+
+def plain_sql(html: str) -> str:
+    """The same as a DuckDB expression."""
+    for pattern, by in SILENT:
+        html = f"regexp_replace({html}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return html
+
+
 def tags(pages: DataFrame) -> DataFrame:
     """page_id, i (0-based document order) and tag of every start tag in lower case, found by pattern in the JVM."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TAG), F.lit(1))).alias("i", "tag"))
+    found = F.regexp_extract_all(plain("html"), F.lit(TAG), F.lit(1))
+    return pages.select("page_id", F.posexplode(found).alias("i", "tag")).withColumn("tag", F.lower("tag"))
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, ord (from 0), href and source of links, then of form actions; empty ones are left out."""
-    found = lambda p, s: F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), lambda h: F.struct(h.alias("href"), F.lit(s).alias("source")))
-    both = F.filter(F.concat(found('<a[^>]* href="([^"]*)"', "link"), found('<form[^>]* action="([^"]*)"', "form")), lambda x: x.href != "")
-    return pages.select("page_id", "url", F.posexplode(both).alias("ord", "l")).select("page_id", "url", "ord", "l.href", "l.source")
+    """page_id, ord (from 0), href and source of links (of `a` and `area`), then of form actions; empty ones are left out."""
+    bare = lambda h: F.regexp_replace(h, "^[\"']|[\"']$", "")
+    found = lambda p, s: F.transform(F.regexp_extract_all("_html", F.lit(p), F.lit(1)), lambda h: F.struct(bare(h).alias("href"), F.lit(s).alias("source")))
+    both = F.filter(F.concat(found(LINK, "link"), found(FORM, "form")), lambda x: x.href != "")
+    rows = pages.select("page_id", "url", plain("html").alias("_html"))
+    return rows.select("page_id", "url", F.posexplode(both).alias("ord", "l")).select("page_id", "url", "ord", "l.href", "l.source")
 
 
 def absolute(base: Column | str, href: Column | str) -> Column:
@@ -35,7 +58,7 @@ def absolute(base: Column | str, href: Column | str) -> Column:
 
 def sitemap_urls(robots: Column | str, start_origin: Column) -> Column:
     """The default sitemap, then those that robots.txt declares; each once."""
-    lines = F.transform(F.split(X.col(robots), "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(X.col(robots), "\n"), lambda x: F.regexp_replace(x, f"^{X.BLANK}|{X.BLANK}$", ""))
     declared = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit("(?i)^sitemap:"))), lambda x: F.regexp_replace(x, "(?i)^sitemap:\\s*", ""))
     return F.array_distinct(F.concat(F.array(F.concat(start_origin, F.lit("/sitemap.xml"))), declared))
 
@@ -51,6 +74,33 @@ def sitemap_pages(documents: DataFrame, start_origin: str, most: int) -> DataFra
     return top.select(F.row_number().over(W.orderBy("at")).alias("ord"), "url")
 
 
+def landed(wanted: DataFrame, bodies: DataFrame) -> DataFrame:
+    """wanted (url and more) with body: what was fetched from it with a status from 200 to 299, '' for what failed or is missing.
+
+    bodies: url, status and body; of several rows of a URL one with such a status counts, of these the largest body.
+    """
+    good = bodies.where(F.col("status").between(200, 299)).groupBy("url").agg(F.max("body").alias("_body"))
+    return wanted.join(good, "url", "left").withColumn("body", F.coalesce("_body", F.lit(""))).drop("_body")
+
+
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """key and value of a JSON object of strings; a missing or broken file has none."""
+    kind = "key string, value string"
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], kind)
+    entries = F.map_entries(F.coalesce(F.from_json("value", "map<string,string>"), F.create_map().cast("map<string,string>")))
+    return text.select(F.inline(entries)).select("key", "value")
+
+
+def write_config(config: DataFrame, path: str) -> None:
+    """key and value as one JSON object in a folder; null values are left out, of repeated keys the largest value counts."""
+    one = config.where("key IS NOT NULL AND value IS NOT NULL").groupBy("key").agg(F.max("value").alias("value"))
+    whole = one.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_manifest(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A JSON document per file; malformed input fails."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")

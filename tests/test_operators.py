@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import elements as E
 from pagewright.functions import text as X
-from pagewright.operators import crawl, items, timeline
+from pagewright.operators import crawl, items, timeline, tree
 from pagewright.sources import dom
 from pagewright.sources import pages as P
 
@@ -88,7 +88,7 @@ def one(spark, **columns):
     return spark.createDataFrame([Row(**columns)])
 
 
-BASE = dict(tag="div", **{"class": ""}, role="", label="l", id="", type="", href="", expanded="", selected="", overflow="visible", scroll_height=0, client_height=0, x=0, y=0, width=10, height=5, painted=False, outer_frame=False)
+BASE = dict(tag="div", **{"class": ""}, role="", label="l", id="", type="", href="", expanded="", selected="", overflow="visible", scroll_height=0, client_height=0, x=0, y=0, width=10, height=5, painted=False, outer_frame=False, aria_modal="", onclick="", contenteditable="", scroll_width=0, client_width=0)
 
 
 @pytest.mark.parametrize(
@@ -141,3 +141,45 @@ def test_capped_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT k, count(*) n FROM capped GROUP BY k").toPandas().n.tolist() == [3, 3]
+
+
+def test_trees_of_parsed_pages(spark):
+    html = '<html><body><label>Your <b>name</b> <input id=a></label><INPUT ID=b><label for=b>Mail</label><div aria-labelledby="x a y">t</div><i id=x> X </i><!-- <p>no</p> --><p>1<p>2</body></html>'
+    e = dom.dom_elements(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"))
+    rows = {r.idx: r for r in e.collect()}
+    assert [rows[i].tag for i in range(len(rows))] == ["html", "body", "label", "b", "input", "input", "label", "div", "i", "p", "p"]
+    assert rows[2].content == "Your name " and rows[4].above == [0, 1, 2] and rows[1].last == 10 and rows[3].parent == 2 and rows[0].parent is None
+    names = {r.idx: r.accessible_name for r in tree.named(e).collect()}
+    assert names[4] == "Your name" and names[5] == "Mail" and names[7] == "X" and names[8] == "X"
+    paths = {r.idx: (r.xpath, r.css_path) for r in tree.paths(e).collect()}
+    assert paths[0] == ("/html/", "") and paths[4] == ("/html/body/label[1]/input", "input#a") and paths[10] == ("/html/body/p[2]", "body > p:nth-of-type(2)")
+    n = {r.idx: r.n for r in dom.descendant_counts(e, F.col("tag").isin("input", "p"), 3).collect()}
+    assert (n[0], n[1], n[2], n[3], n[10]) == (3, 3, 1, 0, 0)
+    assert tree.paths(e.limit(0)).count() == 0 and tree.named(e.limit(0)).count() == 0
+
+
+def test_crawl_of_a_long_row(spark):
+    pages = spark.createDataFrame([(f"http://a/{i}", f"<a href='/{i + 1}'>n</a><a href='http://b/{i}'>o</a>") for i in range(40)], "url string, html string")
+    got = [r.url for r in crawl.discover(pages, "http://a/0?x#y", 200).orderBy("ord").collect()]
+    assert got == [f"http://a/{i}" for i in range(41)]  # the last one wasn't fetched
+    assert crawl.discover(pages.limit(0), "http://a/0", 5).count() == 1
+
+
+def test_links_in_any_quotes(spark):
+    html = "<A class=x HREF='/a'>a</A><area href=/b><a data-href=\"/no\">n</a><script>\"<a href='/s'>\"</script><!-- <a href='/c'> --><a title='>' href=\"/d\">d</a><form ACTION='/f'>"
+    rows = P.links(spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")).orderBy("ord").collect()
+    assert [(r.href, r.source) for r in rows] == [("/a", "link"), ("/b", "link"), ("/d", "link"), ("/f", "form")]
+
+
+def test_config_round_trip(spark, tmp_path):
+    at = str(tmp_path / "config")
+    assert P.read_config(spark, at).count() == 0
+    P.write_config(spark.createDataFrame([("patchPath", "/p"), ("x", None), (None, "y")], "key string, value string"), at)
+    assert [tuple(r) for r in P.read_config(spark, at).collect()] == [("patchPath", "/p")]
+
+
+def test_patch_items(spark):
+    items_ = spark.createDataFrame([(1, "card", "block-001", "a.png"), (2, "", "", ""), (3, "link", "block-003", "/x.png")], "reading int, kind string, id string, image string")
+    chosen = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "pos int, at int")
+    got = [(r["index"], r.source, r.path) for r in items.patch_items(items_, chosen, F.lit("/out/manifest.json")).orderBy("pos").collect()]
+    assert got == [(3, "/x.png", "items/link/003-block-003.png"), (1, "/out/a.png", "items/card/001-block-001.png"), (2, "", "items/unknown/002-item-2.png")]
