@@ -8,10 +8,8 @@ n items: n * n / 2**65).
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -39,10 +37,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only in local mode, where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pagewright-"))
         at = spark.sparkContext.getCheckpointDir()
     elif not spark.sparkContext.getCheckpointDir():
@@ -173,11 +173,3 @@ def blocks_for(df: DataFrame, column: str = "text", mb: float = 24.0) -> int:
     """Blocks of about mb MB into which the texts of df go; one narrow aggregate."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return max(1, int(total / (mb * 1e6)) + 1)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nobody holds any more; their cleaner needs two collections."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)

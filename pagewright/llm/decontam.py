@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     if best:
                         rows.append((i, m["item"], best[0], best[1], -best[2], -best[3]))
             at = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([r[1] for r in rows], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None), *(pa.array([r[k] for r in rows], pa.int32()) for k in (2, 3, 4, 5))], names=[key, item_key, "n_words", "n_equal", "doc_start", "item_start"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([r[1] for r in rows], b.column(1).type.value_type.field("item").type), *(pa.array([r[k] for r in rows], pa.int32()) for k in (2, 3, 4, 5))], names=[key, item_key, "n_words", "n_equal", "doc_start", "item_start"])
 
     out = ready.mapInArrow(verify, f"{key} {kind}, {item_key} {item_kind}, n_words int, n_equal int, doc_start int, item_start int")
     return out.groupBy(key, item_key).agg(F.max(F.struct("n_words", "n_equal", "doc_start", "item_start")).alias("best")).select(key, item_key, "best.*")
@@ -193,8 +193,8 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that an item contaminates; rows without key stay."""
-    bad = contaminated(docs, items, key, text).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(C.written(bad, "contaminated"), F.col(key) == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, items, key, text).select(key).distinct()
+    return docs.join(C.written(bad, "contaminated"), key, "left_anti").select(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 ORDER, QUANTILE, FEW = 4, 0.995, 20
-BLOCK_MB = 24.0
+BLOCK_MB = 48.0
+#: Languages up to which their thresholds are broadcast; more are joined by language.
+FEW_LANGUAGES = 10_000
 #: Characters that are turned into arrays at once; a longer single text goes alone.
 CHUNK = 1 << 20
 START = "\x02"
@@ -45,7 +47,7 @@ def bundles(docs: DataFrame, key: str, text: str, lang: str, blocks: int) -> Dat
     rows = docs.select(_place(key, text, blocks).alias("block"), F.col(key), F.coalesce(F.col(lang), F.lit("")), F.coalesce(F.col(text), F.lit("")))
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=6)
+        pack = zstandard.ZstdCompressor(level=9)
         for b in batches:
             block = b.column(0).to_numpy()
             order = np.argsort(block, kind="stable")
@@ -170,16 +172,14 @@ def probabilities(asked: DataFrame, grams: DataFrame) -> DataFrame:
 
 def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, lang, n_chars and perplexity (null without characters) of every row; trusted: the keys to train on."""
-    spark = docs.sparkSession
     kind = docs.select(key).schema[0].dataType.simpleString()
     blocks = C.blocks_for(docs, text, BLOCK_MB)
     bundled = bundles(docs, key, text, lang, blocks)
     named = trusted.select(_place(key, None, blocks).alias("block"), F.col(key).alias("key")).where("key IS NOT NULL")
     asked = C.written(bundled.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_counted, "block int, key long, gram string, count long"), "grams")
-    C.release(spark)
-    sums = C.cut(asked.groupBy("gram").agg(F.sum("count").alias("count")))
-    known = C.written(probabilities(sums.select("gram"), sums.where("count > 0")).select("gram", F.log("p").cast("float").alias("logp")), "logp")
-    answers = asked.join(known, "gram").select("block", "key", "logp")
+    sums = C.cut(asked.groupBy("key", "gram").agg(F.sum("count").alias("count")))
+    known = C.written(probabilities(sums.select("key", "gram"), sums.where("count > 0")).select("key", F.log("p").cast("float").alias("logp")), "logp")
+    answers = asked.select("block", "key").join(known, "key").select("block", "key", "logp")
 
     def score(t: pa.Table, a: pa.Table) -> pa.Table:
         h = a.column("key").to_numpy().view(C.U)
@@ -204,14 +204,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
 
 def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", quantile: float = QUANTILE) -> DataFrame:
     """key, lang, n_chars, perplexity, threshold and kept of every row."""
-    spark = docs.sparkSession
     good = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(key).distinct()
     held = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0
     scored = C.written(perplexities(docs, good.where(~held), key, text, lang), "perplexity")
-    C.release(spark)
     sample = scored.join(good.withColumn("_held", held), key).where("perplexity IS NOT NULL")
     at = lambda x: F.percentile_approx(x, quantile, 10000)
     by = sample.groupBy(F.col("lang").alias("_lang")).agg(at(F.when(F.col("_held"), F.col("perplexity"))).alias("_own"), F.count_if("_held").alias("_n"), at("perplexity").alias("_all"))
+    by = C.cut(by)
+    if by.count() <= FEW_LANGUAGES:
+        by = F.broadcast(by)
     every = sample.where("_held").agg(at("perplexity")).first()[0]
     few = F.greatest("_own", "_all", F.lit(float("inf") if every is None else float(every)))
     threshold = F.when(F.col("_lang").isNull(), F.lit(float("inf"))).when(F.col("_n") >= FEW, F.col("_own")).otherwise(few)
@@ -221,8 +222,8 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without those that are judged and not kept; rows without key stay."""
-    bad = judged(docs, labels, key, text, lang).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_bad")).distinct()
-    return docs.join(C.written(bad, "rejected"), F.col(key) == F.col("_bad"), "left_anti")
+    bad = judged(docs, labels, key, text, lang).where(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
+    return docs.join(C.written(bad, "rejected"), key, "left_anti").select(*docs.columns)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,14 @@ sets form one class; the join is over classes, so copies never meet each other.
    that link share at least l of the first n - ceil(t n) + l of each, for every l. Each class
    has an l of its own: a longer prefix costs postings, a shorter one candidates, and what
    both cost is estimated from the sketch. A pair has to share as many tokens of both
-   prefixes as the smaller of its two l says.
-3. The postings of these prefixes are joined by token. Every token's list first meets only its
+   prefixes as the smaller of its two l says, and so many that with all that can follow the last one
+   the two sets would still link.
+3. Tokens of a prefix that no other prefix holds, and classes with fewer than l others, are left out.
+   The postings of the rest are joined by token. Every token's list first meets only its
    pivot, the class of the list whose prefix has most shared tokens; pairs that reach their l are verified
-   over the whole sets, and classes that link with a pivot take its label. Then what has another label than the pivot
-   meets the rest of the list that has not its own label: shared tokens of each such pair are counted, and
-   those that reach their l are verified. So members of a cluster meet its
-   pivot, not each other, and no pair of different labels is left out.
+   over the whole sets, and classes that link with a pivot take its label. Then the classes of a list that have different
+   labels are compared by their prefixes, in groups and tiles of bounded size, and pairs that reach their l are
+   verified. So members of a cluster meet its pivot, and no pair of different labels is left out.
 4. Labels that a link joins form components.
 
 Every pair at or over the threshold is found or joined through others: the filters are exact bounds. A null or empty
@@ -35,11 +36,16 @@ from .graph import components
 
 #: Tokens that a task takes together when it counts repeats.
 UNIT = 500_000
+#: Rows of a group of lists; rows of a tile of a longer list; pairs of rows that are compared at once.
+ROWS, TILE, PAIRS = 20_000, 512, 10_000
+#: Tokens of a prefix that a row of a list brings with it, and how many of them come before its own.
+AROUND, BEFORE = 16, 4
 #: Values of l that are tried.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
-#: What verifying a candidate costs, in postings.
-VERIFY = 4.0
+#: What verifying a candidate costs, in postings; how often classes with too few shared tokens are left out.
+VERIFY, ROUNDS = 4.0, 3
 SKETCH_BITS = 18
+BITMAP_BITS = 24
 
 
 def sets(p: C.Piece, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,14 +80,15 @@ def _pack(token: np.ndarray) -> bytes:
     return np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _unpack(data) -> np.ndarray:
+    body = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(body), 8), np.uint8)
+    out[:, :6] = body
     return out.view("<u8").ravel()
 
 
 def shingled(docs: DataFrame, k: int, key: str, text: str, lower: bool) -> DataFrame:
-    """id, n, cls (null for an empty set) and tok of every row; tok (sorted tokens of 6 bytes) only where a batch first meets the class."""
+    """id, n, cls (null for an empty set), tok and row of every row; tok (sorted tokens of 6 bytes) only where a batch first meets the class; row: a number."""
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
@@ -96,18 +103,19 @@ def shingled(docs: DataFrame, k: int, key: str, text: str, lower: bool) -> DataF
                     seen.add(s)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(p.first, p.n), pa.array(np.diff(first), pa.int32()), pa.array(sig.view(np.int64), pa.int64(), mask=sig == 0), pa.array(toks, pa.binary())], names=["id", "n", "cls", "tok"])
 
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, n int, cls long, tok binary")
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, n int, cls long, tok binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def _sketch(held: DataFrame) -> np.ndarray:
-    """Counts of tokens that repeat within a task's units, by their first SKETCH_BITS bits: an array of fixed size."""
+def _sketch(held: DataFrame) -> tuple[np.ndarray, float]:
+    """Counts of tokens that repeat within a task's units, by their first SKETCH_BITS bits: an array of fixed size; and how many partners a token has in the whole, if units repeat it as they repeat tokens on average."""
 
     def run(batches):
-        out = np.zeros(1 << SKETCH_BITS, np.int64)
+        out = np.zeros((1 << SKETCH_BITS) + 3, np.int64)
         toks, size = [], 0
 
         def count():
             token, n = np.unique(_unpack(b"".join(toks)), return_counts=True)
+            out[-3:] += n.sum(), (n - 1).sum(), 1
             np.add.at(out, (token[n > 1] >> C.U(48 - SKETCH_BITS)).astype(np.int64), n[n > 1])
 
         for b in batches:
@@ -123,13 +131,14 @@ def _sketch(held: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at], pa.int64())], names=["cell", "count"])
 
     t = held.where("tok IS NOT NULL").select("tok").mapInArrow(run, "cell int, count long").groupBy("cell").agg(F.sum("count").alias("count")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros((1 << SKETCH_BITS) + 3, np.int64)
     out[t.column("cell").to_numpy()] = t.column("count").to_numpy()
-    return out
+    total, repeats, units = out[-3:].tolist()
+    return out[:-3], repeats / max(total, 1) * units
 
 
-def prefixes(n: np.ndarray, token: np.ndarray, percent: int, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """l of each set, and the tokens of its prefix for l matches with the set each belongs to; n: sizes of the sets, whose tokens follow each other."""
+def prefixes(n: np.ndarray, token: np.ndarray, percent: int, sketch: np.ndarray, most: int, rate: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """l of each set, and the tokens of its prefix for l matches, the set each belongs to and its place there; n: sizes of the sets, whose tokens follow each other."""
     first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
     row = np.repeat(np.arange(len(n)), n)
     seen = sketch[(token >> C.U(48 - SKETCH_BITS)).astype(np.int64)]
@@ -140,15 +149,21 @@ def prefixes(n: np.ndarray, token: np.ndarray, percent: int, sketch: np.ndarray,
     best, l = np.full(len(n), np.inf), np.ones(len(n), np.int64)
     for x in (m for m in MATCHES if m <= most):
         size = n - overlap + x
-        cost = np.where(x <= overlap, size + VERIFY * (met[np.minimum(first[:-1] + size, first[1:])] - met[first[:-1]]) / x**2, np.inf)
+        partners = met[np.minimum(first[:-1] + size, first[1:])] - met[first[:-1]] + rate * size
+        cost = np.where(x <= overlap, size + VERIFY * partners / x**2, np.inf)
         l = np.where(cost < best, x, l)
         best = np.minimum(best, cost)
-    inside = np.arange(len(token)) - first[row] < (n - overlap + l)[row]
-    return l, token[inside], row[inside]
+    place = np.arange(len(token)) - first[row]
+    inside = place < (n - overlap + l)[row]
+    return l, token[inside], row[inside], place[inside]
 
 
-def postings(held: DataFrame, percent: int, sketch: np.ndarray, most: int) -> DataFrame:
-    """token, cls, n, l and weight of every token in a class's prefix that another class's prefix holds too; weight: how many of such tokens the class has, as part of its prefix."""
+def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, most: int) -> DataFrame:
+    """cls, n, l, prefix (place and token of those in the class's prefix that another class's prefix holds too, in order) and weight (how many those are, as part of the prefix).
+
+    A class with fewer than l such tokens is left out: what it holds alone is more than a link allows. That can
+    leave others with too few, so it is done ROUNDS times.
+    """
 
     def run(batches):
         for b in batches:
@@ -157,54 +172,160 @@ def postings(held: DataFrame, percent: int, sketch: np.ndarray, most: int) -> Da
             at = 0
             while at < len(n):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + UNIT, "right")))
-                l, token, row = prefixes(n[at:to], _unpack(b"".join(toks[at:to])), percent, sketch, most)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(cls[at:to][row], pa.int64()), pa.array(n[at:to][row], pa.int32()), pa.array(l[row], pa.int32())], names=["token", "cls", "n", "l"])
+                l, token, row, place = prefixes(n[at:to], _unpack(b"".join(toks[at:to])), percent, sketch, most, rate)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(cls[at:to][row], pa.int64()), pa.array(n[at:to][row], pa.int32()), pa.array(l[row], pa.int32()), pa.array(place, pa.int32())], names=["token", "cls", "n", "l", "place"])
                 at = to
 
-    every = held.where("tok IS NOT NULL").select("cls", "n", "tok").mapInArrow(run, "token long, cls long, n int, l int")
-    met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
-    shared = C.written(every.join(met, "token").distinct(), "postings")
+    every = held.where("tok IS NOT NULL").select("cls", "n", "tok").mapInArrow(run, "token long, cls long, n int, l int, place int")
     size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("l")
-    weight = shared.groupBy("cls").agg(F.count("*").alias("hits"))
-    return shared.join(weight, "cls").withColumn("weight", F.col("hits") / size).drop("hits")
+    for _ in range(ROUNDS):
+        met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
+        shared = every.join(met, "token").groupBy("cls", "n", "l").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("prefix"))
+        p = C.written(shared.where(F.size("prefix") >= F.col("l")).withColumn("weight", F.size("prefix") / size), "prefixes")
+        every = postings(p).select("token", "cls", "n", "l", "place")
+    return p
+
+
+def postings(p: DataFrame) -> DataFrame:
+    """A row for each token of the prefixes: token, place, and k, its number in the prefix."""
+    names = [c for c in p.columns if c != "prefix"]
+    return p.select(*names, F.posexplode("prefix").alias("k", "at")).select(*names, "k", "at.token", "at.place")
 
 
 def to_pivots(p: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of each token's pivot a with the others of its list."""
-    pivot = p.groupBy("token").agg(F.max(F.struct("weight", "cls", "n", "l")).alias("pivot"))
-    pairs = p.join(pivot, "token").where("cls <> pivot.cls").where(_sizes("n", "pivot.n", percent))
-    return pairs.groupBy(F.col("pivot.cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("l", "pivot.l")).alias("need")).where("met >= need").select("a", "b")
+    each = postings(p).drop("k")
+    pivot = each.groupBy("token").agg(F.max(F.struct("weight", "cls", "n", "l", "place")).alias("pivot"))
+    pairs = each.join(pivot, "token").where("cls <> pivot.cls").where(_sizes("n", "pivot.n", percent))
+    met = pairs.groupBy(F.col("pivot.cls").alias("a"), F.col("cls").alias("b")).agg(
+        F.count("*").alias("met"), F.max(F.struct("pivot.n", "pivot.l", "pivot.place")).alias("x"), F.max(F.struct("n", "l", "place")).alias("y")
+    )  # n and l are the same in all rows of a pair
+    after = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
+    reach = (100 + percent) * (F.col("met") + after) >= percent * (F.col("x.n") + F.col("y.n"))
+    return met.where((F.col("met") >= F.least("x.l", "y.l")) & reach).select("a", "b")
+
+
+def agreeing(x: np.ndarray, y: np.ndarray, rows: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs (x, y) of rows of one token share enough tokens near it, and none before it.
+
+    rows: n, l, place and rest of each, and its near tokens (first, size; id, at: a number for each token, and its place).
+    Enough: as many as the smaller l, if both prefixes end there, and so many that with all that can follow the last one
+    the sets would link.
+    """
+    first, size, n = rows["first"], rows["size"], rows["n"]
+
+    def spread(at):
+        pair = np.repeat(np.arange(len(at)), size[at])
+        begin = np.cumsum(size[at]) - size[at]
+        where = np.arange(len(pair)) - begin[pair] + first[at][pair]
+        return pair, where, pair * (rows["id"].max() + 1) + rows["id"][where]
+
+    (pair, in_x, key_x), (_, in_y, key_y) = spread(x), spread(y)
+    _, i, j = np.intersect1d(key_x, key_y, assume_unique=True, return_indices=True)  # the token itself is in both
+    pair, at_x, at_y = pair[i], rows["at"][in_x[i]], rows["at"][in_y[j]]
+    begin = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    met = np.diff(np.append(begin, len(pair)))
+    end_x, end_y = np.maximum.reduceat(at_x, begin), np.maximum.reduceat(at_y, begin)
+    reach = met + np.minimum(n[x] - end_x, n[y] - end_y) - 1
+    need = np.where(rows["rest"][x] + rows["rest"][y] > 0, 1, np.minimum(rows["l"][x], rows["l"][y]))
+    return (np.minimum.reduceat(at_x, begin) == rows["place"][x]) & (met >= need) & ((100 + percent) * reach >= percent * (n[x] + n[y]))
+
+
+def _pairs_of_group(percent: int):
+    """Candidates (a, b, u, v) of some lists, as to_others groups them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("token").combine_chunks()
+        key, cls, label, side = (t.column(c).to_numpy() for c in ("token", "cls", "label", "side"))
+        rows = {c: t.column(c).to_numpy().astype(np.int64) for c in ("n", "l", "place", "rest")}
+        near = t.column("tokens").chunk(0)
+        rows["size"] = near.value_lengths().to_numpy().astype(np.int64)
+        rows["first"] = np.cumsum(rows["size"]) - rows["size"]
+        rows["id"] = np.unique(near.flatten().to_numpy(), return_inverse=True)[1]
+        rows["at"] = t.column("places").chunk(0).flatten().to_numpy().astype(np.int64)
+        n, place = rows["n"], rows["place"]
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for lag in range(1, len(key)):  # rows of a token are neighbours: pairs that lie `lag` apart
+            x = np.flatnonzero(key[lag:] == key[:-lag])
+            if not len(x):
+                break
+            y = x + lag
+            after = np.minimum(n[x] - place[x], n[y] - place[y])
+            ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] < 0)) & ((100 + percent) * after >= percent * (n[x] + n[y]))
+            x, y = x[ok], y[ok]
+            for lo in range(0, len(x), PAIRS):
+                i, j = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
+                good = agreeing(i, j, rows, percent)
+                out.append((i[good], j[good]))
+        x, y = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        x, y = np.where(cls[x] < cls[y], x, y), np.where(cls[x] < cls[y], y, x)
+        return pa.table({"a": cls[x], "b": cls[y], "u": label[x], "v": label[y]})
+
+    return run
 
 
 def to_others(p: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) with different labels and their labels (u, v): all that the pivots' labels don't join."""
-    named = C.written(p.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
-    lists = named.groupBy("token").agg(F.max(F.struct("weight", "cls", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token", F.col("top.label").alias("top"))
-    left = named.join(lists, "token").select("token", "cls", "n", "l", "label", (F.col("label") != F.col("top")).alias("minor"))
-    a, b = left.where("minor").alias("a"), left.alias("b")
-    pairs = a.join(b, F.col("a.token") == F.col("b.token")).where("a.label <> b.label AND (NOT b.minor OR a.cls < b.cls)").where(_sizes("a.n", "b.n", percent))
-    low, high = F.least("a.cls", "b.cls"), F.greatest("a.cls", "b.cls")
-    u = F.when(F.col("a.cls") < F.col("b.cls"), F.col("a.label")).otherwise(F.col("b.label"))
-    v = F.when(F.col("a.cls") < F.col("b.cls"), F.col("b.label")).otherwise(F.col("a.label"))
-    met = pairs.groupBy(low.alias("a"), high.alias("b")).agg(F.count("*").alias("met"), F.first(F.least("a.l", "b.l")).alias("need"), F.first(u).alias("u"), F.first(v).alias("v"))
-    return met.where("met >= need").select("a", "b", "u", "v")
+    """Candidates (a, b) with different labels and their labels (u, v): all that the pivots' labels don't join.
+
+    Two prefixes are compared in the list of the first token that they share, to which each row brings the prefix near it.
+    Lists of up to TILE rows are compared in groups of about ROWS rows, longer ones tile by tile; pairs that don't agree are not put out.
+    """
+    named = C.written(p.drop("weight").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    each = postings(named).select("token", "cls", "label", "place", "k")
+    lists = each.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("token", "m")
+    rows = C.cut(each.drop("label").join(lists, "token").groupBy("cls").agg(F.collect_list(F.struct("token", "place", "k", "m")).alias("all")))
+    groups = max(1, (rows.agg(F.sum(F.size("all"))).first()[0] or 0) // ROWS)
+    begin = F.greatest(F.col("k") - BEFORE, F.lit(0))
+    near = F.slice("prefix", begin + 1, F.lit(AROUND))
+    rows = rows.join(named, "cls").select("cls", "n", "l", "label", "prefix", F.inline("all")).withColumns({"tokens": near["token"], "places": near["place"], "rest": F.greatest(F.size("prefix") - begin - AROUND, F.lit(0))})
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    placed = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    group = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("token"), F.lit(groups)).cast("string")).otherwise(F.concat_ws(":", F.col("token").cast("string"), F.least("tile", "other"), F.greatest("tile", "other")))
+    side = F.when(F.col("tile") == F.col("other"), -1).otherwise((F.col("tile") > F.col("other")).cast("int"))
+    placed = placed.select(group.alias("group"), "token", "cls", "n", "l", "label", "place", "tokens", "places", "rest", side.alias("side"))
+    return placed.groupBy("group").applyInArrow(_pairs_of_group(percent), "a long, b long, u long, v long").distinct()
 
 
 def _sizes(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The rows of pairs (a, b and more) whose whole sets link; tokens: cls and tok of every class."""
-    one, two = (tokens.select(F.col("cls").alias(c), F.col("tok").alias(f"tok_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").select(*pairs.columns, "tok_a", "tok_b")
+def _passing(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """row and tok of the rows of held that are among rows (row), and of few others: a bitmap of fixed size keeps most sets from being moved; more rows only let more pass."""
+    bit = F.expr(f"shiftrightunsigned(xxhash64(row), {64 - BITMAP_BITS})")
+    found = rows.select(bit.alias("bit")).groupBy(F.expr("cast(bit >> 6 AS int)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()
+    cells = np.zeros(1 << (BITMAP_BITS - 6), np.int64)  # at most as many rows came
+    cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy()
+    bitmap = cells.view(C.U)
+
+    def run(batches):
+        for b in batches:
+            at = b.column(0).to_numpy()
+            yield b.select(["row", "tok"]).filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(C.U) & C.U(1)) > 0))
+
+    return held.where("tok IS NOT NULL").select(bit.alias("bit"), "row", "tok").mapInArrow(run, "row long, tok binary")
+
+
+def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs (a, b and more; checkpointed) whose whole sets link; held: the sets, as shingled gives them.
+
+    Of every class one row's set is moved, to its pairs; the other rows of it stay where they are.
+    """
+    classes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = C.cut(held.where("tok IS NOT NULL").groupBy("cls").agg(F.min("row").alias("row")).join(classes, "cls"))
+    tokens = _passing(chosen, held)
+    both = pairs
+    for c in "ab":
+        at = chosen.select(F.col("cls").alias(c), F.col("row").alias(f"row_{c}"))
+        both = both.join(at, c).join(tokens.select(F.col("row").alias(f"row_{c}"), F.col("tok").alias(f"tok_{c}")), f"row_{c}").drop(f"row_{c}")
+    both = both.select(*pairs.columns, "tok_a", "tok_b")
     names, wide = pairs.columns, len(pairs.columns)
 
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(wide).to_pylist(), b.column(wide + 1).to_pylist()):
-                x, y = _unpack(x), _unpack(y)
+            for x, y in zip(b.column(wide), b.column(wide + 1)):
+                x, y = _unpack(x.as_buffer()), _unpack(y.as_buffer())
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
@@ -222,13 +343,12 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
     """
     held = C.written(shingled(docs, k, key, text, lower), "sets")
     rows = held.select("id", "n", "cls")
-    p = C.written(postings(held, percent, _sketch(held), most), "prefixes")
-    tokens = C.written(held.where("tok IS NOT NULL").select("cls", "tok").join(p.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"]), "tokens")
-    star = C.cut(verified(C.cut(to_pivots(p, percent)), tokens, percent))
+    p = prefixed(held, percent, *_sketch(held), most)
+    star = C.cut(verified(C.cut(to_pivots(p, percent)), held, percent))
     pivots = star.select("a").distinct()
     labels = star.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("label")).join(pivots, F.col("cls") == F.col("a"), "left_anti").unionByName(pivots.select(F.col("a").alias("cls"), F.col("a").alias("label")))
     labels = C.cut(labels)
-    more = verified(C.cut(to_others(p, labels, percent)), tokens, percent).select("u", "v")
+    more = verified(C.cut(to_others(p, labels, percent)), held, percent).select("u", "v")
     across = star.join(labels, F.col("b") == F.col("cls")).where("a <> label").select(F.col("a").alias("u"), F.col("label").alias("v"))
     joined = components(more.unionByName(across))
     roots = labels.join(joined, F.col("label") == F.col("node"), "left").select("cls", F.coalesce("root", "label").alias("root"))

@@ -3,11 +3,12 @@
 A suffix is retained where its position is the minimiser (least hash of SEED words) of some
 window of positions. Window and right context are chosen so that any passage of `length`
 words holds a retained suffix with RIGHT more words inside the passage, and both occurrences
-retain the same one. Suffixes are sorted by the hash of their right context; runs of
-equal neighbours that span two documents are matches. Around each, every stretch of `length`
-words that reaches over the suffix is compared by hash, and stretches that agree with the same
-document and follow each other are joined: the match is extended left and right as far as the
-documents agree. So exactly the words are found that lie in a stretch of `length` words
+retain the same one. Suffixes are ordered by a hash of their right context, which stands for its words; a
+batch settles first what several of its documents share and passes on one of them, so that no suffix is a hot key.
+The rest is dealt to ranges of that order, sorted there, and each suffix is compared with its neighbours: equal
+ones of two documents are matches. Then matches are extended: every stretch of `length`
+words that reaches from a matched suffix to the left or right is compared by hash, and stretches that agree with the same
+document and follow each other are joined. So the words are found that lie in a stretch of `length` words
 which an earlier document (smaller doc_id) holds too; the first one keeps them.
 
 Words are compared as they stand. Null and empty texts, and those shorter than `length`,
@@ -45,6 +46,29 @@ def retained(p: C.Piece, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, C.grams(p.word_hash, right)[at]
 
 
+def neighbours(batches):
+    """id and at of suffixes (suffix, id, at, matched; sorted) next to which an equal one of another document, or a matched one, lies.
+
+    Rows of a run of equal suffixes are held back over batches while they are of one document.
+    """
+    tail, settled = None, None  # the unmatched run at the end so far; or its suffix, if it matches already
+    for b in batches:
+        if tail is not None:
+            b = pa.Table.from_batches([tail, b]).combine_chunks().to_batches()[0]
+        if not b.num_rows:
+            continue
+        h = b.column(0).to_numpy()
+        first = np.append(True, h[1:] != h[:-1])
+        run = np.cumsum(first) - 1
+        _, id_ = np.unique(b.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
+        other = (id_ != id_[first][run]) | b.column(3).to_numpy(zero_copy_only=False)
+        several = np.zeros(run[-1] + 1, bool)
+        several[run[other]] = True
+        several[0] |= h[0] == settled
+        tail, settled = (None, h[-1]) if several[-1] else (b.filter(pa.array(run == run[-1])), None)
+        yield b.select(["id", "at"]).filter(pa.array(several[run]))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, first (the document that keeps the words), start and end (word offsets) of repeated passages."""
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -52,14 +76,29 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     def suffixes(batches):
         for b in batches:
+            found = []
             for p in C.pieces(b.column(1)):
                 at, h = retained(p, length)
                 owner = np.searchsorted(p.word_of, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), b.column(0).take(pa.array(owner + p.first)), pa.array(at - p.word_of[owner], pa.int32())], names=["suffix", "id", "at"])
-
-    kept = named.mapInArrow(suffixes, f"suffix long, id {kind}, at int")
-    runs = kept.groupBy("suffix").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("suffix")
-    matched = C.written(kept.join(runs, "suffix").groupBy("id").agg(F.collect_set("at").alias("at")), "suffixes")
+                found.append((h, owner + p.first, at - p.word_of[owner]))
+            if not found:
+                continue
+            h, row, at = (np.concatenate(x) for x in zip(*found))
+            _, id_ = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+            order = np.lexsort((at, row, id_[row], h))
+            h, row, at = h[order], row[order], at[order]
+            first = np.append(True, h[1:] != h[:-1])[: len(h)]
+            run = np.cumsum(first) - 1
+            low = id_[row[first]]
+            several = np.zeros(len(low), bool)
+            several[run[id_[row] != low[run]]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), b.column(0).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(several[run], pa.bool_()), pa.array(first | ~several[run], pa.bool_())], names=["suffix", "id", "at", "matched", "sent"])
+
+    kept = C.written(named.mapInArrow(suffixes, f"suffix long, id {kind}, at int, matched boolean, sent boolean"), "suffixes")
+    # one of those that a batch has matched goes on for the others of its suffix, in whatever batch
+    ordered = kept.where("sent").select("suffix", "id", "at", "matched").repartition(F.expr("shiftright(suffix, 44)")).sortWithinPartitions("suffix", "id", "at")
+    found = ordered.mapInArrow(neighbours, f"id {kind}, at int")
+    matched = C.written(kept.where("matched").select("id", "at").unionByName(found).groupBy("id").agg(F.collect_set("at").alias("at")), "matches")
 
     def stretches(batches):
         for b in batches:
@@ -107,9 +146,9 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
 
     A column n_chars, if there is one, is set anew.
     """
-    cuts = spans.groupBy(F.col(key).alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("_cuts"))
-    joined = docs.join(cuts, F.col(key) == F.col("_id"), "left").drop("_id")
     at, names = docs.columns.index(text), docs.columns
+    cuts = spans.groupBy(key).agg(F.collect_list(F.struct("start", "end")))
+    joined = docs.join(cuts.toDF(key, "".join(names) + "_"), key, "left").select(*names, "".join(names) + "_")
 
     def run(batches):
         for b in batches:

@@ -5,7 +5,7 @@ of MARKER code points) that occur almost only in toxic documents are chosen, fir
 can't be chance, then, if few documents are explained by those, greedily what explains most others; words with a marker are
 labelled 1, and only inside toxic documents. The field has features of a word (itself, its beginnings and
 endings) and of pairs of neighbouring labels; it is fitted by gradient steps on its exact
-likelihood. Forward-backward marginals of whole texts give the offending words; a
+likelihood, with the marginals of tokens and of pairs of neighbours from forward-backward. Forward-backward marginals of whole texts give the offending words; a
 document's score is a logistic function of its largest marginal and their sum.
 
 The fit uses at most SAMPLE toxic and 2 * SAMPLE other documents, of at most FIT_BYTES bytes each (documented bounds); scoring
@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common as C
 from .decontam import _clean
@@ -84,8 +85,8 @@ def markers(toxic: list[list[str]], other: list[list[str]], least: int = 3) -> s
     return chosen
 
 
-def marginals(e: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """P(label 1) of each token of some chains; e: score of label 1 over 0; pairs: weights of (before, after).
+def passes(e: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward messages of label 1 over 0 at each token of some chains, and exp(e); e: score of label 1 over 0; pairs: weights of (before, after).
 
     Chains are laid side by side, the longest first, and stepped through together.
     """
@@ -111,10 +112,34 @@ def marginals(e: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray
         i = at[: active[t + 1]] + t
         x = gain[i + 1] * behind[i + 1]
         behind[i] = np.clip((x * t11 + t10) / (x * t01 + t00), 1e-150, 1e150)
+    return ahead, behind, gain
+
+
+def marginals(e: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """P(label 1) of each token of some chains."""
+    ahead, behind, _ = passes(e, first, pairs)
     x = ahead * behind
     return x / (1 + x)
 
 
+def slopes(e: np.ndarray, first: np.ndarray, pairs: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope of the negative log-likelihood of labels by each e, and by each weight in pairs.
+
+    Expected counts of a pair of labels come from the joint marginals of neighbours.
+    """
+    ahead, behind, gain = passes(e, first, pairs)
+    x = ahead * behind
+    inner = np.ones(len(e), bool)
+    inner[first[:-1][first[:-1] < len(e)]] = False  # tokens with one before them in their chain
+    b = np.flatnonzero(inner)
+    left, right = np.stack([np.ones(len(b)), ahead[b - 1]]), np.stack([np.ones(len(b)), gain[b] * behind[b]])
+    joint = left[:, None] * np.exp(pairs)[:, :, None] * right[None]
+    expected = (joint / joint.sum((0, 1))).sum(2)
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (label[b - 1].astype(int), label[b].astype(int)), 1)
+    return x / (1 + x) - label, expected - seen
+
+
 class Model:
     """Weights of features and of pairs of labels, and of the document's logistic function."""
 
@@ -186,24 +211,20 @@ def fit(texts: list[str], toxic: list[int], rate: float = 0.1) -> Model:
     weights, pairs = np.zeros(1 << SPACE_BITS), np.array([[1.0, -1.0], [0.0, 0.0]])
     weights[xxhash.xxh32_intdigest("1") & ((1 << SPACE_BITS) - 1)] = -3.0
     use = np.repeat(own, lengths)
-    inner = use.copy()
-    inner[first[:-1][first[:-1] < len(token)]] = False  # tokens with one before them in the text
-    before = np.flatnonzero(inner) - 1
-    size = max(len(token), 1)
+    chains = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64)[own])]).astype(np.int64)
+    fitted, known = token[use], label[use]
+    size = max(len(fitted), 1)
     seen = np.bincount(column, np.bincount(token, minlength=len(flat))[row], len(weights))
-    speed, moment, second = np.zeros_like(weights), np.zeros_like(pairs), np.full_like(pairs, 1e-8)
+    speed, second = np.zeros_like(weights), np.full_like(pairs, 1e-8)
     for _ in range(STEPS):
-        e = np.bincount(row, weights[column], len(flat))[token]
-        m = marginals(e, first, pairs)
-        slope = np.bincount(column, np.bincount(token, np.where(use, m - label, 0), len(flat))[row], len(weights)) + SHRINK * weights
+        e = np.bincount(row, weights[column], len(flat))[fitted]
+        each, both = slopes(e, chains, pairs, known)
+        slope = np.bincount(column, np.bincount(fitted, each, len(flat))[row], len(weights)) + SHRINK * weights
         speed += slope**2
         weights -= RATE * slope / np.sqrt(speed + 1e-3) * (seen > 0)
-        # neighbouring labels: expected under independent marginals of the two, which the field's mean gives
-        a, b, la, lb = m[before], m[before + 1], label[before], label[before + 1]
-        slope = np.array([[((1 - a) * (1 - b) - (1 - la) * (1 - lb)).sum(), ((1 - a) * b - (1 - la) * lb).sum()], [(a * (1 - b) - la * (1 - lb)).sum(), (a * b - la * lb).sum()]]) / size
-        moment = slope
+        slope = both / size
         second += slope**2
-        pairs -= 0.1 * moment / np.sqrt(second)
+        pairs -= 0.1 * slope / np.sqrt(second)
     e = np.bincount(row, weights[column], len(flat))[token]
     x, y = summaries(marginals(e, first, pairs), first)[held], y[held]
     share = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
@@ -218,14 +239,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model from rows that `labels` covers; None unless both labels occur."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("_label"))
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    short = docs.where(F.octet_length(text) <= FIT_BYTES).select(key, text)
-    texts, toxic = [], []
-    for value in (0, 1):
-        ids = known.where(F.col("_label") == value).orderBy(F.xxhash64(key)).limit(3 * sample * (2 - value)).select(key)  # a bounded number of keys
-        ids = docs.sparkSession.createDataFrame(ids.collect(), ids.schema)
-        found = short.join(F.broadcast(ids), key).orderBy(F.xxhash64(key), text).limit(sample * (2 - value)).select(text).collect()
-        texts += [r[0] for r in found]
-        toxic += [value] * len(found)
+    ids = [known.where(F.col("_label") == v).orderBy(F.xxhash64(key)).limit(3 * sample * (2 - v)) for v in (0, 1)]  # a bounded number of keys
+    ids = docs.sparkSession.createDataFrame(ids[0].unionByName(ids[1]).collect(), ids[0].schema)
+    short = docs.where(F.octet_length(text) <= FIT_BYTES).select(F.col(key), F.col(text).alias("_text"))
+    place = F.row_number().over(W.partitionBy("_label").orderBy(F.xxhash64(key), "_text"))
+    found = short.join(F.broadcast(ids), key).withColumn("_place", place).where(F.col("_place") <= sample * (2 - F.col("_label"))).orderBy("_label", "_place").select("_text", "_label").collect()
+    texts, toxic = [r[0] for r in found], [int(r[1]) for r in found]
     if len(set(toxic)) < 2:
         return None
     return fit(texts, toxic, min(0.5, max(0.01, counts[1] / sum(counts.values()))))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import os
 import struct
 import uuid
@@ -31,7 +32,11 @@ from . import common as C
 
 MIN_REVISIT = 1000
 #: Bytes after which a writer begins the next archive; only a single larger record exceeds it.
-ARCHIVE_BYTES = 6 << 20
+ARCHIVE_BYTES = 256 << 20
+#: Bytes that a reader takes at a time, and the most tasks that read archives.
+CHUNK, READERS = 4 << 20, 20_000
+#: Fixed value: the header that a record may have more than once.
+REPEATED = "warc-concurrent-to"
 DICTIONARY_BYTES, DICTIONARY_ROWS = 48 << 10, 256
 #: Magic numbers of Zstandard frames and of a dictionary's skippable frame.
 FRAME, DICTIONARY_FRAME, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
@@ -68,7 +73,7 @@ def record_bytes(page_id, url, kind, refers_to, payload: bytes, digest: str, siz
 
 
 def parse_record(data: bytes) -> dict:
-    """Headers, block and type of a record; raises BadArchive where headers or lengths don't hold."""
+    """Headers, block and type of a record; raises BadArchive where headers or lengths don't hold. Values of a header that may be repeated are joined by line breaks."""
     end = data.find(b"\r\n\r\n")
     if end < 0:
         raise BadArchive("the header has no end")
@@ -80,9 +85,12 @@ def parse_record(data: bytes) -> dict:
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             raise BadArchive(f"not a header: {line[:60]!r}")
-        if name.lower() in head:
-            raise BadArchive(f"header twice: {name}")
-        head[name.lower()] = value.strip()
+        name, value = name.lower(), value.strip()
+        if name in head:
+            if name != REPEATED:
+                raise BadArchive(f"header twice: {name}")
+            value = f"{head[name]}\n{value}"
+        head[name] = value
     for need in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if need not in head:
             raise BadArchive(f"no header {need}")
@@ -103,34 +111,45 @@ def parse_record(data: bytes) -> dict:
     return {"type": kind, "head": head, "block": block}
 
 
-def frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
-    """(magic, frame) of each frame, whose ends are found from the block headers alone."""
-    at = 0
-    while at < len(data):
-        if len(data) - at < 8:
-            raise BadArchive(f"{len(data) - at} bytes after the last frame")
-        magic, size = struct.unpack_from("<II", data, at)
-        if magic in SKIPPABLE:
-            end = at + 8 + size
-        elif magic == FRAME:
-            d = data[at + 4]
-            single = d >> 5 & 1
-            end = at + 5 + (1 - single) + (0, 1, 2, 4)[d & 3] + (single, 2, 4, 8)[d >> 6]
-            last = 0
-            while not last:
-                if end + 3 > len(data):
-                    raise BadArchive(f"the frame at {at} is cut short")
-                b = data[end] | data[end + 1] << 8 | data[end + 2] << 16
-                last, kind = b & 1, b >> 1 & 3
-                if kind == 3:
-                    raise BadArchive(f"the frame at {at} has a reserved block")
-                end += 3 + (1 if kind == 1 else b >> 3)
-            end += 4 * (d >> 2 & 1)
-        else:
-            raise BadArchive(f"no frame at {at}")
-        if end > len(data):
-            raise BadArchive(f"the frame at {at} is cut short")
-        yield magic, data[at:end]
+def _end(data: memoryview, at: int) -> int | None:
+    """Where the frame at `at` ends, told by its block headers alone; None if data ends before that is known."""
+    if len(data) - at < 8:
+        return None
+    magic, size = struct.unpack_from("<II", data, at)
+    if magic in SKIPPABLE:
+        return at + 8 + size
+    if magic != FRAME:
+        raise BadArchive("no frame where one should begin")
+    d = data[at + 4]
+    single = d >> 5 & 1
+    end = at + 5 + (1 - single) + (0, 1, 2, 4)[d & 3] + (single, 2, 4, 8)[d >> 6]
+    last = 0
+    while not last:
+        if end + 3 > len(data):
+            return None
+        b = data[end] | data[end + 1] << 8 | data[end + 2] << 16
+        last, kind = b & 1, b >> 1 & 3
+        if kind == 3:
+            raise BadArchive("a frame has a reserved block")
+        end += 3 + (1 if kind == 1 else b >> 3)
+    return end + 4 * (d >> 2 & 1)
+
+
+def frames(source) -> Iterator[tuple[int, memoryview]]:
+    """(magic, frame) of each frame of a file, of which CHUNK bytes, or one larger frame, are held at a time."""
+    data, at, ended = memoryview(b""), 0, False
+    while True:
+        end = _end(data, at)
+        while (end is None or end > len(data)) and not ended:
+            more = source.read(max(CHUNK, (end or 0) - len(data)))
+            ended = not more
+            data, end, at = memoryview(bytes(data[at:]) + bytes(more)), None, 0
+            end = _end(data, at)
+        if at == len(data):
+            return
+        if end is None or end > len(data):
+            raise BadArchive(f"{len(data) - at} bytes at the end are no whole frame")
+        yield struct.unpack_from("<I", data, at)[0], data[at:end]
         at = end
 
 
@@ -138,10 +157,10 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary
 
 
-def read_archive(data: bytes | memoryview) -> Iterator[dict]:
-    """Records of an archive, in order."""
+def read_archive(source) -> Iterator[dict]:
+    """Records of an archive (bytes or an open file), in order."""
     decoder = None
-    for k, (magic, frame) in enumerate(frames(memoryview(data).cast("B"))):
+    for k, (magic, frame) in enumerate(frames(source if hasattr(source, "read") else io.BytesIO(source))):
         if magic in SKIPPABLE:
             if k == 0 and magic == DICTIONARY_FRAME:
                 content = bytes(frame[8:])
@@ -181,9 +200,9 @@ def decisions(pages: DataFrame) -> DataFrame:
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = pages.select("page_id", "url", payload.alias("payload")).withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    large = keyed.where(F.col("payload_bytes") >= MIN_REVISIT)
+    large = C.written(keyed.where(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "url", "payload_digest"), "digests")
     shared = large.groupBy("payload_digest").agg(F.max("page_id").alias("_to"), F.max_by("url", F.coalesce("page_id", F.lit(-(2**63)))).alias("_to_url"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = large.select("page_id", "payload_digest").join(shared, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("_to"))).distinct().select(F.coalesce("page_id", F.lit(-(2**63))).alias("_id"), F.col("payload_digest").alias("_digest"), "_to", "_to_url")
+    again = large.select("page_id", "payload_digest").join(shared, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("_to"))).distinct().select(F.coalesce(F.col("page_id"), F.lit(-(2**63))).alias("_id"), F.col("payload_digest").alias("_digest"), "_to", "_to_url")
     out = keyed.join(again, (F.coalesce(keyed.page_id, F.lit(-(2**63))) == again["_id"]) & (keyed.payload_digest == again["_digest"]), "left")
     revisit = F.col("_to").isNotNull()
     return out.select("page_id", "url", "payload", "payload_digest", "payload_bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("_to").alias("refers_to"), "_to_url")
@@ -231,33 +250,42 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows (RECORD) of the records in a folder that write_archives has filled; any flaw fails the job."""
+    """Rows (RECORD) of the records in a folder that write_archives has filled; any flaw fails the job.
+
+    Tasks open the archives that the manifest names, so nothing lists the folder and no archive is shuffled.
+    """
     folder = folder.rstrip("/")
     manifest = spark.read.schema("name string, records long, bytes long").parquet(folder + "/manifest")
-    if not manifest.head(1):
+    archives = manifest.count()
+    if not archives:
         return spark.createDataFrame([], RECORD)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder + "/data")
-    files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(manifest, "name").select("name", "records", "bytes", "content")
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in RECORD.split(", ")]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=names)
 
     def run(batches):
+        store, path = _store(folder + "/data")
         for b in batches:
-            for k in range(b.num_rows):
-                name, records, size = (b.column(i)[k].as_py() for i in range(3))
-                content = memoryview(b.column(3)[k].as_buffer())
-                if len(content) != size:
-                    raise BadArchive(f"{name} has {len(content)} bytes, not {size}")
-                rows = []
-                for r in read_archive(content):
-                    h = r["head"]
-                    to = h.get("x-refers-to-page-id")
-                    rows.append((int(h["x-page-id"]) if "x-page-id" in h else None, h.get("warc-target-uri"), r["type"], int(to) if to else None, int(h.get("x-payload-length", len(r["block"]))), base64.b32decode(h["warc-payload-digest"].split(":", 1)[1]).hex(), r["block"]))
-                if len(rows) != records:
-                    raise BadArchive(f"{name} has {len(rows)} records, not {records}")
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                columns = list(zip(*rows)) or [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
-
-    return files.mapInArrow(run, RECORD)
+            for name, records, size in zip(*(c.to_pylist() for c in b.columns)):
+                rows, held, n = [], 0, 0
+                with store.open_input_file(f"{path}/{name}") as source:
+                    if source.size() != size:
+                        raise BadArchive(f"{name} has {source.size()} bytes, not {size}")
+                    for r in read_archive(source):
+                        h = r["head"]
+                        to = h.get("x-refers-to-page-id")
+                        rows.append((int(h["x-page-id"]) if "x-page-id" in h else None, h.get("warc-target-uri"), r["type"], int(to) if to else None, int(h.get("x-payload-length", len(r["block"]))), base64.b32decode(h["warc-payload-digest"].split(":", 1)[1]).hex(), r["block"]))
+                        held, n = held + len(r["block"]), n + 1
+                        if held > CHUNK:
+                            yield batch(rows)
+                            rows, held = [], 0
+                if n != records:
+                    raise BadArchive(f"{name} has {n} records, not {records}")
+                yield batch(rows)
+
+    return manifest.repartition(min(archives, READERS), "name").mapInArrow(run, RECORD)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

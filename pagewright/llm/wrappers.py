@@ -7,7 +7,8 @@ was met in and the texts it held most. Each task induces wrappers of the hosts i
 its pages; wrappers of a host are then merged by the same matching, first within salted groups, so no task
 holds a host's pages. A node whose text is the same in most pages of a host is template; slots whose text varies are content.
 The content root is the article or main element (all of them that stand at its place in the wrapper), or else the whole page without
-its template; below it, parts whose tag or class say so (menus, footers, adverts, forms, comments and the like) are left out.
+its template; below it, template nodes and parts whose tag or class say so (menus, footers, adverts, forms, comments and the like) are left out.
+Inside an article a node is template only if it is alike on far more pages than the slot with most text, as copies of an article make all its slots alike.
 
 The html is read whole; character references are decoded, white space inside a block becomes one blank, blocks are joined
 in page order by two line breaks. A null or empty html, and a page without content, give ''. Pages
@@ -41,7 +42,9 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
 #: Texts whose counts a wrapper node keeps; pages from which nodes that are rare since they entered are left out of a wrapper, and their share.
-TEXTS, MANY, RARE = 3, 400, 0.005
+TEXTS, MANY, RARE = 8, 400, 0.005
+#: The part of the pages with a node whose texts are equal from which on it is template.
+SAME = 0.6
 DEEP = 200
 
 
@@ -234,9 +237,37 @@ def prune(w: list, pages: int | None = None) -> list:
     return [*w[:4], [prune(k, pages) for k in w[4] if k[1] + _missed(k) >= RARE * pages], _missed(w)]
 
 
-def _template(w: list, pages: int) -> bool:
+def _common(w: list) -> float:
+    """The part of the pages with a node that hold its commonest text."""
+    return max(w[2].values()) / w[1] if w[2] else 0.0
+
+
+def _template(w: list, pages: int, least: float = SAME) -> bool:
     """Whether most pages of the host hold the same text here."""
-    return pages >= 3 and bool(w[2]) and w[1] >= 0.5 * pages and max(w[2].values()) >= 0.6 * w[1]
+    return pages >= 3 and bool(w[2]) and w[1] >= 0.5 * pages and _common(w) >= least
+
+
+def _texts(w: list):
+    """Nodes with text at or below a node, outside of boilerplate."""
+    if w[3]:
+        yield w
+    for k in w[4]:
+        if not _skipped(k[0]):
+            yield from _texts(k)
+
+
+def _least(w: list, path: list[str]) -> float:
+    """From which part of equal texts on a node inside the content root is template.
+
+    Copies of an article make all of its slots alike, so a template node has to be alike on half of those pages at
+    least on which the slot with most text isn't.
+    """
+    at = [w]
+    for label in path:
+        at = [k for x in at for k in x[4] if k[0] == label]
+    body = max((x for r in at for x in _texts(r)), key=lambda x: x[3], default=None)
+    copies = _common(body) if body is not None else 1.0
+    return max(SAME, (1 + copies) / 2) if copies < 1 else 2.0
 
 
 def _semantic(label: str) -> bool:
@@ -330,8 +361,7 @@ def extract(page: str | None, wrapper: list | None) -> str:
         at = step
     if not _semantic(at[0].label):  # the host has no article, or the page isn't built like its host's others
         at = (list(_roots(root)) if path else []) or [root]
-    if at[0] is root:
-        _drop(root, wrapper, wrapper[1], drop)
+    _drop(root, wrapper, wrapper[1], drop, SAME if at[0] is root else _least(wrapper, path))
     for starts, gone in ((at, drop), ([root], drop), ([root], set())):
         out = []
         for x in starts:
@@ -341,7 +371,7 @@ def extract(page: str | None, wrapper: list | None) -> str:
     return ""
 
 
-def _drop(node: Node, w: list, pages: int, drop: set[int]) -> None:
+def _drop(node: Node, w: list, pages: int, drop: set[int], least: float) -> None:
     """Aligns a page with its wrapper; text leaves that template nodes hold go into drop."""
     groups: list[tuple[list, list[Node]]] = []  # folded child, and the page's nodes it stands for
     for k in node.kids:
@@ -353,13 +383,13 @@ def _drop(node: Node, w: list, pages: int, drop: set[int]) -> None:
     for i, j in match(["", 1, {}, 0, [g[0] for g in groups]], w)[1]:
         inner = w[4][j]
         for k in groups[i][1]:
-            if _template(inner, pages):
+            if _template(inner, pages, least):
                 texts = [k] if k.text is not None else k.kids
                 joined = [x.text for g in groups[i][1] for x in ([g] if g.text is not None else g.kids)]
                 if zlib.crc32("\n".join(joined).encode("utf-8", "surrogatepass")) in inner[2]:
                     drop.update(id(x) for x in texts)
             elif k.text is None and inner[4]:
-                _drop(k, inner, pages, drop)
+                _drop(k, inner, pages, drop, least)
 
 
 def _host(url: str):

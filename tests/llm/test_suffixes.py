@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from oracle import of_spark, rows
 
@@ -67,3 +68,22 @@ def test_odd_rows(spark):
     out = [(r.doc_id, r.text, r.n_chars) for r in suffixes.remove_repeats(df).collect()]
     assert (2, "é z", 3) in out and len(out) == 6 and not any(r[0] == 5 for r in out)
     assert suffixes.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long, 1, 2, 3, 4), (2, "a " + long, 1, 2, 3, 4)], "doc_id int, text string, _id int, _cuts int, start int, first int")
+    out = suffixes.remove_repeats(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, long, 1, 2, 3, 4), (2, "a", 1, 2, 3, 4)]
+
+
+def test_neighbours_over_batches():
+    r = random.Random(4)
+    rows = sorted((r.choice([1, 1, 2, 3, 4, 5]), r.randrange(4), r.randrange(50)) for _ in range(60)) + [(9, 1, 1), (9, 1, 2), (10, 1, 1)]
+    docs = {h: {d for g, d, _ in rows if g == h} for h, _, _ in rows}
+    known = [h == 10 for h, _, _ in rows]
+    want = [(d, at) for h, d, at in rows if len(docs[h]) > 1 or h == 10]
+    table = pa.table({"suffix": [x[0] for x in rows], "id": [x[1] for x in rows], "at": [x[2] for x in rows], "matched": known})
+    for size in (1, 2, 7, 100):
+        got = [tuple(x.values()) for b in suffixes.neighbours(table.to_batches(max_chunksize=size)) for x in b.to_pylist()]
+        assert got == want

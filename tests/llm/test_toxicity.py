@@ -23,6 +23,35 @@ def test_marginals_against_enumeration():
         assert np.allclose(got[a:z], ones / total)
 
 
+def likelihood(e, first, pairs, label):
+    """Negative log-likelihood of some chains, by the forward sums of both labels."""
+    out = 0.0
+    for a, z in zip(first[:-1], first[1:]):
+        total = None
+        for t in range(a, z):
+            here = np.array([0.0, e[t]])
+            total = here if total is None else here + np.log(np.exp(total[:, None] + pairs).sum(0))
+            out -= e[t] * label[t] + (pairs[int(label[t - 1]), int(label[t])] if t > a else 0.0)
+        out += 0.0 if total is None else np.log(np.exp(total).sum())
+    return out
+
+
+def test_slopes_against_differences():
+    r = np.random.default_rng(5)
+    lengths = [0, 1, 6, 2, 0, 9]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    e, pairs, label = r.normal(0, 2, first[-1]), r.normal(0, 1, (2, 2)), r.integers(0, 2, first[-1]).astype(float)
+    each, both = X.slopes(e, first, pairs, label)
+    step = 1e-6
+    for i in range(len(e)):
+        d = np.eye(len(e))[i] * step
+        assert abs((likelihood(e + d, first, pairs, label) - likelihood(e - d, first, pairs, label)) / (2 * step) - each[i]) < 1e-5
+    for i, j in itertools.product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[i, j] = step
+        assert abs((likelihood(e, first, pairs + d, label) - likelihood(e, first, pairs - d, label)) / (2 * step) - both[i, j]) < 1e-5
+
+
 def corpus(n, seed):
     r = random.Random(seed)
     syllable = ["an", "the", "re", "ti", "on", "éb", "ur", "lo"]
