@@ -47,3 +47,15 @@ def test_flaws_are_found():
     for data in bad:
         with pytest.raises(warc.BadArchive):
             list(warc.read_archive(data))
+
+
+def test_repeated_headers_and_streams(monkeypatch):
+    d, c, p, one = archive()
+    twice = one.replace(b"WARC-Date", b"WARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nWARC-Date", 1)
+    assert next(warc.read_archive(warc.dictionary_frame(d) + c.compress(twice)))["head"]["warc-concurrent-to"] == "<a>\n<b>"
+    with pytest.raises(warc.BadArchive):
+        list(warc.read_archive(warc.dictionary_frame(d) + c.compress(one.replace(b"WARC-Date", b"WARC-Type: response\r\nWARC-Date", 1))))
+    good = warc.dictionary_frame(d) + c.compress(one) * 5
+    for size in (1, 7, 100):
+        monkeypatch.setattr(warc, "CHUNK", size)
+        assert [r["block"] for r in warc.read_archive(good)] == [p] * 5

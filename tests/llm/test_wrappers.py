@@ -109,3 +109,22 @@ def test_late_layouts_are_learned():
 def test_wrappers_stay_bounded():
     w = wrapper_of([page(i, f"<div class={chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x><p>text {i}</p></div><div class=all>{i}</div>") for i in range(1500)])
     assert w[1] == 1500 and len(w[4]) <= 2 / X.RARE and max(k[1] for k in w[4]) == 1500
+
+
+def test_template_inside_articles():
+    """Constant nodes without telling names go, alike in and outside of articles; copies of an article make nothing template."""
+    r = random.Random(6)
+    text = lambda n: " ".join(r.choice(["oak", "elm", "ash", "fir"]) for _ in range(n))
+    bodies, want = [], []
+    for _ in range(12):
+        title, one, two = text(4), text(40), text(30)
+        bodies.append(page(1, f"<article><h1>{title}</h1><div class=k1>Read it to the end</div><p>{one}</p><section><p>{two}</p></section><div class=k2>Thanks for reading us</div></article>"))
+        want.append(f"{title}\n\n{one}\n\n{two}")
+    w = wrapper_of(bodies)
+    assert [X.extract(b, w) for b in bodies] == want
+    assert all("Read it to the end" in X.extract(b, None) for b in bodies)
+    assert [X.extract(b, wrapper_of(bodies[::-1])) for b in bodies] == want
+    for copies in (9, 12):
+        same = [bodies[0]] * copies + bodies[1 : 13 - copies]
+        w = wrapper_of(same)
+        assert want[0].split("\n\n")[1] in X.extract(bodies[0], w)
