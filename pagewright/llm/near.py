@@ -18,6 +18,8 @@ sets form one class; the join is over classes, so copies never meet each other.
    verified. So members of a cluster meet its pivot, and no pair of different labels is left out.
 4. Labels that a link joins form components.
 
+All tables of the join grow with the documents, so it asks for merge joins: its plan is the same at every size.
+
 Every pair at or over the threshold is found or joined through others: the filters are exact bounds. A null or empty
 text has an empty set and is linked with nothing. Repeated doc_ids share the fate of the row they
 repeat if the texts agree, else each row is its own node with the same id. A null doc_id has
@@ -35,7 +37,7 @@ from . import common as C
 from .graph import components
 
 #: Tokens that a task takes together when it counts repeats.
-UNIT = 500_000
+UNIT = 250_000
 #: Rows of a group of lists; rows of a tile of a longer list; pairs of rows that are compared at once.
 ROWS, TILE, PAIRS = 20_000, 512, 10_000
 #: Tokens of a prefix that a row of a list brings with it, and how many of them come before its own.
@@ -87,6 +89,13 @@ def _unpack(data) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _body(column) -> tuple[np.ndarray, memoryview]:
+    """Offsets and bytes of a binary column, as they lie."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1], memoryview(data if data is not None else b"")
+
+
 def shingled(docs: DataFrame, k: int, key: str, text: str, lower: bool) -> DataFrame:
     """id, n, cls (null for an empty set), tok and row of every row; tok (sorted tokens of 6 bytes) only where a batch first meets the class; row: a number."""
     kind = docs.select(key).schema[0].dataType.simpleString()
@@ -111,22 +120,16 @@ def _sketch(held: DataFrame) -> tuple[np.ndarray, float]:
 
     def run(batches):
         out = np.zeros((1 << SKETCH_BITS) + 3, np.int64)
-        toks, size = [], 0
 
-        def count():
-            token, n = np.unique(_unpack(b"".join(toks)), return_counts=True)
+        def count(data):
+            token, n = np.unique(_unpack(data), return_counts=True)
             out[-3:] += n.sum(), (n - 1).sum(), 1
             np.add.at(out, (token[n > 1] >> C.U(48 - SKETCH_BITS)).astype(np.int64), n[n > 1])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                toks.append(t)
-                size += len(t)
-                if size >= 6 * UNIT:
-                    count()
-                    toks, size = [], 0
-        if toks:
-            count()
+            off, data = _body(b.column(0))
+            for at in range(off[0], off[-1], 6 * UNIT):
+                count(data[at : min(at + 6 * UNIT, off[-1])])
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at], pa.int64())], names=["cell", "count"])
 
@@ -167,12 +170,13 @@ def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, mos
 
     def run(batches):
         for b in batches:
-            cls, n, toks = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_pylist()
+            cls, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            off, data = _body(b.column(2))
             ends = np.cumsum(n)
             at = 0
             while at < len(n):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + UNIT, "right")))
-                l, token, row, place = prefixes(n[at:to], _unpack(b"".join(toks[at:to])), percent, sketch, most, rate)
+                l, token, row, place = prefixes(n[at:to], _unpack(data[off[at] : off[to]]), percent, sketch, most, rate)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(cls[at:to][row], pa.int64()), pa.array(n[at:to][row], pa.int32()), pa.array(l[row], pa.int32()), pa.array(place, pa.int32())], names=["token", "cls", "n", "l", "place"])
                 at = to
 
@@ -180,7 +184,7 @@ def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, mos
     size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("l")
     for _ in range(ROUNDS):
         met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
-        shared = every.join(met, "token").groupBy("cls", "n", "l").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("prefix"))
+        shared = every.join(met.hint("merge"), "token").groupBy("cls", "n", "l").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("prefix"))
         p = C.written(shared.where(F.size("prefix") >= F.col("l")).withColumn("weight", F.size("prefix") / size), "prefixes")
         every = postings(p).select("token", "cls", "n", "l", "place")
     return p
@@ -196,7 +200,7 @@ def to_pivots(p: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of each token's pivot a with the others of its list."""
     each = postings(p).drop("k")
     pivot = each.groupBy("token").agg(F.max(F.struct("weight", "cls", "n", "l", "place")).alias("pivot"))
-    pairs = each.join(pivot, "token").where("cls <> pivot.cls").where(_sizes("n", "pivot.n", percent))
+    pairs = each.join(pivot.hint("merge"), "token").where("cls <> pivot.cls").where(_sizes("n", "pivot.n", percent))
     met = pairs.groupBy(F.col("pivot.cls").alias("a"), F.col("cls").alias("b")).agg(
         F.count("*").alias("met"), F.max(F.struct("pivot.n", "pivot.l", "pivot.place")).alias("x"), F.max(F.struct("n", "l", "place")).alias("y")
     )  # n and l are the same in all rows of a pair
@@ -270,14 +274,15 @@ def to_others(p: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     Two prefixes are compared in the list of the first token that they share, to which each row brings the prefix near it.
     Lists of up to TILE rows are compared in groups of about ROWS rows, longer ones tile by tile; pairs that don't agree are not put out.
     """
-    named = C.written(p.drop("weight").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
-    each = postings(named).select("token", "cls", "label", "place", "k")
-    lists = each.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low < high").select("token", "m")
-    rows = C.cut(each.drop("label").join(lists, "token").groupBy("cls").agg(F.collect_list(F.struct("token", "place", "k", "m")).alias("all")))
+    named = C.written(p.drop("weight").join(labels.hint("merge"), "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    each = postings(named).select("token", "cls", "label", "n", "place", "k")
+    lists = each.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("smallest"), F.count("*").alias("m")).where("low < high").select("token", "m", "smallest")
+    first = (100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("smallest"))  # else no pair can begin to agree here
+    rows = C.cut(each.drop("label").join(lists.hint("merge"), "token").where(first).groupBy("cls").agg(F.collect_list(F.struct("token", "place", "k", "m")).alias("all")))
     groups = max(1, (rows.agg(F.sum(F.size("all"))).first()[0] or 0) // ROWS)
     begin = F.greatest(F.col("k") - BEFORE, F.lit(0))
     near = F.slice("prefix", begin + 1, F.lit(AROUND))
-    rows = rows.join(named, "cls").select("cls", "n", "l", "label", "prefix", F.inline("all")).withColumns({"tokens": near["token"], "places": near["place"], "rest": F.greatest(F.size("prefix") - begin - AROUND, F.lit(0))})
+    rows = rows.join(named.hint("merge"), "cls").select("cls", "n", "l", "label", "prefix", F.inline("all")).withColumns({"tokens": near["token"], "places": near["place"], "rest": F.greatest(F.size("prefix") - begin - AROUND, F.lit(0))})
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     placed = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("token"), F.lit(groups)).cast("string")).otherwise(F.concat_ws(":", F.col("token").cast("string"), F.least("tile", "other"), F.greatest("tile", "other")))
@@ -317,7 +322,8 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     both = pairs
     for c in "ab":
         at = chosen.select(F.col("cls").alias(c), F.col("row").alias(f"row_{c}"))
-        both = both.join(at, c).join(tokens.select(F.col("row").alias(f"row_{c}"), F.col("tok").alias(f"tok_{c}")), f"row_{c}").drop(f"row_{c}")
+        tok = tokens.select(F.col("row").alias(f"row_{c}"), F.col("tok").alias(f"tok_{c}"))
+        both = both.join(at.hint("merge"), c).join(tok.hint("merge"), f"row_{c}").drop(f"row_{c}")
     both = both.select(*pairs.columns, "tok_a", "tok_b")
     names, wide = pairs.columns, len(pairs.columns)
 
