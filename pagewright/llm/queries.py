@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, lm, mixing, near, rules, suffixes, tokens, toxicity, warc, wrappers
+from . import anchors, centroids, decontam, lm, mixing, near, rules, simhash, suffixes, tokens, toxicity, warc, wrappers
 
 QUERIES = {
     "op1_near_duplicates": near.op1_near_duplicates,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality_classifier": lm.op9_quality_classifier,
     "op10_mixing": mixing.op10_mixing,
+    "op11_vector_codes": anchors.op11_vector_codes,
+    "op12_simhash": simhash.op12_simhash,
+    "op13_centroids": centroids.op13_centroids,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
     "op5_repeated_passages": suffixes.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_vector_codes": anchors.OP11_SQL,
+    "op13_centroids": centroids.OP13_SQL,
 }
