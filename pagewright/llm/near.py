@@ -39,13 +39,13 @@ from .graph import components
 #: Tokens that a task takes together when it counts repeats.
 UNIT = 250_000
 #: Rows of a group of lists; rows of a tile of a longer list; pairs of rows that are compared at once.
-ROWS, TILE, PAIRS = 20_000, 512, 10_000
+ROWS, TILE, PAIRS = 20_000, 2048, 10_000
 #: Tokens of a prefix that a row of a list brings with it, and how many of them come before its own.
 AROUND, BEFORE = 16, 4
 #: Values of l that are tried.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
-#: What verifying a candidate costs, in postings; how often classes with too few shared tokens are left out.
-VERIFY, ROUNDS = 4.0, 3
+#: What verifying a candidate costs, in postings.
+VERIFY = 4.0
 SKETCH_BITS = 18
 BITMAP_BITS = 24
 
@@ -164,8 +164,7 @@ def prefixes(n: np.ndarray, token: np.ndarray, percent: int, sketch: np.ndarray,
 def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, most: int) -> DataFrame:
     """cls, n, l, prefix (place and token of those in the class's prefix that another class's prefix holds too, in order) and weight (how many those are, as part of the prefix).
 
-    A class with fewer than l such tokens is left out: what it holds alone is more than a link allows. That can
-    leave others with too few, so it is done ROUNDS times.
+    A class with fewer than l such tokens is left out: what it holds alone is more than a link allows.
     """
 
     def run(batches):
@@ -182,12 +181,9 @@ def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, mos
 
     every = held.where("tok IS NOT NULL").select("cls", "n", "tok").mapInArrow(run, "token long, cls long, n int, l int, place int")
     size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("l")
-    for _ in range(ROUNDS):
-        met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
-        shared = every.join(met.hint("merge"), "token").groupBy("cls", "n", "l").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("prefix"))
-        p = C.written(shared.where(F.size("prefix") >= F.col("l")).withColumn("weight", F.size("prefix") / size), "prefixes")
-        every = postings(p).select("token", "cls", "n", "l", "place")
-    return p
+    met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
+    shared = every.join(met.hint("merge"), "token").groupBy("cls", "n", "l").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("prefix"))
+    return C.written(shared.where(F.size("prefix") >= F.col("l")).withColumn("weight", F.size("prefix") / size), "prefixes")
 
 
 def postings(p: DataFrame) -> DataFrame:
@@ -295,8 +291,27 @@ def _sizes(x: str, y: str, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _passing(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """row and tok of the rows of held that are among rows (row), and of few others: a bitmap of fixed size keeps most sets from being moved; more rows only let more pass."""
+def signature(token: np.ndarray) -> bytes:
+    """Which of at least 8 buckets a token, a power of two of them, hold a token of a set."""
+    size = 1 << max(6, int(8 * len(token) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(token & C.U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def at_most(x: bytes, y: bytes, n: int, m: int) -> int:
+    """A bound of what two sets of n and m tokens share: every bucket that one fills and the other doesn't is a token that they don't share."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, size)) for v in (a, b))  # buckets of the larger one folded to those of the smaller
+    return min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+
+
+def _passing(rows: DataFrame, held: DataFrame, kind: str) -> DataFrame:
+    """row and kind (tok, or the set's n and signature) of the rows of held that are among rows (row), and of few others.
+
+    A bitmap of fixed size keeps most sets from being moved; more rows only let more pass.
+    """
     bit = F.expr(f"shiftrightunsigned(xxhash64(row), {64 - BITMAP_BITS})")
     found = rows.select(bit.alias("bit")).groupBy(F.expr("cast(bit >> 6 AS int)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits")).toArrow()
     cells = np.zeros(1 << (BITMAP_BITS - 6), np.int64)  # at most as many rows came
@@ -306,40 +321,62 @@ def _passing(rows: DataFrame, held: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             at = b.column(0).to_numpy()
-            yield b.select(["row", "tok"]).filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(C.U) & C.U(1)) > 0))
+            b = b.select(["row", "tok"]).filter(pa.array((bitmap[at >> 6] >> (at & 63).astype(C.U) & C.U(1)) > 0))
+            if kind == "tok":
+                yield b
+            else:
+                sets = [_unpack(t.as_buffer()) for t in b.column(1)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, sets), pa.int32()), pa.array(map(signature, sets), pa.binary())], names=["row", "size", "signature"])
 
-    return held.where("tok IS NOT NULL").select(bit.alias("bit"), "row", "tok").mapInArrow(run, "row long, tok binary")
+    schema = "row long, tok binary" if kind == "tok" else "row long, size int, signature binary"
+    return held.where("tok IS NOT NULL").select(bit.alias("bit"), "row", "tok").mapInArrow(run, schema)
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (row_a, row_b) with the columns of both sets, ending in _a and _b."""
+    for c in "ab":
+        pairs = pairs.join(sets.select(*[F.col(x).alias(f"{x}_{c}") for x in sets.columns]).hint("merge"), f"row_{c}")
+    return pairs
 
 
 def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The rows of pairs (a, b and more; checkpointed) whose whole sets link; held: the sets, as shingled gives them.
 
-    Of every class one row's set is moved, to its pairs; the other rows of it stay where they are.
+    Of every class one row's set is read. First signatures of about a sixth of a set's size are moved to the pairs; those that bound the overlap
+    below what a link needs end there. The whole sets are moved to the pairs that are left, each once.
     """
     classes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     chosen = C.cut(held.where("tok IS NOT NULL").groupBy("cls").agg(F.min("row").alias("row")).join(classes, "cls"))
-    tokens = _passing(chosen, held)
-    both = pairs
+    placed = pairs
     for c in "ab":
-        at = chosen.select(F.col("cls").alias(c), F.col("row").alias(f"row_{c}"))
-        tok = tokens.select(F.col("row").alias(f"row_{c}"), F.col("tok").alias(f"tok_{c}"))
-        both = both.join(at.hint("merge"), c).join(tok.hint("merge"), f"row_{c}").drop(f"row_{c}")
-    both = both.select(*pairs.columns, "tok_a", "tok_b")
-    names, wide = pairs.columns, len(pairs.columns)
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(wide), b.column(wide + 1)):
-                x, y = _unpack(x.as_buffer()), _unpack(y.as_buffer())
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(b.columns[:wide], names=names).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, pairs.schema)
+        placed = placed.join(chosen.select(F.col("cls").alias(c), F.col("row").alias(f"row_{c}")).hint("merge"), c)
+    names = pairs.columns
+    placed = placed.select(*names, "row_a", "row_b")
+    links = lambda common, n, m: 100 * common >= percent * (n + m - common)
+
+    def filtered(joined: DataFrame, keep: list[str], test) -> DataFrame:
+        """The columns keep of the rows whose other columns pass a test."""
+        rest = [c for c in joined.columns if c not in keep]
+
+        def run(batches):
+            for b in batches:
+                ok = [test(*x) for x in zip(*(b.column(len(keep) + k) for k in range(len(rest))))]
+                yield pa.RecordBatch.from_arrays(b.columns[: len(keep)], names=keep).filter(pa.array(ok, pa.bool_()))
+
+        return joined.select(*keep, *rest).mapInArrow(run, joined.select(*keep).schema)
+
+    def may_link(size_a, sig_a, size_b, sig_b):
+        n, m = size_a.as_py(), size_b.as_py()
+        return links(at_most(sig_a.as_buffer(), sig_b.as_buffer(), n, m), n, m)
+
+    def link(tok_a, tok_b):
+        x, y = sorted((_unpack(tok_a.as_buffer()), _unpack(tok_b.as_buffer())), key=len)
+        at = np.searchsorted(y, x)
+        return links(int((y[np.minimum(at, len(y) - 1)] == x).sum()), len(x), len(y))
+
+    near = C.cut(filtered(_with_both(placed, _passing(chosen, held, "signature")), placed.columns, may_link))
+    rows = near.select(F.col("row_a").alias("row")).unionByName(near.select(F.col("row_b").alias("row"))).distinct()
+    return filtered(_with_both(near, _passing(rows, held, "tok")).drop("row_a", "row_b"), names, link)
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", lower: bool = True, most: int = MATCHES[-1]) -> DataFrame:

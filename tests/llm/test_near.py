@@ -122,3 +122,15 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 0, 0, 0), (2, "a b c d e f", 0, 0, 0), (3, "z", 0, 0, 0)], "doc_id int, text string, _gone int, component_id int, label int")
     out = near.keep_one(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_signatures_bound_the_overlap():
+    """Never below what two sets share, and close to it, also between sets of very different sizes."""
+    r = np.random.default_rng(3)
+    for n, m, common in ((1, 1, 0), (1, 1, 1), (5, 900, 4), (700, 700, 100), (700, 650, 600), (3000, 40, 0)):
+        shared = r.integers(0, 1 << 48, common, np.uint64)
+        a = np.unique(np.concatenate([shared, r.integers(0, 1 << 48, n - common, np.uint64)]))
+        b = np.unique(np.concatenate([shared, r.integers(0, 1 << 48, m - common, np.uint64)]))
+        bound = near.at_most(near.signature(a), near.signature(b), n, m)
+        assert common <= bound <= min(n, m) and (abs(n - m) > 100 or bound <= common + 0.25 * n)
+        assert bound == near.at_most(near.signature(b), near.signature(a), m, n)
