@@ -2,16 +2,21 @@
 
 A page is parsed into a tree of its block elements; runs of alike siblings that hold only text
 are one node. Pages of a host are aligned, one after another, with a growing wrapper tree by simple tree
-matching (the largest ordered matching of equal labels); a wrapper node counts the pages it
-was met in and the texts it held most. Each task induces wrappers of the hosts it sees over all
+matching (the largest ordered matching of equal labels; children whose labels agree one by one are paired as they stand). A wrapper node knows
+how many pages it was met in, and for the texts it held most which articles held them. Each task induces wrappers of the hosts it sees over all
 its pages; wrappers of a host are then merged by the same matching, first within salted groups, so no task
-holds a host's pages. A node whose text is the same in most pages of a host is template; slots whose text varies are content.
-The content root is the article or main element (all of them that stand at its place in the wrapper), or else the whole page without
-its template; below it, template nodes and parts whose tag or class say so (menus, footers, adverts, forms, comments and the like) are left out.
-Inside an article a node is template only if it is alike on far more pages than the slot with most text, as copies of an article make all its slots alike.
+holds a host's pages.
+
+Articles are counted, not pages: a page's article is known by a hash that copies and most near copies share, and sets of such hashes are kept as
+sketches of fixed size, exact up to KEYS articles. A text is template if SAME of the articles with its node hold it there and there are at least 4 of them; only
+that text is, not whatever else stands there. Slots whose text varies are content.
+The content root is the article or main element (all of them that stand at its place in the wrapper), or else the whole page;
+below it, template and parts whose tag, role or class say so (menus, footers, adverts, forms, comments and the like) are left out. Words of a class that
+prose can carry too (WEAK) count only where the part has no paragraph of prose.
 
 The html is read whole; character references are decoded, white space inside a block becomes one blank, blocks are joined
-in page order by two line breaks. A null or empty html, and a page without content, give ''. Pages
+in page order by two line breaks. A null or empty html, and a page whose article or slots hold no text, give ''. Elements nested deeper than DEEP are
+children of the element at that depth, and are left out if one they are nested in is. Pages
 without host share the wrapper of host ''. Repeated or null page_ids are kept row by row; columns but page_id, url and html are not looked at.
 """
 
@@ -34,17 +39,18 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template textarea title iframe object svg math select button canvas audio video noframes xmp head".split())
 BOILERPLATE = set("nav footer aside form dialog menu fieldset".split())
-WORDS = set("nav navbar navigation menu sidebar footer header masthead topbar ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert comment comments disqus respond reply replies discussion share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe signup login search toolbar widget popup modal overlay pagination pager skip tags copyright".split())
+WORDS = set("nav navbar navigation menu sidebar footer header masthead topbar ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent gdpr comment comments disqus respond reply replies share sharing breadcrumb breadcrumbs newsletter subscribe signup login toolbar popup modal overlay pagination pager skip copyright".split())
+WEAK = set("banner notice notices alert discussion social related recommended search widget tags".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
-#: Texts whose counts a wrapper node keeps; pages from which nodes that are rare since they entered are left out of a wrapper, and their share.
+#: Texts that a wrapper node keeps: any that more than a ninth of its pages hold stays; pages from which nodes that are rare since they entered are left out of a wrapper, and their share.
 TEXTS, MANY, RARE = 8, 400, 0.005
-#: The part of the pages with a node whose texts are equal from which on it is template.
-SAME = 0.6
+#: The part of the articles with a node that hold a text from which on it is template; articles that a sketch counts exactly; words of a paragraph of prose.
+SAME, KEYS, PROSE = 0.6, 24, 25
 DEEP = 200
 
 
@@ -52,25 +58,27 @@ class Node:
     __slots__ = ("tag", "label", "kids", "text", "skip")
 
     def __init__(self, tag, label, skip):
-        self.tag, self.label, self.skip = tag, label, skip
+        self.tag, self.label, self.skip = tag, label, skip  # skip: 2, 1 or 0 while the page is parsed, then whether it is left out
         self.kids, self.text = [], None
 
 
-def _marks(attributes: str) -> tuple[str, bool]:
-    """A label of class, id and role, and whether they name boilerplate."""
+def _marks(attributes: str) -> tuple[str, int]:
+    """A label of class, id and role, and whether they name boilerplate: 2 if they do, 1 if they may."""
     if "=" not in attributes:
-        return "", False
+        return "", 0
     found = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(attributes)}
     if not found:
-        return "", False
+        return "", 0
     words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
     label = DIGITS.sub("0", ".".join(f"{k}={' '.join(sorted(v.split()))}" for k, v in sorted(found.items())))
-    return label[:80], bool(words & WORDS) or found.get("role", "").lower() in ROLES
+    if len(label) > 80:
+        label = f"{label[:70]}~{zlib.crc32(label.encode('utf-8', 'surrogatepass')):x}"
+    return label, 2 if words & WORDS or found.get("role", "").lower() in ROLES else int(bool(words & WEAK))
 
 
 def parse(page: str) -> Node:
     """The tree of a page's block elements; text leaves have the label #text."""
-    root = Node("html", "html", False)
+    root = Node("html", "html", 0)
     stack, buffer = [root], []
     at, n = 0, len(page)
 
@@ -79,7 +87,7 @@ def parse(page: str) -> Node:
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                leaf = Node("#text", "#text", False)
+                leaf = Node("#text", "#text", 0)
                 leaf.text = text
                 stack[-1].kids.append(leaf)
 
@@ -137,14 +145,29 @@ def parse(page: str) -> Node:
             if stack[k].tag in ("td", "th", "li", "div", "table", "article", "section"):
                 break
         label, skip = _marks(m.group(3) or m.group(6) or "")
-        node = Node(tag, f"{tag}|{label}" if label else tag, skip or tag in BOILERPLATE)
-        stack[-1].kids.append(node)
-        if tag not in VOID and len(stack) < DEEP:
+        node = Node(tag, f"{tag}|{label}" if label else tag, 2 if tag in BOILERPLATE else skip)
+        if len(stack) > DEEP:
+            node.skip = max(node.skip, stack[-1].skip)
+        stack[min(len(stack), DEEP) - 1].kids.append(node)
+        if tag not in VOID:
             stack.append(node)
     flush()
+    _decide(root)
     return root
 
 
+def _decide(node: Node) -> bool:
+    """Settles whether parts that may be boilerplate are, and marks the labels of those that are; returns whether there is a paragraph of prose at or below node."""
+    prose = node.text is not None and len(node.text.split()) >= PROSE
+    for k in node.kids:
+        prose = _decide(k) or prose
+    if node.skip == 2 or node.skip == 1 and not prose:
+        node.skip, node.label = True, node.label + "!"
+        return False
+    node.skip = False
+    return prose
+
+
 def fold(node: Node) -> list:
     """[label, texts or None, children] with runs of alike siblings that hold only text as one node."""
     kids: list = []
@@ -162,10 +185,34 @@ def fold(node: Node) -> list:
     return [node.label, None, kids]
 
 
-def wrap(tree: list) -> list:
-    """A wrapper of one page: [label, pages, {text hash: pages}, characters of text, children], from merges on with the pages that may have had the node before it entered."""
+def article_key(tree: list) -> int:
+    """A hash of 32 bits that a page shares with its copies, and mostly with near copies: of two least hashes of five words each, over all text but boilerplate."""
+    words: list[str] = []
+    todo = [tree]
+    while todo:
+        at = todo.pop()
+        for text in at[1] or ():
+            words += text.split()
+        todo += [k for k in reversed(at[2]) if not _skipped(k[0])]
+    grams = {zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 4))}
+    least = min(grams), min(g * 0x9E3779B1 + 0x7F4A7C15 & 0xFFFFFFFF for g in grams)
+    return zlib.crc32(repr(least).encode())
+
+
+def counted(sketch: tuple[int, ...]) -> float:
+    """How many articles a sketch (the KEYS least of their hashes) has seen."""
+    return len(sketch) if len(sketch) < KEYS else (KEYS - 1) * 2**32 / (sketch[-1] + 1)
+
+
+def both(a: tuple[int, ...], b: tuple[int, ...]) -> tuple[int, ...]:
+    return a if a == b else tuple(sorted({*a, *b})[:KEYS])
+
+
+def wrap(tree: list, key: int | None = None) -> list:
+    """A wrapper of one page: [label, pages, {text hash: (pages, articles)}, characters of text, children, pages that may have had the node before it entered, articles]."""
+    key = article_key(tree) if key is None else key
     texts = tree[1]
-    return [tree[0], 1, {zlib.crc32("\n".join(texts).encode("utf-8", "surrogatepass")): 1} if texts else {}, sum(map(len, texts)) if texts else 0, [wrap(k) for k in tree[2]]]
+    return [tree[0], 1, {zlib.crc32("\n".join(texts).encode("utf-8", "surrogatepass")): (1, (key,))} if texts else {}, sum(map(len, texts)) if texts else 0, [wrap(k, key) for k in tree[2]], 0, (key,)]
 
 
 def match(a: list, b: list) -> tuple[int, list]:
@@ -197,17 +244,13 @@ def match(a: list, b: list) -> tuple[int, list]:
     return 1 + best[m][n], pairs[::-1]
 
 
-def _missed(w: list) -> float:
-    return w[5] if len(w) > 5 else 0
-
-
 def _gone(w: list) -> float:
     """At most so many pages of a host's wrapper have had a node that it doesn't hold."""
     return RARE * w[1] if w[1] >= MANY else 0
 
 
 def _late(w: list, gone: float) -> list:
-    return [*w[:4], [_late(k, gone) for k in w[4]], _missed(w) + gone] if gone else w
+    return [*w[:4], [_late(k, gone) for k in w[4]], w[5] + gone, w[6]] if gone else w
 
 
 def merge(a: list, b: list, gone: tuple[float, float] | None = None) -> list:
@@ -217,16 +260,19 @@ def merge(a: list, b: list, gone: tuple[float, float] | None = None) -> list:
     """
     gone = (_gone(a), _gone(b)) if gone is None else gone
     texts = dict(a[2])
-    for k, v in b[2].items():
-        texts[k] = texts.get(k, 0) + v
-    texts = dict(sorted(texts.items(), key=lambda kv: (-kv[1], kv[0]))[:TEXTS])
+    for k, (n, keys) in b[2].items():
+        m, old = texts.get(k, (0, ()))
+        texts[k] = m + n, both(old, keys)
+    if len(texts) > TEXTS:  # all counts lose that of the first one that doesn't stay
+        less = sorted((n for n, _ in texts.values()), reverse=True)[TEXTS]
+        texts = {k: (n - less, keys) for k, (n, keys) in texts.items() if n > less}
     kids, i, j = [], 0, 0
     for p, q in [*match(a, b)[1], (len(a[4]), len(b[4]))]:
         kids += [_late(k, gone[1]) for k in a[4][i:p]] + [_late(k, gone[0]) for k in b[4][j:q]]
         if p < len(a[4]):
             kids.append(merge(a[4][p], b[4][q], gone))
         i, j = p + 1, q + 1
-    return [a[0], a[1] + b[1], texts, a[3] + b[3], kids, _missed(a) + _missed(b)]
+    return [a[0], a[1] + b[1], texts, a[3] + b[3], kids, a[5] + b[5], both(a[6], b[6])]
 
 
 def prune(w: list, pages: int | None = None) -> list:
@@ -234,40 +280,15 @@ def prune(w: list, pages: int | None = None) -> list:
     pages = w[1] if pages is None else pages
     if pages < MANY:
         return w
-    return [*w[:4], [prune(k, pages) for k in w[4] if k[1] + _missed(k) >= RARE * pages], _missed(w)]
+    return [*w[:4], [prune(k, pages) for k in w[4] if k[1] + k[5] >= RARE * pages], *w[5:]]
 
 
-def _common(w: list) -> float:
-    """The part of the pages with a node that hold its commonest text."""
-    return max(w[2].values()) / w[1] if w[2] else 0.0
-
-
-def _template(w: list, pages: int, least: float = SAME) -> bool:
-    """Whether most pages of the host hold the same text here."""
-    return pages >= 3 and bool(w[2]) and w[1] >= 0.5 * pages and _common(w) >= least
-
-
-def _texts(w: list):
-    """Nodes with text at or below a node, outside of boilerplate."""
-    if w[3]:
-        yield w
-    for k in w[4]:
-        if not _skipped(k[0]):
-            yield from _texts(k)
-
-
-def _least(w: list, path: list[str]) -> float:
-    """From which part of equal texts on a node inside the content root is template.
-
-    Copies of an article make all of its slots alike, so a template node has to be alike on half of those pages at
-    least on which the slot with most text isn't.
-    """
-    at = [w]
-    for label in path:
-        at = [k for x in at for k in x[4] if k[0] == label]
-    body = max((x for r in at for x in _texts(r)), key=lambda x: x[3], default=None)
-    copies = _common(body) if body is not None else 1.0
-    return max(SAME, (1 + copies) / 2) if copies < 1 else 2.0
+def _template(w: list, articles: float) -> set[int]:
+    """Hashes of the texts of a node that are template, on a host of so many articles."""
+    n = counted(w[6])
+    if articles < 4 or n < 4 or n < 0.5 * articles:
+        return set()
+    return {k for k, (_, keys) in w[2].items() if counted(keys) >= SAME * n}
 
 
 def _semantic(label: str) -> bool:
@@ -275,17 +296,13 @@ def _semantic(label: str) -> bool:
 
 
 def _skipped(label: str) -> bool:
-    tag, _, marks = label.partition("|")
-    if tag in BOILERPLATE or tag == "header":
-        return True
-    found = dict(x.split("=", 1) for x in marks.split(".") if "=" in x)
-    return bool(set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) & WORDS) or found.get("role", "") in ROLES
+    return label.endswith("!") or label.split("|")[0] == "header"
 
 
-def varying(w: list, pages: int) -> int:
+def varying(w: list, articles: float) -> int:
     """Characters of text that varies, outside of boilerplate."""
-    own = 0 if _template(w, pages) else w[3]
-    return own + sum(varying(k, pages) for k in w[4] if not _skipped(k[0]))
+    own = 0 if _template(w, articles) else w[3]
+    return own + sum(varying(k, articles) for k in w[4] if not _skipped(k[0]))
 
 
 def _mass(w: list) -> int:
@@ -294,13 +311,13 @@ def _mass(w: list) -> int:
 
 def content_path(w: list) -> list[str]:
     """Labels from the root of a wrapper down to the article or main element with most text; empty without one."""
-    pages, found = w[1], []
+    articles, found = counted(w[6]), []
 
     def search(at, path):
         for k in at[4]:
             if not _skipped(k[0]):
                 if _semantic(k[0]):
-                    found.append((varying(k, pages), _mass(k), [*path, k[0]]))
+                    found.append((varying(k, articles), _mass(k), [*path, k[0]]))
                 else:
                     search(k, [*path, k[0]])
 
@@ -361,35 +378,33 @@ def extract(page: str | None, wrapper: list | None) -> str:
         at = step
     if not _semantic(at[0].label):  # the host has no article, or the page isn't built like its host's others
         at = (list(_roots(root)) if path else []) or [root]
-    _drop(root, wrapper, wrapper[1], drop, SAME if at[0] is root else _least(wrapper, path))
-    for starts, gone in ((at, drop), ([root], drop), ([root], set())):
-        out = []
-        for x in starts:
-            _blocks(x, _semantic(x.label), gone, out)
-        if out:
-            return "\n\n".join(out)
-    return ""
-
-
-def _drop(node: Node, w: list, pages: int, drop: set[int], least: float) -> None:
-    """Aligns a page with its wrapper; text leaves that template nodes hold go into drop."""
+    _drop(root, wrapper, counted(wrapper[6]), drop)
+    out: list[str] = []
+    for x in at:
+        _blocks(x, _semantic(x.label), drop, out)
+    return "\n\n".join(out)
+
+
+def _drop(node: Node, w: list, articles: float, drop: set[int]) -> None:
+    """Aligns a page with its wrapper; text leaves that hold a node's template go into drop."""
     groups: list[tuple[list, list[Node]]] = []  # folded child, and the page's nodes it stands for
     for k in node.kids:
-        one = wrap(["#text", [k.text], []] if k.text is not None else [k.label, [x.text for x in k.kids], []] if k.kids and all(x.text is not None for x in k.kids) else fold(k))
+        one = wrap(["#text", [k.text], []] if k.text is not None else [k.label, [x.text for x in k.kids], []] if k.kids and all(x.text is not None for x in k.kids) else fold(k), 0)
         if groups and one[0] == groups[-1][0][0] and one[3] and groups[-1][0][3] and not one[4] and not groups[-1][0][4]:
             groups[-1][1].append(k)
         else:
             groups.append((one, [k]))
     for i, j in match(["", 1, {}, 0, [g[0] for g in groups]], w)[1]:
         inner = w[4][j]
-        for k in groups[i][1]:
-            if _template(inner, pages, least):
-                texts = [k] if k.text is not None else k.kids
-                joined = [x.text for g in groups[i][1] for x in ([g] if g.text is not None else g.kids)]
-                if zlib.crc32("\n".join(joined).encode("utf-8", "surrogatepass")) in inner[2]:
-                    drop.update(id(x) for x in texts)
-            elif k.text is None and inner[4]:
-                _drop(k, inner, pages, drop, least)
+        template = _template(inner, articles)
+        if template:
+            leaves = [x for g in groups[i][1] for x in ([g] if g.text is not None else g.kids)]
+            if zlib.crc32("\n".join(x.text for x in leaves if x.text is not None).encode("utf-8", "surrogatepass")) in template:
+                drop.update(id(x) for x in leaves)
+        if inner[4]:
+            for k in groups[i][1]:
+                if k.text is None:
+                    _drop(k, inner, articles, drop)
 
 
 def _host(url: str):

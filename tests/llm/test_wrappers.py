@@ -45,7 +45,7 @@ def brute(a, b):
 
 
 def tree(r, depth):
-    return [r.choice("ab") if depth < 3 else "r", 1, {}, 0, [tree(r, depth - 1) for _ in range(r.randrange(0, 4))] if depth else []]
+    return [r.choice("ab") if depth < 3 else "r", 1, {}, 0, [tree(r, depth - 1) for _ in range(r.randrange(0, 4))] if depth else [], 0, (r.randrange(9),)]
 
 
 def test_matching_against_brute_force():
@@ -128,3 +128,86 @@ def test_template_inside_articles():
         same = [bodies[0]] * copies + bodies[1 : 13 - copies]
         w = wrapper_of(same)
         assert want[0].split("\n\n")[1] in X.extract(bodies[0], w)
+
+
+def prose(r, n):
+    return " ".join(r.choice(["oak", "elm", "ash", "fir", "yew", "bay"]) + str(r.randrange(30)) for _ in range(n))
+
+
+def test_near_copies_keep_their_titles():
+    """Copies and near copies of an article count once, on hosts of any size; a text of its own is kept where others have the template."""
+    r = random.Random(7)
+    title, body = prose(r, 5), prose(r, 120)
+    near = [page(i, f"<article><h1>{title}</h1><p>{body} {i}</p></article>") for i in range(2)]
+    alone = page(3, f"<article><h1>{title} alone</h1><p>{prose(r, 80)}</p></article>")
+    other = page(4, f"<article><h1>Own title</h1><p>{prose(r, 80)}</p></article>")
+    for pages in (near + [alone], near * 4 + [alone], near * 3 + [alone, other], [near[0]] * 9):
+        w = wrapper_of(pages)
+        for p in pages:
+            assert X.extract(p, w) == X.extract(p, None) and "<h1>" in p and X.extract(p, w).count("\n\n") == 1
+    rows = [page(i, f"<article><h1>Our weekly letter</h1><p>{prose(r, 60)}</p></article>") for i in range(9)] + [page(9, f"<article><h1>Something else</h1><p>{prose(r, 60)}</p></article>")]
+    w = wrapper_of(rows)
+    assert all("weekly" not in X.extract(p, w) for p in rows[:9]) and X.extract(rows[9], w).startswith("Something else\n\n")
+
+
+def test_article_without_text():
+    r = random.Random(8)
+    rows = [page(i, f"<div class=k1>We are closed on Sundays</div><article><h1>{prose(r, 4)}</h1><p>{prose(r, 50)}</p></article><div class=k2>Constant tail</div>") for i in range(20)]
+    bare = page(20, "<div class=k1>We are closed on Sundays</div><article></article><div class=k2>Constant tail</div>")
+    w = wrapper_of(rows + [bare])
+    assert X.extract(bare, w) == "" and X.extract(rows[3], w).count("\n\n") == 1
+    open_ = [page(i, f"<div class=k1>We are closed on Sundays</div><div class=t><p>{prose(r, 50)}</p></div>") for i in range(20)]
+    none = page(20, "<div class=k1>We are closed on Sundays</div><div class=t></div>")
+    assert X.extract(none, wrapper_of(open_ + [none])) == ""
+
+
+def test_deep_pages():
+    """Boilerplate is left out and blocks stay apart however deep they lie."""
+    for n in (20, 205, 900):
+        assert X.extract("<div>" * n + "<nav>MENU<p>more</p></nav><p>text</p><div class=comments><div><p>me too</p></div></div><p>end</p>" + "</div>" * n, None) == "text\n\nend"
+    assert X.extract("<nav>" + "<div>" * 300 + "menu" + "</div>" * 300 + "</nav><p>text</p>", None) == "text"
+
+
+def test_classes_that_prose_can_carry():
+    r = random.Random(9)
+    text = prose(r, 40)
+    for name in ("related-work", "search-results", "notice", "tags", "banner"):
+        got = X.extract(page(1, f"<article><h1>Head</h1><div class='{name}'><p>{text}</p></div><div class='{name}'><a href=/x>one</a> <a href=/y>two</a></div></article>"), None)
+        assert got == f"Head\n\n{text}"
+    assert X.extract(page(1, f"<article><h1>Head</h1><div class='comments'><p>{text}</p></div></article>"), None) == "Head"
+
+
+def test_constant_heading_longer_than_the_body():
+    """The longest slot may be the template itself."""
+    r = random.Random(10)
+    long = "Terms and conditions apply to all that is written here " * 3
+    rows = [page(i, f"<article><div class=k1>{long}</div><p>{prose(r, 12)}</p></article>") for i in range(12)]
+    w = wrapper_of(rows)
+    assert all("Terms" not in X.extract(p, w) and X.extract(p, w) for p in rows)
+
+
+def test_texts_that_most_pages_hold_are_found_late():
+    """A text that many later pages hold gets a place among those that a node counts."""
+    r = random.Random(11)
+    early = [page(i, f"<article><div class=k1>early {i // 2}</div><p>{prose(r, 40)}</p></article>") for i in range(40)]
+    late = [page(i, f"<article><div class=k1>Read it to the end</div><p>{prose(r, 40)}</p></article>") for i in range(160)]
+    w = wrapper_of(early + late)
+    assert all("Read it" not in X.extract(p, w) for p in late) and all("early" in X.extract(p, w) for p in early)
+
+
+def test_long_labels_stay_apart():
+    a, b = (X.parse(f"<div class='{'x' * 90}{c}'><p>t</p></div>").kids[0].label for c in "ab")
+    assert a != b and len(a) < 100
+
+
+def test_sketches_count_articles():
+    r = random.Random(12)
+    keys = [r.getrandbits(32) for _ in range(3000)]
+    s: tuple = ()
+    for k in keys[:10]:
+        s = X.both(s, (k,))
+    assert X.counted(s) == 10 and X.both(s, s) == s
+    for k in keys:
+        s = X.both(s, (k,))
+    assert len(s) == X.KEYS and 1500 < X.counted(s) < 6000
+    assert s == X.both(tuple(sorted(keys[::2])[: X.KEYS]), tuple(sorted(keys[1::2])[: X.KEYS]))
