@@ -174,7 +174,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     """key, lang, n_chars and perplexity (null without characters) of every row; trusted: the keys to train on."""
     kind = docs.select(key).schema[0].dataType.simpleString()
     blocks = C.blocks_for(docs, text, BLOCK_MB)
-    bundled = bundles(docs, key, text, lang, blocks)
+    bundled = C.written(bundles(docs, key, text, lang, blocks), "bundles")
     named = trusted.select(_place(key, None, blocks).alias("block"), F.col(key).alias("key")).where("key IS NOT NULL")
     asked = C.written(bundled.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(_counted, "block int, key long, gram string, count long"), "grams")
     sums = C.cut(asked.groupBy("key", "gram").agg(F.sum("count").alias("count")))

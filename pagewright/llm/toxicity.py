@@ -8,7 +8,8 @@ endings) and of pairs of neighbouring labels; it is fitted by gradient steps on
 likelihood, with the marginals of tokens and of pairs of neighbours from forward-backward. Forward-backward marginals of whole texts give the offending words; a
 document's score is a logistic function of its largest marginal and their sum.
 
-The fit uses at most SAMPLE toxic and 2 * SAMPLE other documents, of at most FIT_BYTES bytes each (documented bounds); scoring
+The fit uses at most SAMPLE toxic and 2 * SAMPLE other documents, and of those longer than FIT_CHARS characters a stretch of that
+length that begins at a place drawn by their key (documented bounds); scoring
 reads every text whole. Words are runs of other than ASCII punctuation and white space, A-Z lower-cased.
 A null or empty text has the score of a text without toxic words. Without labels of both kinds every score is 0.
 Rows are scored one by one, so repeated or null keys are kept; rows of labels with a null key or label are
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window as W
 from . import common as C
 from .decontam import _clean
 
-SAMPLE, FIT_BYTES = 900, 12_000
+SAMPLE, FIT_CHARS = 900, 12_000
 MARKER = range(3, 9)
 SPACE_BITS = 18
 STEPS, RATE, SHRINK = 40, 0.5, 1.0
@@ -241,7 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     ids = [known.where(F.col("_label") == v).orderBy(F.xxhash64(key)).limit(3 * sample * (2 - v)) for v in (0, 1)]  # a bounded number of keys
     ids = docs.sparkSession.createDataFrame(ids[0].unionByName(ids[1]).collect(), ids[0].schema)
-    short = docs.where(F.octet_length(text) <= FIT_BYTES).select(F.col(key), F.col(text).alias("_text"))
+    begin = F.pmod(F.xxhash64(key), F.greatest(F.char_length(text) - FIT_CHARS + 1, F.lit(1))).cast("int") + 1
+    short = docs.where(F.col(text).isNotNull()).select(F.col(key), F.substring(F.col(text), begin, F.lit(FIT_CHARS)).alias("_text"))
     place = F.row_number().over(W.partitionBy("_label").orderBy(F.xxhash64(key), "_text"))
     found = short.join(F.broadcast(ids), key).withColumn("_place", place).where(F.col("_place") <= sample * (2 - F.col("_label"))).orderBy("_label", "_place").select("_text", "_label").collect()
     texts, toxic = [r[0] for r in found], [int(r[1]) for r in found]
