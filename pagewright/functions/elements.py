@@ -1,6 +1,6 @@
 """Rules that classify page elements, as columns over one row per element.
 
-Expected columns: tag, class, role, label, id, type, href (null if none), expanded, selected, contenteditable, aria_modal,
+Expected columns: tag, class, role, raw_label (what the element itself says), label (never empty), id, type, href (null if none), expanded, selected, contenteditable, aria_modal,
 onclick, overflow, scroll_height, client_height, scroll_width, client_width, x, y, width, height, painted, outer_frame. First match wins
 in every chain.
 """
@@ -57,7 +57,7 @@ def weighed(terms: list[tuple[Column, int]]) -> Column:
 
 
 def aria_role() -> Column:
-    t, kind = F.col("tag"), F.coalesce(F.col("type"), F.lit(""))
+    t, kind = F.col("tag"), _lc("type")
     out = F.when((t == "a") & (F.coalesce(F.col("href"), F.lit("")) != ""), "link").when(t == "button", "button")
     out = out.when((t == "input") & kind.isin("button", "submit", "reset"), "button").when((t == "input") & (kind == "checkbox"), "checkbox").when((t == "input") & (kind == "radio"), "radio")
     out = out.when(t.isin("input", "textarea"), "textbox")
@@ -72,7 +72,7 @@ def kind() -> Column:
     area, painted = w * h, F.col("painted")
     large = lambda other: F.when(area > 180000, "card-large").otherwise(other)
     return (
-        F.when((F.coalesce(F.col("label"), F.lit("")) == "") & (t == "span") & (cls == ""), "decoration")
+        F.when((F.coalesce(F.col("raw_label"), F.lit("")) == "") & (t == "span") & (cls == ""), "decoration")
         .when((t == "dialog") | (role == "dialog") | (F.coalesce(F.col("aria_modal"), F.lit("")) == "true") | has(cls, MODAL), "modal")
         .when((t == "svg") | has(cls, "icon|ico"), "icon")
         .when((t == "button") | (role == "button") | has(cls, BUTTON), "button")
@@ -110,7 +110,7 @@ def semantic_type(viewport_height: int = 1000) -> Column:
 
 def actions() -> Column:
     """Ordered actions; needs aria_role."""
-    t, role, kind_ = F.col("tag"), F.col("aria_role"), F.coalesce(F.col("type"), F.lit(""))
+    t, role, kind_ = F.col("tag"), F.col("aria_role"), _lc("type")
     set_ = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     click = (t == "button") | set_("onclick") | ((t == "a") & (F.coalesce(F.col("href"), F.lit("")) != "")) | role.isin("button", "link", "menuitem", "tab", "option") | F.col("expanded").isNotNull() | (t == "summary")
     fill = (t == "textarea") | (F.coalesce(F.col("contenteditable"), F.lit("")) == "true") | ((t == "input") & ~kind_.isin("button", "checkbox", "file", "hidden", "image", "radio", "reset", "submit")) | (role == "textbox")
@@ -184,4 +184,4 @@ def probe_score() -> Column:
 
 def can_probe() -> Column:
     """Needs actions and score."""
-    return (F.array_contains("actions", "click") | F.array_contains("actions", "toggle")) & (F.col("tag") != "a") & ~F.coalesce(F.col("type"), F.lit("")).isin("submit", "reset", "file") & (F.col("score") > 0)
+    return (F.array_contains("actions", "click") | F.array_contains("actions", "toggle")) & (F.col("tag") != "a") & ~_lc("type").isin("submit", "reset", "file") & (F.col("score") > 0)

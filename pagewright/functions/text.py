@@ -1,10 +1,12 @@
-"""Text, hash, CSS and URL functions as columns. None of them leaves the JVM."""
+"""Text, hash and CSS functions as columns, and parts of URLs. None of them leaves the JVM."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import urls
+
 #: Fixed value: what counts as white space in page text; U+FEFF and U+00A0 do, U+0085 doesn't.
 BLANK = "[\\t\\n\\x{0b}\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
 #: Fixed value: path endings that a crawl leaves out.
@@ -71,24 +73,19 @@ def radius_pair(c: Column | str, width: Column, height: Column) -> Column:
     return F.struct(size(F.get(parts, F.lit(0)), width).alias("x"), size(F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))), height).alias("y"))
 
 
-def corner_radii(corners: dict[str, Column | str], width: Column, height: Column) -> Column:
-    """The radii of four corners (topLeft, topRight, bottomRight, bottomLeft), rounded, at most half the box."""
+def corner_radii(corners: dict[str, Column | str], width: Column, height: Column, whole: Column | str | None = None) -> Column:
+    """The radii of four corners (topLeft, topRight, bottomRight, bottomLeft) as the style gives them, rounded; an empty one is that of the whole box."""
     out = []
     for name, c in corners.items():
-        r = radius_pair(c, width, height)
-        out.append(F.struct(clamp_radius(r["x"], width).alias("x"), clamp_radius(r["y"], height).alias("y")).alias(name))
+        r = radius_pair(truthy(c) if whole is None else F.coalesce(truthy(c), col(whole)), width, height)
+        out.append(F.struct(*(F.greatest(F.lit(0), round_half_up(r[k])).alias(k) for k in "xy")).alias(name))
     return F.struct(*out)
 
 
-def clamp_radius(r: Column, size: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(round_half_up(r), F.floor(size / 2)))
-
-
-def page_url(c: Column | str) -> Column:
-    """A URL without query and fragment, and without slashes at the end of a path longer than one."""
-    bare = F.regexp_replace(col(c), "[?#].*$", "")
-    steps = F.coalesce(truthy(F.regexp_replace(path(c), "/+$", "")), F.lit("/"))
-    return F.when(origin(c) == "", bare).otherwise(F.concat(origin(c), steps))
+def clamped_radii(radii: Column, width: Column, height: Column) -> Column:
+    """Corner radii for drawing: at most half the box."""
+    half = lambda r, size: F.greatest(F.lit(0), F.least(round_half_up(r), F.floor(size / 2)))
+    return F.struct(*(F.struct(half(radii[n]["x"], width).alias("x"), half(radii[n]["y"], height).alias("y")).alias(n) for n in ("topLeft", "topRight", "bottomRight", "bottomLeft")))
 
 
 def host(c: Column | str) -> Column:
@@ -112,18 +109,15 @@ def slug(c: Column | str) -> Column:
 
 
 def valid_url(c: Column | str) -> Column:
-    """(url, error): an http, https or file URL in its usual form (lower-case scheme and host, no default port, a path), or why not."""
-    given = F.trim(F.coalesce(col(c), F.lit("")))
-    scheme = F.lower(F.regexp_extract(given, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    after = F.regexp_extract(given, "^[A-Za-z][A-Za-z0-9+.-]*:(.*)$", 1)
-    rest = F.when(scheme.isin("http", "https"), F.regexp_replace(after, "^[/\\\\]*", "//")).when(after.startswith("//"), after).when(after.startswith("/"), F.concat(F.lit("//"), after)).otherwise(F.concat(F.lit("///"), after))
-    place, tail = F.lower(F.regexp_extract(rest, "^//([^/?#]*)", 1)), F.regexp_extract(rest, "^//[^/?#]*(.*)$", 1)
-    default = F.when(scheme == "http", F.regexp_replace(place, ":80$", "")).when(scheme == "https", F.regexp_replace(place, ":443$", "")).otherwise(place)
-    whole = F.concat(scheme, F.lit("://"), default, F.when(tail.startswith("/"), F.lit("")).otherwise(F.lit("/")), tail)
-    unknown = ~scheme.isin("http", "https", "file")
-    broken = (scheme == "") | (~unknown & (((place == "") & (scheme != "file")) | F.contains(place, F.lit(" "))))
-    error = F.when(given == "", "URL is required").when(broken, "Invalid URL").when(unknown, "Only http, https, and file URLs are supported")
-    return F.struct(F.when(error.isNull(), whole).alias("url"), error.alias("error"))
+    """(url, error): an http, https or file URL in its usual form (see urls.py), or why not."""
+    given = F.coalesce(col(c), F.lit(""))
+
+    def judged(p: Column) -> Column:
+        known = p["scheme"].isin("http", "https", "file")
+        error = F.when(given == "", "URL is required").when(p.isNull(), "Invalid URL").when(~known, "Only http, https, and file URLs are supported")
+        return F.struct(F.when(error.isNull(), urls.spelled(p)).alias("url"), error.alias("error"))
+
+    return urls.let(urls.parsed(given), judged)
 
 
 def bounded(c: Column | str, low: int, high: int, error: str) -> Column:

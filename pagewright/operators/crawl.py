@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..functions import urls as U
 from ..sources import pages as P
 
 
@@ -48,10 +49,10 @@ def discover(pages: DataFrame, start: str, most: int, sitemaps: DataFrame | None
     pages of sitemaps (ord, body), then what each page links to, in order.
     """
     spark = pages.sparkSession
-    first = spark.createDataFrame([(start,)], "url string").select(X.page_url("url").alias("node"), X.origin("url").alias("origin"), F.lit(0).alias("ord"))
+    first = spark.createDataFrame([(start,)], "url string").select(U.page_url("url").alias("node"), U.origin_of("url").alias("origin"), F.lit(0).alias("ord"))
     home, origin = first.select("node", "origin").first()
-    inside = lambda df: df.where((X.origin("dst") == origin) & ~X.is_asset("dst"))
-    found = P.links(pages.select(F.lit(0).alias("page_id"), "url", "html")).select(X.page_url("url").alias("src"), "ord", X.page_url(P.absolute("url", "href")).alias("dst"))
+    inside = lambda df: df.where((U.origin_of("dst") == origin) & ~X.is_asset("dst"))
+    found = P.links(pages.select(F.lit(0).alias("page_id"), "url", "html")).select(U.page_url("url").alias("src"), "ord", U.page_url("href", "base").alias("dst"))
     seeds = first.select("node", "ord")
     if sitemaps is not None:
         listed = P.sitemap_pages(sitemaps, origin, most).where(F.col("url") != home)

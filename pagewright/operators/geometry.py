@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as X
+
 
 def crop_rects(items: DataFrame, width: int, height: int) -> DataFrame:
     """Bounds clamped to the image (left, top, crop_width, crop_height); empty crops are dropped."""
@@ -43,8 +45,8 @@ def output_bounds(left: Column, top: Column, width: Column, height: Column, trim
 
 
 def rounded_mask(width: Column, height: Column, radii: Column, scale: int = 4) -> Column:
-    """The outline of a box with rounded corners as an SVG path, `scale` times as large; null without round corners."""
-    w, h = width * scale, height * scale
+    """The outline of a box with rounded corners as an SVG path, `scale` times as large; null without round corners. Radii are held to half the box."""
+    w, h, radii = width * scale, height * scale, X.clamped_radii(radii, width, height)
     r = {n: (radii[n]["x"] * scale, radii[n]["y"] * scale) for n in ("topLeft", "topRight", "bottomRight", "bottomLeft")}
     part = lambda letter, *v: F.concat_ws(" ", F.lit(letter), *[(x if isinstance(x, Column) else F.lit(x)).cast("long").cast("string") for x in v])
     arc = lambda n, x, y: part("A", r[n][0], r[n][1], 0, 0, 1, x, y)

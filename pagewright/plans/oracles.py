@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from ..sources import pages as P
 from .data import ELEMENTS_SQL, TREE_SQL
-from .queries import HEADING
+from .queries import HEADING, REFERENCES
+from .urls_sql import resolved_sql
 
 _E = f"WITH {ELEMENTS_SQL}\n"
 _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
-_PAGE_URL = f"{_ORIGIN} || coalesce(nullif(regexp_replace({_PATH}, '/+$', ''), ''), '/')"
 _SLUG = f"coalesce(nullif(substr(regexp_replace(regexp_replace(lower(coalesce(nullif(regexp_extract(regexp_replace({_PATH}, '/+$', ''), '([^/]*)$', 1), ''), regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'capture')"
 _BLANK = "[\\t\\n\\x{0b}\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
 _PLAIN = P.plain_sql("html")
 _quoted = lambda p: p.replace("'", "''")
 _found = lambda p, name: f"list_transform(regexp_extract_all(h, '{_quoted(p)}', 1), lambda v: {{'href': regexp_replace(v, '^[\"'']|[\"'']$', '', 'g'), 'source': '{name}'}})"
-_LINKS = f"""hp AS (SELECT page_id, url, {P.plain_sql('v')} AS h FROM (SELECT *, html || '<FORM method=get Action=''/find' || page_id || chr(39) || '>' AS v FROM pages)), ll AS (SELECT page_id, url, list_filter(list_concat({_found(P.LINK, 'link')}, {_found(P.FORM, 'form')}), lambda v: v.href <> '') AS l FROM hp),
-lk AS (SELECT page_id, url, unnest(l).href AS href, unnest(l).source AS source, generate_subscripts(l, 1) - 1 AS ord FROM ll), lt AS (SELECT *, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '/%' THEN {_ORIGIN} || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '([^/:])/[^/]*$', '\\1') || '/' || href END AS target FROM lk)"""
+_LINKS = f"""hp AS (SELECT page_id, url, {P.plain_sql('v')} AS h FROM (SELECT *, html || '<FORM method=get Action=''/find' || page_id || chr(39) || '><a href='' HTTP://Ex.Example:80/a/../p&#53;?x=1&amp;y=2 ''>' AS v FROM pages)), ll AS (SELECT page_id, url, list_filter(list_concat({_found(P.LINK, 'link')}, {_found(P.FORM, 'form')}), lambda v: v.href <> '') AS l FROM hp),
+lk AS (SELECT page_id, url, replace(replace(unnest(l).href, '&amp;', '&'), '&#53;', '5') AS href, unnest(l).source AS source, generate_subscripts(l, 1) - 1 AS ord FROM ll),
+lb AS (SELECT *, href AS ref, CASE WHEN page_id % 5 = 2 THEN regexp_extract(url, '^[a-z]+:') || '//base.example/b/c' ELSE url END AS base FROM lk), {resolved_sql("lb", "lt")}"""
 _T = f"WITH {TREE_SQL}\n"
 _norm = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _escape = lambda x: f"regexp_replace({x}, '([^a-zA-Z0-9_-])', '\\\\\\1', 'g')"
@@ -26,12 +27,16 @@ _STEP = f"st AS (SELECT page_id, i, parent, id, tag, tag || coalesce('[' || nth
 
 
 def _radius(k: int, size: str) -> str:
-    texts = {0: "8", 1: f"0.5 * {size}", 2: "4" if size == "width" else f"20 * {size} / 100", 3: "0", 4: "1000"}
+    texts = {0: "8", 1: f"0.5 * {size}", 2: "4" if size == "width" else f"20 * {size} / 100", 3: "6", 4: "1000"}
     cases = " ".join(f"WHEN {n} THEN {v}" for n, v in texts.items())
-    return f"greatest(0, least(floor(CASE (idx + {k}) % 5 {cases} END + 0.5), floor({size} / 2)))::BIGINT"
+    return f"greatest(0, floor(CASE (idx + {k}) % 5 {cases} END + 0.5))::BIGINT"
 
 
-_MASK = "rd AS (SELECT page_id, idx, tag, width * 4 AS w, height * 4 AS h, " + ", ".join(f"4 * {_radius(k, s)} AS r{k}{s[0]}" for k in range(4) for s in ("width", "height")) + " FROM el)"
+def _half(k: int, size: str) -> str:
+    return f"least({_radius(k, size)}, floor({size} / 2)::BIGINT)"
+
+
+_MASK = "rd AS (SELECT page_id, idx, tag, width * 4 AS w, height * 4 AS h, " + ", ".join(f"4 * {_half(k, s)} AS r{k}{s[0]}" for k in range(4) for s in ("width", "height")) + " FROM el)"
 _OUTLINE = "concat_ws(' ', 'M', r0w, 0, 'L', w - r1w, 0, 'A', r1w, r1h, 0, 0, 1, w, r1h, 'L', w, h - r2h, 'A', r2w, r2h, 0, 0, 1, w - r2w, h, 'L', r3w, h, 'A', r3w, r3h, 0, 0, 1, 0, h - r3h, 'L', 0, r0h, 'A', r0w, r0h, 0, 0, 1, r0w, 0, 'Z')"
 _ITEMS = "it AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, area DESC, priority DESC, idx) AS reading, printf('block-%03d', idx + 1) AS id FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, area DESC, idx) AS rank FROM pr) WHERE rank <= 20), ic AS (SELECT *, CASE WHEN idx % 4 <> 0 THEN kind || '/' || printf('%03d', reading) || '-' || id || '-' || kind || '.png' END AS file FROM it)"
 _SITES = f"rs AS (SELECT *, {_ORIGIN} AS site, row_number() OVER (PARTITION BY {_ORIGIN} ORDER BY page_id) AS ord, count(*) OVER (PARTITION BY {_ORIGIN}) AS n, CASE WHEN page_id % 7 = 3 THEN 'Timeout ' || page_id END AS error FROM pages), rf AS (SELECT *, CASE WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, CASE WHEN n = 1 THEN site ELSE site || '/pages/page-' || printf('%03d-', ord) || {_SLUG} END AS folder FROM rs), rm AS (SELECT *, CASE WHEN error IS NULL THEN folder || '/manifest.json' END AS manifest FROM rf)"
@@ -47,7 +52,11 @@ def _pick(values: list[str], n: str) -> str:
 ORACLE_SQL = {
     "page_kind_counts": _E + "SELECT page_id, kind, count(*) AS n FROM pr GROUP BY ALL",
     "page_title": f"SELECT page_id, coalesce(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '{_BLANK}', ' ', 'g')), '') AS title FROM pages",
-    "page_url_normalized": f"SELECT page_id, {_PAGE_URL} AS page_url, {_ORIGIN} AS origin, {_PATH} AS path FROM pages",
+    "page_url_normalized": f"""WITH g AS (SELECT page_id, url AS base, {_PATH} || regexp_extract(url, '^[^?#]*(.*)$', 1) AS rest, {_ORIGIN} AS o FROM pages),
+r AS (SELECT page_id, base, ([base, ' ' || upper(o) || rest, o || CASE WHEN o LIKE 'https%' THEN ':443' ELSE ':080' END || rest, o || '/x/./y/%2E%2e/..' || rest, o || chr(92) || 'é {{1}}//'])[page_id % 5 + 1] AS ref FROM g), {resolved_sql("r", "u")}
+SELECT page_id, page AS page_url, regexp_extract(page, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract(page, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM u""",
+    "resolved_references": f"""WITH r AS (SELECT page_id, k - 1 AS k, replace(replace(({REFERENCES!r})[k], '&amp;', '&'), '&#53;', '5') AS ref, url AS base FROM pages, range(1, {len(REFERENCES) + 1}) n(k)), {resolved_sql("r", "u")}
+SELECT page_id, k, target, page FROM u""",
     "page_slug": f"SELECT page_id, {_SLUG} AS slug, printf('page-%03d-', row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) ORDER BY page_id)) || {_SLUG} AS folder FROM pages",
     "page_fingerprint": "SELECT page_id, octet_length(encode(html))::BIGINT AS bytes, sha256(html) AS sha256 FROM pages",
     "crawl_default_pages": f"SELECT page_id, regexp_matches(url, '^https?://') AND {_PATH} IN ('', '/') AND NOT contains(regexp_replace(url, '#.*$', ''), '?') AS by_default, regexp_matches({_PATH}, '(?i)\\.(?:png|jpe?g|gif|webp|svg|ico|pdf|zip|mp4|mp3|webm|css|js|json|xml|txt)$') AS asset FROM pages",
@@ -86,7 +95,7 @@ SELECT p.page_id, coalesce(total, 0) AS "totalBlocks", coalesce(total, 0) AS "pa
     "state_diff_join": f"WITH {_DIFF} SELECT event_id, after_id, changes FROM d",
     "timeline_summary": f"WITH {_DIFF} SELECT user_id, count(*) AS before_count, count(after_id) AS after_count, count(*) FILTER (changes <> '') AS changed, count(DISTINCT after_id) AS distinct_after FROM d GROUP BY user_id",
     "animation_scores": _E + f", a AS (SELECT page_id, idx, idx % 9 = 0 AS active, {_pick(['none', 'spin'], 'idx + page_id')} AS an, {_pick(['none', 'all'], 'idx')} AS tr, idx % 3 AS du, {_pick(['none', 'none', 'scale(2)'], 'idx')} AS tf, {_pick(['1', '1', '0.5'], 'idx + 1')} AS op, {_pick(['auto', 'opacity', 'scale'], 'idx + page_id')} AS wc, {_pick(['none', 'none', 'none', 'blur(1px)'], 'idx')} AS fi, {_pick(['none', 'none', 'none', 'none', 'circle()'], 'idx')} AS cp FROM el), s AS (SELECT page_id, idx, CASE WHEN active THEN 100 ELSE 0 END + CASE WHEN an <> 'none' THEN 60 ELSE 0 END + CASE WHEN tr <> 'none' AND du > 0 THEN 35 ELSE 0 END + CASE WHEN tf <> 'none' THEN 25 ELSE 0 END + CASE WHEN op <> '1' THEN 20 ELSE 0 END + CASE WHEN wc = 'opacity' THEN 12 ELSE 0 END AS score FROM a WHERE active OR (an <> 'none' AND du > 0) OR (tr <> 'none' AND du > 0) OR tf <> 'none' OR op <> '1' OR wc <> 'auto' OR fi <> 'none' OR cp <> 'none') SELECT * FROM (SELECT page_id, idx, score::BIGINT AS score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) AS rank FROM s) WHERE rank <= 12",
-    "state_candidates": _E + ", s AS (SELECT *, CASE WHEN expanded IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN selected IS NOT NULL THEN 12 ELSE 0 END + CASE WHEN aria_role IN ('tab', 'switch', 'checkbox') THEN 18 ELSE 0 END + CASE WHEN regexp_matches(lower(concat_ws(' ', label, kind, semantic_type, aria_role, '', class)), 'tab|menu|filter|dropdown|accordion|toggle|expand|more|open|faq|modal|drawer') THEN 16 ELSE 0 END + CASE WHEN semantic_type = 'navigation' THEN 6 ELSE 0 END AS score FROM pr) SELECT * FROM (SELECT page_id, idx, score::BIGINT AS score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, area DESC, idx) AS rank FROM s WHERE (list_contains(actions, 'click') OR list_contains(actions, 'toggle')) AND tag <> 'a' AND score > 0) WHERE rank <= 6",
+    "state_candidates": _E + ", s AS (SELECT *, CASE WHEN expanded IS NOT NULL THEN 20 ELSE 0 END + CASE WHEN selected IS NOT NULL THEN 12 ELSE 0 END + CASE WHEN aria_role IN ('tab', 'switch', 'checkbox') THEN 18 ELSE 0 END + CASE WHEN regexp_matches(lower(concat_ws(' ', label, kind, semantic_type, aria_role, '', class)), 'tab|menu|filter|dropdown|accordion|toggle|expand|more|open|faq|modal|drawer') THEN 16 ELSE 0 END + CASE WHEN semantic_type = 'navigation' THEN 6 ELSE 0 END AS score FROM pr) SELECT * FROM (SELECT page_id, idx, score::BIGINT AS score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, area DESC, idx) AS rank FROM s WHERE (list_contains(actions, 'click') OR list_contains(actions, 'toggle')) AND tag <> 'a' AND type NOT IN ('submit', 'file') AND score > 0) WHERE rank <= 6",
     "state_novelty": "WITH p AS (SELECT user_id, event_id, event_type || '|' || json_extract_string(props, '$.k') AS state FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, state ORDER BY event_id) AS r FROM p WHERE event_id % 10 <> 0 AND state <> 'click|1'), n AS (SELECT user_id, event_id, state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM f WHERE r = 1) SELECT user_id, event_id, state FROM n WHERE k <= 6",
     "state_fingerprint": f"""WITH p AS (SELECT page_id, url, html, {_PLAIN} AS h FROM pages) SELECT page_id, sha256(concat_ws(chr(1), url, coalesce(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '{_BLANK}', ' ', 'g')), ''), substr(trim(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '{_BLANK}', ' ', 'g')), 1, 12000), length(html), len(regexp_extract_all(h, '(?i)<dialog\\b|\\brole="dialog"|\\baria-modal="true"')), len(regexp_extract_all(h, '(?i)\\baria-expanded="true"')))) AS digest FROM p""",
     "css_time_lists": """WITH t AS (SELECT page_id, (['0s', '150ms', '1s, 0s', '', 'abc', '.5s', '2', '1.5s,20ms'])[page_id % 8 + 1] || CASE WHEN page_id % 3 = 0 THEN ', ' || page_id || 'ms' ELSE '' END AS t FROM pages), v AS (SELECT page_id, list_transform(list_transform(string_split(t, ','), lambda x: trim(x)), lambda x: coalesce(try_cast(regexp_extract(x, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)') AS DOUBLE), 0) * CASE WHEN x LIKE '%s' AND x NOT LIKE '%ms' THEN 1000 ELSE 1 END) AS v FROM t) SELECT page_id, list_sum(v)::DOUBLE AS total_ms, len(v) AS parts, list_max(v) > 0 AS moves FROM v""",
@@ -99,7 +108,7 @@ SELECT node, row_number() OVER (ORDER BY w) AS ord FROM (SELECT node, min((level
     "crawl_urls": """WITH RECURSIVE n AS (SELECT max(page_id) + 1 AS n FROM pages), p(node, level, path) AS (SELECT node::BIGINT, 0, o FROM (VALUES (0, '0'), (5, '1'), (3, '2')) s(node, o) UNION ALL SELECT CASE o WHEN 0 THEN (node * 2 + 1) % n ELSE (node * 3 + 2) % n END, level + 1, path || o FROM p, n, (VALUES (0), (1)) v(o) WHERE level < 60 QUALIFY row_number() OVER (PARTITION BY CASE o WHEN 0 THEN (node * 2 + 1) % n ELSE (node * 3 + 2) % n END ORDER BY path || o) = 1)
 SELECT 'http://a.example/p' || node AS url, row_number() OVER (ORDER BY w) AS ord FROM (SELECT node, min((level, path)) AS w FROM p GROUP BY node) QUALIFY ord <= 120""",
     "descendant_counts": _T + "SELECT e.page_id, e.i AS idx, least(count(d.i), 4) AS n FROM tr e LEFT JOIN tr d ON d.page_id = e.page_id AND d.i > e.i AND d.i <= e.last AND d.tag IN ('a', 'p', 'h1') GROUP BY ALL",
-    "rounded_masks": _E + f", {_MASK} SELECT page_id, idx, CASE WHEN greatest(r0w, r0h, r1w, r1h, r2w, r2h, r3w, r3h) > 0 THEN {_OUTLINE} END AS path FROM rd WHERE tag IN ('p', 'h1')",
+    "rounded_masks": _E + f", {_MASK} SELECT page_id, idx, CASE WHEN greatest(r0w, r0h, r1w, r1h, r2w, r2h, r3w, r3h) > 0 THEN {_OUTLINE} END AS path FROM rd",
     "agent_elements": _E + f""", {_ITEMS} SELECT page_id, reading, id, coalesce(nullif(semantic_type, ''), kind) AS type, tag, {_norm("'  ' || label || chr(10) || ' x'")} AS body, tag || CASE WHEN class <> '' THEN '.' || class ELSE '' END AS css, CASE WHEN aria_role <> '' AND label <> '' THEN 'getByRole("' || aria_role || '", {{ name: "' || label || '" }})' ELSE '' END AS by_role, aria_role AS role, expanded,
 coalesce('items-with-text/' || file, '') AS crop, coalesce('items/' || file, '') AS bare_crop, CASE WHEN file IS NULL THEN '' ELSE sha256('b' || id) END AS digest, CASE WHEN file IS NULL THEN 0 ELSE width END AS crop_width, array_to_string(list_filter(['aria-expanded=' || expanded, 'aria-selected=' || selected, 'href=' || href, CASE WHEN idx <= 160 THEN 'placeholder=' || repeat('p', idx::INT) END], lambda v: v IS NOT NULL), ';') AS attributes, class AS classes FROM ic""",
     "page_results": f"WITH {_SITES} SELECT page_id, status, folder, manifest, error FROM rm",

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import elements as E
 from ..functions import text as X
+from ..functions import urls as U
 from ..operators import crawl, geometry, items, timeline, tree
 from ..sources import dom
 from ..sources import pages as P
@@ -34,7 +35,24 @@ def page_title(spark, sf):
 
 
 def page_url_normalized(spark, sf):
-    return pages(spark, sf).select("page_id", X.page_url("url").alias("page_url"), X.origin("url").alias("origin"), X.path("url").alias("path"))
+    """Each page's URL in its usual form as a page, of several ways to write it."""
+    rest = F.concat(X.path("url"), F.regexp_extract("url", "^[^?#]*(.*)$", 1))
+    ways = [F.col("url"), F.concat(F.lit(" "), F.upper(X.origin("url")), rest), F.concat(X.origin("url"), F.when(F.col("url").startswith("https"), ":443").otherwise(":080"), rest), F.concat(X.origin("url"), F.lit("/x/./y/%2E%2e/.."), rest), F.concat(X.origin("url"), F.lit("\\é {1}//"))]
+    p = pages(spark, sf).withColumn("given", F.element_at(F.array(*ways), F.expr(f"cast(page_id % {len(ways)} + 1 AS int)"))).withColumn("page_url", U.page_url("given"))
+    return p.select("page_id", "page_url", X.origin("page_url").alias("origin"), X.path("page_url").alias("path"))
+
+
+#: References that a page may hold, as Spark and DuckDB both spell them.
+REFERENCES = [
+    "/x/../p1", "HTTP://A.EXAMPLE/p2", " /p3 ", "http://a.example:80/p4", "p&#53;?a=1&amp;b=2", "", "#z", "?q=a b<c>", "//Other.example:0443/x", "https://u:p@H:443", "../../../g", "./g/.", "%2e%2E/%7Eh", "é ü",
+    "mailto:A@b", "http://h:99999/", "http:///y", "http:g", "https:k", "http://a b/", "a//b/../c", "javascript:go(1)",
+]
+
+
+def resolved_references(spark, sf):
+    """References as every page may hold them, seen from it: the URL, and the page that it names; null for what is no URL."""
+    p = pages(spark, sf).select("page_id", "url", F.posexplode(F.array(*map(F.lit, REFERENCES))).alias("k", "reference"))
+    return p.select("page_id", "k", U.resolved(U.decoded("reference"), "url").alias("target"), U.page_url(U.decoded("reference"), "url").alias("page"))
 
 
 def page_slug(spark, sf):
@@ -52,9 +70,10 @@ def crawl_default_pages(spark, sf):
 
 
 def page_links(spark, sf):
-    """Links and form actions of each page, with a made form at its end."""
-    p = pages(spark, sf).withColumn("html", F.concat("html", F.lit("<FORM method=get Action='/find"), F.col("page_id").cast("string"), F.lit("'>")))
-    return P.links(p).select("page_id", "ord", "href", "source", P.absolute("url", "href").alias("target"))
+    """Links and form actions of each page, with a made form and link at its end, and on every fifth page a base."""
+    made = F.concat("html", F.lit("<FORM method=get Action='/find"), F.col("page_id").cast("string"), F.lit("'><a href=' HTTP://Ex.Example:80/a/../p&#53;?x=1&amp;y=2 '>"))
+    p = pages(spark, sf).withColumn("html", F.when(F.expr("page_id % 5 = 2"), F.concat(F.lit("<base href='//Base.example/b/c'>"), made)).otherwise(made))
+    return P.links(p).select("page_id", "ord", "href", "source", U.resolved("href", "base").alias("target"))
 
 
 def link_targets_distinct(spark, sf):
@@ -249,7 +268,7 @@ def crawl_urls(spark, sf):
     p = pages(spark, sf).select("page_id")
     n = p.agg(F.max("page_id") + 1).first()[0] or 1
     link = lambda e: F.concat(F.lit("<A HREF='/p"), F.expr(f"({e}) % {n}").cast("string"), F.lit("/?q#f'>x</A>"))
-    html = F.concat(F.lit("<!-- <a href='/hidden'> --><a href=http://other.example/x>o</a><a href=/pic.png>i</a>"), link("page_id * 2 + 1"), F.lit('<form action="'), F.lit("/p"), F.expr(f"(page_id * 3 + 2) % {n}").cast("string"), F.lit('"></form>'))
+    html = F.concat(F.lit("<!-- <a href='/hidden'> --><a href=http://other.example/x>o</a><a href=/pic.png>i</a><a href='HTTP://A.Example:80/x/../p"), F.expr(f"(page_id * 2 + 1) % {n}").cast("string"), F.lit("'>u</a>"), link("page_id * 2 + 1"), F.lit('<form action=" ../&#112;'), F.expr(f"(page_id * 3 + 2) % {n}").cast("string"), F.lit('"></form>'))
     made = p.select(F.concat(F.lit("http://a.example/p"), F.col("page_id").cast("string")).alias("url"), html.alias("html"))
     sitemaps = spark.range(1).select(F.lit(0).alias("ord"), F.lit("<loc>http://a.example/p5</loc><loc>http://a.example/p3/</loc>").alias("body"))
     return crawl.discover(made, "http://a.example/p0/?x", 120, sitemaps).select("url", F.col("ord").cast("long").alias("ord"))
@@ -281,7 +300,7 @@ def _radii(spark, sf):
     texts = ["8px", "50%", "4px  20%", "", "1000px"]
     corner = lambda k: F.element_at(F.array(*map(F.lit, texts)), F.expr(f"cast((idx + {k}) % 5 + 1 AS int)"))
     names = ["topLeft", "topRight", "bottomRight", "bottomLeft"]
-    return D.elements(spark, sf).withColumn("radii", X.corner_radii({n: corner(k) for k, n in enumerate(names)}, F.col("width"), F.col("height")))
+    return D.elements(spark, sf).withColumn("radii", X.corner_radii({n: corner(k) for k, n in enumerate(names)}, F.col("width"), F.col("height"), F.lit("6px")))
 
 
 def corner_radii(spark, sf):
@@ -289,9 +308,8 @@ def corner_radii(spark, sf):
 
 
 def rounded_masks(spark, sf):
-    """The outline of elements of one tag, as an SVG path."""
-    e = _radii(spark, sf).where("tag IN ('p', 'h1')")
-    return e.select("page_id", "idx", geometry.rounded_mask(F.col("width"), F.col("height"), F.col("radii")).alias("path"))
+    """The outline of every element, as an SVG path."""
+    return _radii(spark, sf).select("page_id", "idx", geometry.rounded_mask(F.col("width"), F.col("height"), F.col("radii")).alias("path"))
 
 
 def alpha_bbox(spark, sf):
@@ -509,5 +527,5 @@ QUERIES = {f.__name__: _wide(f) for f in (
     sibling_rank, crop_rects, corner_radii, alpha_bbox, select_listing, patch_selection, site_manifest_totals, bfs_crawl, sitemap_pages, robots_sitemaps, scroll_positions, frame_plan, event_cap,
     state_diff_join, timeline_summary, animation_scores, state_candidates, state_novelty, state_fingerprint, css_time_lists, escapes, ax_tree, output_paths, dom_tree, descendant_counts,
     rounded_masks, agent_elements, page_results, site_manifests, tree_paths, selectors, attribute_maps, accessible_names, tree_filters, image_rules, output_bounds, valid_urls, option_bounds, job_ids, asset_paths,
-    landed_bodies, crawl_urls, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
+    landed_bodies, crawl_urls, resolved_references, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
 )}

@@ -7,11 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import urls as U
 
 #: What starts a tag, and what holds no tags: comments and the bodies of scripts and styles.
 TAG = "<([a-zA-Z][a-zA-Z0-9]*)"
-SILENT = [("(?is)<!--.*?-->", ""), ("(?is)(<script\\b[^>]*>).*?</script", "$1</script"), ("(?is)(<style\\b[^>]*>).*?</style", "$1</style")]
+SILENT = "(?is)<!--.*?(?:-->|\\z)|(<script\\b[^>]*>).*?(</script|\\z)|(<style\\b[^>]*>).*?(</style|\\z)"
 LINK = "(?is)<(?:a|area)\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\shref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
+BASE = "(?is)<base\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\shref\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
 FORM = "(?is)<form\\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\\saction\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
 
 
@@ -21,17 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plain(html: Column | str) -> Column:
     """html without comments and the bodies of scripts and styles, in which nothing is a tag."""
-    out = X.col(html)
-    for pattern, by in SILENT:
-        out = F.regexp_replace(out, pattern, by)
-    return out
+    return F.regexp_replace(X.col(html), SILENT, "$1$2$3$4")
 
 
 def plain_sql(html: str) -> str:
     """The same as a DuckDB expression."""
-    for pattern, by in SILENT:
-        html = f"regexp_replace({html}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
-    return html
+    return f"regexp_replace({html}, '{SILENT}', '\\1\\2\\3\\4', 'g')"
 
 
 def tags(pages: DataFrame) -> DataFrame:
@@ -41,19 +38,18 @@ def tags(pages: DataFrame) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, ord (from 0), href and source of links (of `a` and `area`), then of form actions; empty ones are left out."""
-    bare = lambda h: F.regexp_replace(h, "^[\"']|[\"']$", "")
+    """page_id, url, base, ord (from 0), href and source of links (of `a` and `area`), then of form actions; empty ones are left out.
+
+    href has its character references replaced; base is what hrefs are seen from: the page's first `base` element, or its URL.
+    """
+    bare = lambda h: U.decoded(F.regexp_replace(h, "^[\"']|[\"']$", ""))
     found = lambda p, s: F.transform(F.regexp_extract_all("_html", F.lit(p), F.lit(1)), lambda h: F.struct(bare(h).alias("href"), F.lit(s).alias("source")))
     both = F.filter(F.concat(found(LINK, "link"), found(FORM, "form")), lambda x: x.href != "")
     rows = pages.select("page_id", "url", plain("html").alias("_html"))
-    return rows.select("page_id", "url", F.posexplode(both).alias("ord", "l")).select("page_id", "url", "ord", "l.href", "l.source")
-
-
-def absolute(base: Column | str, href: Column | str) -> Column:
-    """href resolved against base, for absolute, host-relative and plain relative paths."""
-    b, h = X.col(base), X.col(href)
-    folder = F.regexp_replace(F.regexp_replace(b, "[?#].*$", ""), "(?<=[^/:])/[^/]*$", "")
-    return F.when(F.rlike(h, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), h).when(h.startswith("//"), F.concat(F.regexp_extract(b, "^[a-z]+:", 0), h)).when(h.startswith("/"), F.concat(X.origin(b), h)).when(h.startswith("#") | h.startswith("?"), F.concat(F.regexp_replace(b, "[?#].*$", ""), h)).otherwise(F.concat(folder, F.lit("/"), h))
+    own = X.truthy(bare(F.regexp_extract("_html", BASE, 1)))
+    base = F.when(own.isNull(), F.col("url")).otherwise(F.coalesce(U.resolved(own, "url"), F.col("url")))
+    found_in = rows.select("page_id", "url", base.alias("base"), both.alias("_all"))
+    return found_in.select("page_id", "url", "base", F.posexplode("_all").alias("ord", "l")).select("page_id", "url", "base", "ord", "l.href", "l.source")
 
 
 def sitemap_urls(robots: Column | str, start_origin: Column) -> Column:
@@ -66,7 +62,7 @@ def sitemap_urls(robots: Column | str, start_origin: Column) -> Column:
 def sitemap_pages(documents: DataFrame, start_origin: str, most: int) -> DataFrame:
     """ord (from 1) and url of the first `most` pages of sitemaps (ord, body): same origin, no assets, each once."""
     locs = documents.select("ord", F.posexplode(F.regexp_extract_all("body", F.lit("(?i)<loc>\\s*([^<]+?)\\s*</loc>"), F.lit(1))).alias("pos", "loc"))
-    pages = locs.select("ord", "pos", X.page_url("loc").alias("url")).where((X.origin("url") == start_origin) & ~X.is_asset("url"))
+    pages = locs.select("ord", "pos", U.page_url(U.decoded("loc")).alias("url")).where((U.origin_of("url") == start_origin) & ~X.is_asset("url"))
     first = pages.groupBy("url").agg(F.min(F.struct("ord", "pos")).alias("at"))
     top = first.orderBy("at").limit(most)  # at most as many rows as a crawl has pages
     from pyspark.sql.window import Window as W

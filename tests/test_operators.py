@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import elements as E
 from pagewright.functions import text as X
+from pagewright.functions import urls as U
 from pagewright.operators import crawl, items, timeline, tree
 from pagewright.sources import dom
 from pagewright.sources import pages as P
@@ -88,13 +89,13 @@ def one(spark, **columns):
     return spark.createDataFrame([Row(**columns)])
 
 
-BASE = dict(tag="div", **{"class": ""}, role="", label="l", id="", type="", href="", expanded="", selected="", overflow="visible", scroll_height=0, client_height=0, x=0, y=0, width=10, height=5, painted=False, outer_frame=False, aria_modal="", onclick="", contenteditable="", scroll_width=0, client_width=0)
+BASE = dict(tag="div", **{"class": ""}, role="", raw_label="l", label="l", id="", type="", href="", expanded="", selected="", overflow="visible", scroll_height=0, client_height=0, x=0, y=0, width=10, height=5, painted=False, outer_frame=False, aria_modal="", onclick="", contenteditable="", scroll_width=0, client_width=0)
 
 
 @pytest.mark.parametrize(
     "change,kind",
     [
-        ({"tag": "span", "label": ""}, "decoration"), ({"tag": "dialog"}, "modal"), ({"class": "side-sheet"}, "modal"), ({"tag": "svg"}, "icon"), ({"class": "btn-icon"}, "icon"), ({"class": "big btn"}, "button"), ({"role": "button"}, "button"),
+        ({"tag": "span", "raw_label": "", "label": "span 2"}, "decoration"), ({"tag": "dialog"}, "modal"), ({"class": "side-sheet"}, "modal"), ({"tag": "svg"}, "icon"), ({"class": "btn-icon"}, "icon"), ({"class": "big btn"}, "button"), ({"role": "button"}, "button"),
         ({"tag": "a"}, "link"), ({"tag": "select"}, "field"), ({"role": "navigation"}, "navigation"), ({"tag": "form"}, "form"), ({"tag": "video"}, "media"), ({"class": "my-pill"}, "badge"), ({"painted": True, "label": "Owned"}, "badge"), ({"painted": True, "label": "énew", "width": 30}, "badge"), ({"painted": True, "label": "anew", "width": 30, "height": 11}, "text"),
         ({"tag": "article"}, "card"), ({"class": "tile", "width": 601, "height": 300}, "card-large"), ({"class": "window"}, "panel"), ({"outer_frame": True}, "card-large"), ({"painted": True, "width": 601, "height": 300}, "card-large"),
         ({"painted": True, "width": 200, "height": 121}, "card"), ({"painted": True, "width": 1001, "height": 5}, "panel"), ({"label": "score"}, "stat"), ({"label": "3 / 4"}, "price"), ({"width": 25, "height": 11}, "text"), ({"width": 24, "height": 11}, "layout"),
@@ -106,7 +107,7 @@ def test_kinds(spark, change, kind):
 
 def test_text_functions(spark):
     df = spark.createDataFrame([("  a \n b﻿", "http://h.example/a/b//?q#f", "all", "2,1,x,2"), (None, "http://h.example/", "1", "1")], "t string, u string, s string, m string")
-    r = df.select(X.normalize_text("t").alias("t"), X.page_url("u").alias("p"), X.slug("u").alias("s"), X.item_indexes("s", F.lit(3)).alias("a"), X.item_indexes("m", F.lit(3)).alias("b")).collect()
+    r = df.select(X.normalize_text("t").alias("t"), U.page_url("u").alias("p"), X.slug("u").alias("s"), X.item_indexes("s", F.lit(3)).alias("a"), X.item_indexes("m", F.lit(3)).alias("b")).collect()
     assert (r[0].t, r[0].p, r[0].s, r[0].a, r[0].b) == ("a b", "http://h.example/a/b", "b", [0, 1, 2], [1, 0])
     assert (r[1].t, r[1].p, r[1].s, r[1].a) == ("", "http://h.example/", "h-example", [0])
     with pytest.raises(Exception, match="out of range"):
@@ -118,7 +119,7 @@ def test_text_functions(spark):
 def test_links_and_manifests(spark, tmp_path):
     html = '<a href="/x">1</a><a href="">2</a><form action="y.html"></form><a class="c" href="http://z/">3</a>'
     df = spark.createDataFrame([(1, "http://h/a/b.html?q", html)], "page_id long, url string, html string")
-    got = P.links(df).withColumn("t", P.absolute("url", "href")).orderBy("ord").collect()
+    got = P.links(df).withColumn("t", U.resolved("href", "base")).orderBy("ord").collect()
     assert [(x.href, x.source, x.t) for x in got] == [("/x", "link", "http://h/x"), ("http://z/", "link", "http://z/"), ("y.html", "form", "http://h/a/y.html")]
     P.write_json(df.withColumn("kind", F.lit("k")), str(tmp_path / "m"), "kind")
     assert spark.read.json(str(tmp_path / "m")).count() == 1
