@@ -41,7 +41,7 @@ UNIT = 250_000
 #: Rows of a group of lists; rows of a tile of a longer list; pairs of rows that are compared at once.
 ROWS, TILE, PAIRS = 20_000, 2048, 10_000
 #: Tokens of a prefix that a row of a list brings with it, and how many of them come before its own.
-AROUND, BEFORE = 16, 4
+AROUND, BEFORE = 12, 3
 #: Values of l that are tried.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 #: What verifying a candidate costs, in postings.
@@ -162,7 +162,7 @@ def prefixes(n: np.ndarray, token: np.ndarray, percent: int, sketch: np.ndarray,
 
 
 def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, most: int) -> DataFrame:
-    """cls, n, l, prefix (place and token of those in the class's prefix that another class's prefix holds too, in order) and weight (how many those are, as part of the prefix).
+    """cls, n, l, prefix (place and token of those in the class's prefix that another class's prefix holds too, in order) and weight (how many those are, in thousandths of the prefix).
 
     A class with fewer than l such tokens is left out: what it holds alone is more than a link allows.
     """
@@ -183,7 +183,7 @@ def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, mos
     size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("l")
     met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
     shared = every.join(met.hint("merge"), "token").groupBy("cls", "n", "l").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("prefix"))
-    return C.written(shared.where(F.size("prefix") >= F.col("l")).withColumn("weight", F.size("prefix") / size), "prefixes")
+    return C.written(shared.where(F.size("prefix") >= F.col("l")).withColumn("weight", (1000 * F.size("prefix") / size).cast("int")), "prefixes")
 
 
 def postings(p: DataFrame) -> DataFrame:
@@ -235,14 +235,18 @@ def _pairs_of_group(percent: int):
     """Candidates (a, b, u, v) of some lists, as to_others groups them."""
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("token").combine_chunks()
-        key, cls, label, side = (t.column(c).to_numpy() for c in ("token", "cls", "label", "side"))
+        t = t.sort_by([("token", "ascending"), ("pair", "ascending")]).combine_chunks()
+        cls, label, side = (t.column(c).to_numpy() for c in ("cls", "label", "side"))
+        lists = np.stack([t.column("token").to_numpy(), t.column("pair").to_numpy()])
+        key = np.cumsum(np.append(0, (lists[:, 1:] != lists[:, :-1]).any(0)))  # a number for each list, or pair of its tiles
         rows = {c: t.column(c).to_numpy().astype(np.int64) for c in ("n", "l", "place", "rest")}
-        near = t.column("tokens").chunk(0)
-        rows["size"] = near.value_lengths().to_numpy().astype(np.int64)
+        off, data = _body(t.column("tokens"))
+        rows["size"] = np.diff(off).astype(np.int64) // 6
         rows["first"] = np.cumsum(rows["size"]) - rows["size"]
-        rows["id"] = np.unique(near.flatten().to_numpy(), return_inverse=True)[1]
-        rows["at"] = t.column("places").chunk(0).flatten().to_numpy().astype(np.int64)
+        tokens = np.frombuffer(data, np.uint8)[off[0] : off[-1]].reshape(-1, 6)
+        rows["id"] = np.unique(np.ascontiguousarray(tokens).view("V6").ravel(), return_inverse=True)[1]
+        off, data = _body(t.column("places"))
+        rows["at"] = np.frombuffer(data[off[0] : off[-1]], ">u4").astype(np.int64)
         n, place = rows["n"], rows["place"]
         out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         for lag in range(1, len(key)):  # rows of a token are neighbours: pairs that lie `lag` apart
@@ -278,12 +282,14 @@ def to_others(p: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     groups = max(1, (rows.agg(F.sum(F.size("all"))).first()[0] or 0) // ROWS)
     begin = F.greatest(F.col("k") - BEFORE, F.lit(0))
     near = F.slice("prefix", begin + 1, F.lit(AROUND))
-    rows = rows.join(named.hint("merge"), "cls").select("cls", "n", "l", "label", "prefix", F.inline("all")).withColumns({"tokens": near["token"], "places": near["place"], "rest": F.greatest(F.size("prefix") - begin - AROUND, F.lit(0))})
+    packed = lambda numbers, size: F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2 * size, "0")), ""))
+    rows = rows.join(named.hint("merge"), "cls").select("cls", "n", "l", "label", "prefix", F.inline("all")).withColumns({"tokens": packed(near["token"], 6), "places": packed(near["place"], 4), "rest": F.greatest(F.size("prefix") - begin - AROUND, F.lit(0))})
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     placed = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    group = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("token"), F.lit(groups)).cast("string")).otherwise(F.concat_ws(":", F.col("token").cast("string"), F.least("tile", "other"), F.greatest("tile", "other")))
+    group = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(F.xxhash64("token", F.least("tile", "other"), F.greatest("tile", "other")))
+    pair = F.least("tile", "other") * F.col("tiles") + F.greatest("tile", "other")
     side = F.when(F.col("tile") == F.col("other"), -1).otherwise((F.col("tile") > F.col("other")).cast("int"))
-    placed = placed.select(group.alias("group"), "token", "cls", "n", "l", "label", "place", "tokens", "places", "rest", side.alias("side"))
+    placed = placed.select(group.alias("group"), pair.cast("long").alias("pair"), "token", "cls", "n", "l", "label", "place", "tokens", "places", "rest", side.alias("side"))
     return placed.groupBy("group").applyInArrow(_pairs_of_group(percent), "a long, b long, u long, v long").distinct()
 
 
@@ -292,8 +298,8 @@ def _sizes(x: str, y: str, percent: int):
 
 
 def signature(token: np.ndarray) -> bytes:
-    """Which of at least 8 buckets a token, a power of two of them, hold a token of a set."""
-    size = 1 << max(6, int(8 * len(token) - 1).bit_length())
+    """Which of at least 2 buckets a token, a power of two of them, hold a token of a set."""
+    size = 1 << max(6, int(2 * len(token) - 1).bit_length())
     bits = np.zeros(size, bool)
     bits[(token & C.U(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -342,7 +348,7 @@ def _with_both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The rows of pairs (a, b and more; checkpointed) whose whole sets link; held: the sets, as shingled gives them.
 
-    Of every class one row's set is read. First signatures of about a sixth of a set's size are moved to the pairs; those that bound the overlap
+    Of every class one row's set is read. First signatures of less than a tenth of a set's size are moved to the pairs; those that bound the overlap
     below what a link needs end there. The whole sets are moved to the pairs that are left, each once.
     """
     classes = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
