@@ -18,6 +18,7 @@ not used. Columns but key and text are not looked at.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -36,6 +37,8 @@ SPACE_BITS = 18
 STEPS, RATE, SHRINK = 40, 0.5, 1.0
 LIMIT = 0.3
 KEPT = 500_000
+#: Pieces of text that are stepped through together.
+TOGETHER = 8
 
 
 def beginnings(word: str) -> list[str]:
@@ -89,7 +92,8 @@ def markers(toxic: list[list[str]], other: list[list[str]], least: int = 3) -> s
 def passes(e: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward and backward messages of label 1 over 0 at each token of some chains, and exp(e); e: score of label 1 over 0; pairs: weights of (before, after).
 
-    Chains are laid side by side, the longest first, and stepped through together.
+    Chains are laid side by side, the longest first, and stepped through together. Messages stay within the gains times the largest
+    quotient of two transitions.
     """
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
@@ -107,12 +111,11 @@ def passes(e: np.ndarray, first: np.ndarray, pairs: np.ndarray) -> tuple[np.ndar
             r = gain[i] * (r * t11 + t01) / (r * t10 + t00)
         else:
             r = gain[i]
-        r = np.clip(r, 1e-150, 1e150)
         ahead[i] = r
     for t in range(longest - 2, -1, -1):
         i = at[: active[t + 1]] + t
         x = gain[i + 1] * behind[i + 1]
-        behind[i] = np.clip((x * t11 + t10) / (x * t01 + t00), 1e-150, 1e150)
+        behind[i] = (x * t11 + t10) / (x * t01 + t00)
     return ahead, behind, gain
 
 
@@ -165,8 +168,12 @@ class Model:
             out[k] = s
         return out[back]
 
-    def words(self, p: C.Piece) -> np.ndarray:
-        return marginals(self.emissions(p), p.word_of, self.pairs)
+    def words(self, pieces: list[C.Piece]) -> list[np.ndarray]:
+        """The marginals of the words of some pieces, whose texts are stepped through together."""
+        e = np.concatenate([np.empty(0), *map(self.emissions, pieces)])
+        begin = np.cumsum([0, *(p.word_of[-1] for p in pieces)])
+        first = np.concatenate([*(p.word_of[:-1] + at for p, at in zip(pieces, begin)), begin[-1:]])
+        return np.split(marginals(e, first, self.pairs), begin[1:-1])
 
     def scores(self, p: C.Piece, m: np.ndarray) -> np.ndarray:
         z = summaries(m, p.word_of) @ self.document
@@ -255,15 +262,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """key, score, predicted, and spans (start, end: code points; p) of offending words of every row."""
     kind = docs.select(key).schema[0].dataType.simpleString()
+    def marked(column):
+        """The pieces of a column with the marginals of their words."""
+        pieces = C.pieces(_clean(column), lower=True)
+        while some := list(itertools.islice(pieces, TOGETHER)):
+            yield from zip(some, model.words(some) if model is not None else some)
+
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches):
         for b in batches:
-            for p in C.pieces(_clean(b.column(1)), lower=True):
+            for p, m in marked(b.column(1)):
                 if model is None:
                     value, spans = np.zeros(p.n), [[]] * p.n
                 else:
-                    m = model.words(p)
                     value, spans = model.scores(p, m), [[] for _ in range(p.n)]
                     hot = np.flatnonzero(m > 0.5)
                     if len(hot):
