@@ -49,7 +49,7 @@ def discover(pages: DataFrame, start: str, most: int, sitemaps: DataFrame | None
     pages of sitemaps (ord, body), then what each page links to, in order.
     """
     spark = pages.sparkSession
-    first = spark.createDataFrame([(start,)], "url string").select(U.page_url("url").alias("node"), U.origin_of("url").alias("origin"), F.lit(0).alias("ord"))
+    first = spark.createDataFrame([(start,)], "url string").select(U.page_url("url").alias("node"), U.origin_of(U.page_url("url")).alias("origin"), F.lit(0).alias("ord"))
     home, origin = first.select("node", "origin").first()
     inside = lambda df: df.where((U.origin_of("dst") == origin) & ~X.is_asset("dst"))
     found = P.links(pages.select(F.lit(0).alias("page_id"), "url", "html")).select(U.page_url("url").alias("src"), "ord", U.page_url("href", "base").alias("dst"))

@@ -2,70 +2,64 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Elements without content, and what ends an open list item or paragraph.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-CLOSED_BY = {"li": {"li"}, "p": {"p", "div", "ul", "ol", "h1", "h2", "h3", "section", "article", "footer", "nav", "table", "form"}}
-SCHEMA = "idx int, parent int, depth int, last int, tag string, attrs map<string,string>, text string, content string, above array<int>"
-_ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.int32())]
-#: Elements after which a batch goes on.
-ROWS = 5000
-
-
-class _Tree(HTMLParser):
-    """Elements in document order; of each its own pieces of text, and which pieces lie inside it."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows, self.open, self.pieces = [], [], []
-
-    def handle_starttag(self, tag, attrs):
-        while self.open and tag in CLOSED_BY.get(self.rows[self.open[-1]]["tag"], ()):
-            self._close()
-        at = len(self.rows)
-        names: dict[str, str] = {}
-        for k, v in attrs:
-            names.setdefault(k, v or "")
-        self.rows.append({"parent": self.open[-1] if self.open else None, "above": list(self.open), "tag": tag, "attrs": names, "own": [], "first": len(self.pieces)})
-        self.open.append(at)
-        if tag in VOID:
-            self._close()
-
-    def _close(self):
-        row = self.rows[self.open.pop()]
-        row["last"], row["end"] = len(self.rows) - 1, len(self.pieces)
-
-    def handle_endtag(self, tag):
-        if any(self.rows[i]["tag"] == tag for i in self.open):
-            while self.rows[self.open[-1]]["tag"] != tag:
-                self._close()
-            self._close()
-
-    def handle_data(self, data):
-        if self.open:
-            self.rows[self.open[-1]]["own"].append(data)
-            self.pieces.append(data)
-
-    def result(self):
-        while self.open:
-            self._close()
-        return [
-            (i, r["parent"], len(r["above"]), r["last"], r["tag"], list(r["attrs"].items()), " ".join("".join(r["own"]).split()), "".join(self.pieces[r["first"] : r["end"]]), r["above"])
-            for i, r in enumerate(self.rows)
-        ]
-
-
-def dom_elements(pages: DataFrame) -> DataFrame:
-    """page_id and SCHEMA of every element of pages (page_id, html); a null html has none.
+from .treebuilder import Node, build
+
+SCHEMA = "idx int, parent int, depth int, last int, tag string, attrs map<string,string>, text string, content string, above array<int>, error string"
+_ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+#: Elements after which a batch goes on; characters of an element's content that are kept, as many as any rule looks at.
+ROWS, CONTENT = 5000, 240
+#: Fixed value: white space in page text, as in functions/text.py.
+_BLANK = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+
+
+def numbered(root: Node) -> list[tuple]:
+    """The rows of a tree's elements in document order, but for the error."""
+    rows: list[list] = []
+    pieces: list[str] = []  # of text, blanks as one; each cut, as no content needs more of it
+    spans: list[list[int]] = []
+    todo: list[tuple] = [(root, None)]
+    while todo:
+        node, parent = todo.pop()
+        if node is None:  # an element ends here
+            rows[parent][3] = len(rows) - 1
+            spans[parent][1] = len(pieces)
+            continue
+        if isinstance(node, str):
+            pieces.append(_BLANK.sub(" ", node)[: CONTENT + 2])
+            continue
+        me = len(rows)
+        above = [] if parent is None else [*rows[parent][8], parent]
+        own = _BLANK.sub(" ", "".join(k for k in node.kids if isinstance(k, str))).strip(" ")
+        rows.append([me, parent, len(above), me, node.tag, list(node.attrs.items()), own, None, above])
+        spans.append([len(pieces), 0])
+        todo.append((None, me))
+        todo += [(k, me) for k in reversed(node.kids)]
+    for row, (first, end) in zip(rows, spans):
+        taken, size = [], 0
+        for k in range(first, end):
+            taken.append(pieces[k])
+            size += len(pieces[k].strip(" "))
+            if size > CONTENT:
+                break
+        text = "".join(taken)
+        row[7] = _BLANK.sub(" ", text).strip(" ")[:CONTENT] or text[:1]
+    return [tuple(r) for r in rows]
+
+
+def dom_rows(pages: DataFrame, parse: Callable[[str], Node] = build) -> DataFrame:
+    """page_id and SCHEMA of every element of pages (page_id, html); a null html has none, an empty one what every page has.
 
     last is the largest idx inside an element, so idx..last spans it and its descendants; above: its ancestors, from the
-    root on; text: its own text; content: all text inside it.
+    root on; text: its own text; content: the first CONTENT characters of all text inside it, white space as one blank (a blank alone if there is nothing else). A page
+    that can't be parsed has one row, with the error and nothing else.
     """
     kind = dict(pages.dtypes)["page_id"]
     names = ["page_id", *(f.split()[0] for f in SCHEMA.split(", "))]
@@ -79,10 +73,12 @@ def dom_elements(pages: DataFrame) -> DataFrame:
                 return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(page, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, _ARROW))], names=names)
 
             for i, html in enumerate(b.column(1).to_pylist()):
-                tree = _Tree()
-                tree.feed(html or "")
-                tree.close()
-                found = tree.result()
+                if html is None:
+                    continue
+                try:
+                    found = [(*r, None) for r in numbered(parse(html))]
+                except Exception as e:  # one page's fault is its own row, not the job's end
+                    found = [(*[None] * 9, f"{type(e).__name__}: {e}")]
                 page += [i] * len(found)
                 rows += found
                 if len(rows) >= ROWS:
@@ -94,6 +90,11 @@ def dom_elements(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, f"page_id {kind}, {SCHEMA}")
 
 
+def dom_elements(pages: DataFrame) -> DataFrame:
+    """The elements of dom_rows, pages that can't be parsed left out."""
+    return dom_rows(pages).where("error IS NULL").drop("error")
+
+
 def descendant_counts(elements: DataFrame, wanted: Column, most: int = 4) -> DataFrame:
     """page_id, idx and n, how many wanted descendants each element (page_id, idx, last) has, at most `most`.
 

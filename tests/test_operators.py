@@ -130,8 +130,9 @@ def test_links_and_manifests(spark, tmp_path):
 def test_tree(spark):
     df = spark.createDataFrame([(1, "<ul><li>a<li>b <b>c</b></ul><br><p>d<p>e")], "page_id long, html string")
     e = dom.dom_elements(df)
-    assert [(x.tag, x.parent, x.last, x.text) for x in e.orderBy("idx").collect()] == [("ul", None, 3, ""), ("li", 0, 1, "a"), ("li", 0, 3, "b"), ("b", 2, 3, "c"), ("br", None, 4, ""), ("p", None, 5, "d"), ("p", None, 6, "e")]
-    assert {x.idx: x.n for x in dom.descendant_counts(e, F.col("tag").isin("li", "b"), 2).collect()} == {0: 2, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+    rows = [(x.tag, x.parent, x.last, x.text) for x in e.orderBy("idx").collect()]
+    assert rows == [("html", None, 9, ""), ("head", 0, 1, ""), ("body", 0, 9, ""), ("ul", 2, 6, ""), ("li", 3, 4, "a"), ("li", 3, 6, "b"), ("b", 5, 6, "c"), ("br", 2, 7, ""), ("p", 2, 8, "d"), ("p", 2, 9, "e")]
+    assert {x.idx: x.n for x in dom.descendant_counts(e, F.col("tag").isin("li", "b"), 2).collect()} == {0: 2, 1: 0, 2: 2, 3: 2, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0}
 
 
 def test_capped_stream(spark, tmp_path):
@@ -146,16 +147,16 @@ def test_capped_stream(spark, tmp_path):
 
 def test_trees_of_parsed_pages(spark):
     html = '<html><body><label>Your <b>name</b> <input id=a></label><INPUT ID=b><label for=b>Mail</label><div aria-labelledby="x a y">t</div><i id=x> X </i><!-- <p>no</p> --><p>1<p>2</body></html>'
-    e = dom.dom_elements(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"))
+    e = dom.dom_elements(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
     rows = {r.idx: r for r in e.collect()}
-    assert [rows[i].tag for i in range(len(rows))] == ["html", "body", "label", "b", "input", "input", "label", "div", "i", "p", "p"]
-    assert rows[2].content == "Your name " and rows[4].above == [0, 1, 2] and rows[1].last == 10 and rows[3].parent == 2 and rows[0].parent is None
+    assert [rows[i].tag for i in range(len(rows))] == ["html", "head", "body", "label", "b", "input", "input", "label", "div", "i", "p", "p"]
+    assert rows[3].content == "Your name" and rows[5].above == [0, 2, 3] and rows[2].last == 11 and rows[4].parent == 3 and rows[0].parent is None
     names = {r.idx: r.accessible_name for r in tree.named(e).collect()}
-    assert names[4] == "Your name" and names[5] == "Mail" and names[7] == "X" and names[8] == "X"
+    assert names[5] == "Your name" and names[6] == "Mail" and names[8] == "X" and names[9] == "X"
     paths = {r.idx: (r.xpath, r.css_path) for r in tree.paths(e).collect()}
-    assert paths[0] == ("/html/", "") and paths[4] == ("/html/body/label[1]/input", "input#a") and paths[10] == ("/html/body/p[2]", "body > p:nth-of-type(2)")
+    assert paths[0] == ("/html/", "") and paths[5] == ("/html/body/label[1]/input", "input#a") and paths[11] == ("/html/body/p[2]", "body > p:nth-of-type(2)")
     n = {r.idx: r.n for r in dom.descendant_counts(e, F.col("tag").isin("input", "p"), 3).collect()}
-    assert (n[0], n[1], n[2], n[3], n[10]) == (3, 3, 1, 0, 0)
+    assert (n[0], n[2], n[3], n[4], n[11]) == (3, 3, 1, 0, 0)
     assert tree.paths(e.limit(0)).count() == 0 and tree.named(e.limit(0)).count() == 0
 
 
