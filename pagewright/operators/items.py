@@ -10,6 +10,10 @@ from ..functions import text as X
 from .tree import attr, attribute_map, class_list
 
 
+#: Fixed value: items that a page keeps.
+MOST = 240
+
+
 def ranked(items: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return items.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
 
@@ -19,7 +23,7 @@ def priority_order() -> list[Column]:
     return [F.col("priority").desc(), F.col("area").desc(), F.col("idx")]
 
 
-def top_items(items: DataFrame, most: int = 240) -> DataFrame:
+def top_items(items: DataFrame, most: int = MOST) -> DataFrame:
     return ranked(items, ["page_id"], priority_order()).where(F.col("rank") <= most)
 
 
@@ -113,10 +117,11 @@ SCREENSHOTS = [("full-page", "screenshots/full-page.png", False), ("viewport", "
 def page_documents(pages: DataFrame, items: DataFrame) -> DataFrame:
     """The nested document of each page: pages (page_id, url, title, captured_at, image_width, image_height, image_sha, textless_sha), items (page_id, reading, item); pages without items have empty lists."""
     rows = items.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("reading", "item")), lambda a, b: a["reading"] - b["reading"]).alias("_rows"), F.count("*").alias("_n"))
-    kinds = items.groupBy("page_id", F.col("item.kind").alias("kind")).agg(F.count("*").alias("n")).groupBy("page_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("_kinds"))
-    both = pages.join(rows, "page_id", "left").join(kinds, "page_id", "left")
+    both = pages.join(rows, "page_id", "left")
     total = F.coalesce("_n", F.lit(0))
-    counts = F.coalesce("_kinds", F.create_map().cast("map<string,bigint>"))
+    kinds = F.transform("_rows", lambda r: r["item"]["kind"])
+    counted = F.transform(F.sort_array(F.array_distinct(kinds)), lambda k: F.struct(k.alias("key"), F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias("value")))
+    counts = F.coalesce(F.map_from_entries(counted), F.create_map().cast("map<string,bigint>"))
     none = F.slice(F.array(F.struct(F.lit(0).alias("reading"), F.lit(None).cast(items.schema["item"].dataType).alias("item"))), 1, 0)
     listed = F.transform(F.coalesce("_rows", none), lambda r: r["item"])
     image = lambda path, sha: F.struct(F.lit(path).alias("path"), F.col("image_width").alias("width"), F.col("image_height").alias("height"), F.col(sha).alias("sha256"))

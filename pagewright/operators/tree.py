@@ -94,48 +94,60 @@ def paths(elements: DataFrame) -> DataFrame:
     own = F.when(X.truthy(attr("id")).isNotNull(), F.concat(F.col("tag"), F.lit("#"), X.escape_css(attr("id"))))
     row = ranked_siblings(elements).select("page_id", F.struct("idx", by_position.alias("x"), by_class.alias("c"), own.alias("own"), F.array_append("above", F.col("idx")).alias("up")).alias("e"))
     page = row.groupBy("page_id").agg(F.sort_array(F.collect_list("e")).alias("all"))
-    each = page.select("page_id", "all", F.explode("all").alias("e"))
-    inner = F.filter(F.col("e.up"), lambda i: i != F.col("e.up")[0])
-    near = F.when(F.size(inner) > 6, F.slice(inner, -6, 6)).otherwise(inner)
-    xpath = F.concat(F.lit("/html/"), F.array_join(F.transform(inner, lambda i: F.element_at("all", i + 1)["x"]), "/"))
-    css = F.coalesce(F.col("e.own"), F.array_join(F.transform(near, lambda i: F.element_at("all", i + 1)["c"]), " > "))
-    return each.select("page_id", F.col("e.idx").alias("idx"), xpath.alias("xpath"), css.alias("css_path"))
 
+    def both(e: Column) -> Column:
+        inner = F.slice(e["up"], F.lit(2), F.size(e["up"]))
+        near = F.when(F.size(inner) > 6, F.slice(inner, F.size(inner) - 5, F.lit(6))).otherwise(inner)
+        step = lambda at, name: F.transform(at, lambda i: F.element_at("all", i + 1)[name])
+        css = F.coalesce(e["own"], F.array_join(step(near, "c"), " > "))
+        return F.struct(e["idx"].alias("idx"), F.concat(F.lit("/html/"), F.array_join(step(inner, "x"), "/")).alias("xpath"), css.alias("css_path"))
 
-def labelled_by(elements: DataFrame) -> DataFrame:
-    """page_id, idx and text: the joined contents of the elements that aria-labelledby names, '' for unknown ids."""
-    ids = elements.where(attr("id").isNotNull()).groupBy("page_id", attr("id").alias("ref")).agg(F.min_by("content", "idx").alias("found"))
-    refs = elements.where(X.truthy(attr("aria-labelledby")).isNotNull()).select("page_id", "idx", F.posexplode(F.split(F.regexp_replace(attr("aria-labelledby"), X.BLANK, " "), " ")).alias("pos", "ref"))
-    met = refs.join(ids, ["page_id", "ref"], "left").groupBy("page_id", "idx").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("found", F.lit("")).alias("found")))).alias("all"))
-    return met.select("page_id", "idx", F.array_join(F.col("all.found"), " ").alias("text"))
+    return page.select("page_id", F.transform("all", both).alias("paths")).select("page_id", F.inline("paths"))
 
 
-def labelled_for(elements: DataFrame) -> DataFrame:
-    """page_id, idx and text: the joined contents of the labels of form fields, in document order.
+def _of(e: Column, name: str) -> Column:
+    return F.try_element_at(e["attrs"], F.lit(name))
 
-    A label names the first element with the id in its `for`, or without one the first field inside it.
-    """
-    field = F.col("tag").isin(*LABELABLE) & ~((F.col("tag") == "input") & (F.lower(F.coalesce(attr("type"), F.lit(""))) == "hidden"))
-    labels = elements.where("tag = 'label'").select("page_id", F.col("idx").alias("label"), attr("for").alias("ref"), "content")
-    ids = elements.where(attr("id").isNotNull()).groupBy("page_id", attr("id").alias("ref")).agg(F.min_by(F.struct("idx", field.alias("field")), "idx").alias("at"))
-    named = labels.join(ids, ["page_id", "ref"]).where("at.field").select("page_id", F.col("at.idx").alias("idx"), "label", "content")
-    inside = elements.where(field).select("page_id", "idx", F.explode("above").alias("label")).groupBy("page_id", "label").agg(F.min("idx").alias("idx"))
-    wrapped = labels.where("ref IS NULL").join(inside, ["page_id", "label"]).select("page_id", "idx", "label", "content")
-    met = named.unionByName(wrapped).groupBy("page_id", "idx").agg(F.sort_array(F.collect_list(F.struct("label", F.coalesce("content", F.lit("")).alias("content")))).alias("all"))
-    return met.select("page_id", "idx", F.array_join(F.col("all.content"), " ").alias("text"))
+
+def _field(e: Column) -> Column:
+    """Whether a label can name an element."""
+    return e["tag"].isin(*LABELABLE) & ~((e["tag"] == "input") & (F.lower(F.coalesce(_of(e, "type"), F.lit(""))) == "hidden"))
 
 
 def named(elements: DataFrame) -> DataFrame:
     """elements with raw_label, accessible_name and label.
 
     The name is the first of: what aria-labelledby names, labels, attributes, content; blanks in it as one, cut at 160
-    characters. The label is the first of aria-label, title, content and alt, else the name, else tag and number.
+    characters. The label is the first of aria-label, title, content and alt, else the name, else tag and number. aria-labelledby and labels
+    mean the first element with an id; a label without `for` names the first field inside it; several names are joined, in document order for labels.
+
+    A page's elements are gathered once, and what refers to another is looked up in that array: elements are read once, and moved once.
     """
-    keys = ["page_id", "idx"]
-    by, of = labelled_by(elements).withColumnRenamed("text", "_by"), labelled_for(elements).withColumnRenamed("text", "_for")
-    spoken = lambda c: F.when(X.normalize_text(c) != "", F.col(c))
-    name = F.coalesce(spoken("_by"), spoken("_for"), *[X.truthy(attr(n)) for n in NAMES], X.truthy("content"), F.lit(""))
-    raw = X.normalize_text(F.coalesce(X.truthy(attr("aria-label")), X.truthy(attr("title")), X.truthy("content"), attr("alt")))
-    out = elements.join(by, keys, "left").join(of, keys, "left").withColumn("accessible_name", F.substring(X.normalize_text(name), 1, 160)).withColumn("raw_label", raw)
+    rest = [c for c in elements.columns if c != "page_id"]
+    page = elements.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct(*rest)), lambda a, b: a["idx"] - b["idx"]).alias("all"))
+    known = F.transform(F.filter("all", lambda e: _of(e, "id").isNotNull()), lambda e: F.struct(_of(e, "id").alias("id"), e["idx"].alias("idx"), _field(e).alias("field"), F.coalesce(e["content"], F.lit("")).alias("content")))
+    fields = F.transform(F.filter("all", _field), lambda e: F.struct(e["idx"].alias("idx"), e["above"].alias("above")))
+    page = page.withColumn("known", known).withColumn("ids", F.transform("known", lambda k: k["id"])).withColumn("fields", fields)
+    first = lambda ref: F.get("known", F.array_position("ids", ref).cast("int") - 1)
+
+    def target(label: Column) -> Column:
+        at = first(_of(label, "for"))
+        inside = F.get(F.filter("fields", lambda f: F.array_contains(f["above"], label["idx"])), F.lit(0))["idx"]
+        return F.when(_of(label, "for").isNull(), inside).when(at["field"], at["idx"])
+
+    labels = F.transform(F.filter("all", lambda e: e["tag"] == "label"), lambda e: F.struct(target(e).alias("of"), F.coalesce(e["content"], F.lit("")).alias("content")))
+    page = page.withColumn("labels", F.filter(labels, lambda k: k["of"].isNotNull()))
+    spoken = lambda c: X.truthy(X.normalize_text(c))
+
+    def told(e: Column) -> Column:
+        refs = F.split(F.regexp_replace(X.truthy(_of(e, "aria-labelledby")), X.BLANK, " "), " ")
+        by = F.array_join(F.transform(refs, lambda r: F.coalesce(first(r)["content"], F.lit(""))), " ")
+        own = F.filter("labels", lambda k: k["of"] == e["idx"])
+        label = F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda k: k["content"]), " "))
+        name = F.coalesce(spoken(by), spoken(label), *[X.truthy(_of(e, n)) for n in NAMES], X.truthy(e["content"]), F.lit(""))
+        raw = F.coalesce(X.truthy(_of(e, "aria-label")), X.truthy(_of(e, "title")), X.truthy(e["content"]), _of(e, "alt"))
+        return F.struct(*[e[c].alias(c) for c in rest], F.substring(X.normalize_text(name), 1, 160).alias("accessible_name"), X.normalize_text(raw).alias("raw_label"))
+
+    out = page.withColumn("all", F.transform("all", told)).select("page_id", F.inline("all"))
     label = F.coalesce(X.truthy("raw_label"), X.truthy("accessible_name"), F.concat("tag", F.lit(" "), (F.col("idx") + 1).cast("string")))
-    return out.withColumn("label", F.substring(label, 1, 96)).drop("_by", "_for")
+    return out.withColumn("label", F.substring(label, 1, 96))
