@@ -9,6 +9,7 @@ from ..functions import elements as E
 from ..functions import text as X
 from ..sources.dom import descendant_counts
 from . import items, tree
+from .shared import cut
 
 VIEW = (1440, 1000)
 SIDES = ("top", "right", "bottom", "left")
@@ -47,9 +48,9 @@ def captured(elements: DataFrame, layout: DataFrame, styles: DataFrame, view: tu
     """page_id, reading and item of what is kept of each page: elements as dom_elements gives them, layout and styles as in boxed.
 
     An element has to be visible, not to cover the view and not to be mere decoration; its kind has to stay as a block. Of near copies of a kind
-    the best is kept, of all of a page the `most` best, given in reading order. Elements are read three times (names, paths, boxes): give a table.
+    the best is kept, of all of a page the `most` best, given in reading order. Boxed elements are checkpointed, as three steps read them; elements are read twice (names, paths): give a table.
     """
-    e = boxed(tree.named(elements), layout, styles)
+    e = cut(boxed(tree.named(elements), layout, styles))
     large = F.col("seen") & F.col("painted") & (F.col("area") >= 5000)
     visuals = descendant_counts(e, large).withColumnRenamed("n", "visuals")
     shown = descendant_counts(e, E.renderable()).withColumnRenamed("n", "renderables")

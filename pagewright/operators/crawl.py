@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as X
 from ..functions import urls as U
 from ..sources import pages as P
+from .shared import set_folder
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
@@ -20,12 +19,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     equals that of a queue. A level is one join and one anti join; the visited nodes are at most `most`, and each
     level is checkpointed.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="pagewright-"))
+    set_folder(edges.sparkSession)
     level = seeds.groupBy("node").agg(F.min("ord").alias("ord")).orderBy("ord").limit(most)
     level = level.select("node", F.row_number().over(W.orderBy("ord")).alias("ord")).checkpoint()
     seen, n = level, level.count()

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window as W
 from ..functions import elements as E
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import crawl, geometry, items, timeline, tree
+from ..operators import capture, crawl, geometry, items, styles, timeline, tree
+from ..operators.shared import cut
 from ..sources import dom
 from ..sources import pages as P
 from . import data as D
@@ -505,6 +506,36 @@ def dom_tree(spark, sf):
     return dom.dom_elements(pages(spark, sf)).select("page_id", "idx", "parent", "depth", "last", "tag", F.length("text").alias("text_chars"))
 
 
+#: A style sheet for pages that have an empty one.
+SHEET = """p { background-color: rgb(1, 2, 3); overflow: auto } li { visibility: hidden } li a { visibility: visible } h1, .x { border-style: solid; border-width: 2px; border-radius: 9999px }
+nav > ul { position: absolute; opacity: .5 } article p { color: teal !important } p b { background-image: url(a.png) } div { background-color: #eee; display: flex } footer { opacity: 0 } @media print { p { display: none } }"""
+
+
+def _parsed(spark, sf):
+    """The elements of each page with a style sheet, parsed once."""
+    html = F.replace("html", F.lit("<style></style>"), F.lit(f"<style>{SHEET}</style>"))
+    return cut(dom.dom_elements(pages(spark, sf).select("page_id", html.alias("html"))))
+
+
+def computed_styles(spark, sf):
+    """Some computed styles of every element of the parsed pages."""
+    names = ["display", "visibility", "opacity", "position", "overflow-x", "background-color", "background-image", "color", "border-top-width"]
+    s = styles.computed_styles(_parsed(spark, sf), names)
+    return s.select("page_id", "idx", *[F.col("style")[n].alias(n.replace("-", "_")) for n in names])
+
+
+def captured_items(spark, sf):
+    """What is kept of each page, from its html by one plan: tree, names, computed styles, boxes made by arithmetic, filters, kinds, the best 240, reading order."""
+    e = _parsed(spark, sf)
+    n = F.expr("idx div 2")
+    box = {"x": (n * 29) % 300, "y": n * 24, "width": 40 + (n * 37 + F.col("page_id") * 13) % 1200 + F.col("idx") % 2, "height": 10 + (n * 53 + F.col("page_id") * 7) % 400}
+    sizes = {"scroll_height": F.col("idx") * 10, "client_height": F.lit(100), "scroll_width": F.lit(0), "client_width": F.lit(120)}
+    layout = e.select("page_id", "idx", *[c.cast("double").alias(k) for k, c in box.items()], *[c.cast("int").alias(k) for k, c in sizes.items()])
+    i = capture.captured(e, layout, styles.computed_styles(e)).select("page_id", "reading", "item.*")
+    flat = {"id": "id", "kind": "kind", "semantic": "semanticType", "label": "label", "name": "aria.name", "role": "aria.role", "css": "selectors.css", "xpath": "selectors.xpath", "body": "dom.text"}
+    return i.select("page_id", "reading", *[F.col(c).alias(k) for k, c in flat.items()], F.array_join("actions", ",").alias("actions"), F.col("cornerRadii.topLeft.x").alias("radius"), F.col("bounds.width").alias("width"), "area")
+
+
 def descendant_counts(spark, sf):
     """How many links, paragraphs and headings each element of made trees holds, up to four."""
     return dom.descendant_counts(D.tree(spark, sf), F.col("tag").isin("a", "p", "h1"))
@@ -527,5 +558,5 @@ QUERIES = {f.__name__: _wide(f) for f in (
     sibling_rank, crop_rects, corner_radii, alpha_bbox, select_listing, patch_selection, site_manifest_totals, bfs_crawl, sitemap_pages, robots_sitemaps, scroll_positions, frame_plan, event_cap,
     state_diff_join, timeline_summary, animation_scores, state_candidates, state_novelty, state_fingerprint, css_time_lists, escapes, ax_tree, output_paths, dom_tree, descendant_counts,
     rounded_masks, agent_elements, page_results, site_manifests, tree_paths, selectors, attribute_maps, accessible_names, tree_filters, image_rules, output_bounds, valid_urls, option_bounds, job_ids, asset_paths,
-    landed_bodies, crawl_urls, resolved_references, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
+    landed_bodies, crawl_urls, resolved_references, computed_styles, captured_items, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
 )}
