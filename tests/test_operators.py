@@ -135,16 +135,6 @@ def test_tree(spark):
     assert {x.idx: x.n for x in dom.descendant_counts(e, F.col("tag").isin("li", "b"), 2).collect()} == {0: 2, 1: 0, 2: 2, 3: 2, 4: 0, 5: 1, 6: 0, 7: 0, 8: 0, 9: 0}
 
 
-def test_capped_stream(spark, tmp_path):
-    from pagewright.streaming.events import capped
-
-    spark.createDataFrame([(i % 2, i) for i in range(20)], "k int, v int").coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = capped(spark.readStream.schema("k int, v int").parquet(str(tmp_path / "in")), "k", 3).writeStream.format("memory").queryName("capped").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.sql("SELECT k, count(*) n FROM capped GROUP BY k").toPandas().n.tolist() == [3, 3]
-
-
 def test_trees_of_parsed_pages(spark):
     html = '<html><body><label>Your <b>name</b> <input id=a></label><INPUT ID=b><label for=b>Mail</label><div aria-labelledby="x a y">t</div><i id=x> X </i><!-- <p>no</p> --><p>1<p>2</body></html>'
     e = dom.dom_elements(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))
