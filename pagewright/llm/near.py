@@ -44,8 +44,8 @@ ROWS, TILE, PAIRS = 20_000, 2048, 10_000
 AROUND, BEFORE = 12, 3
 #: Values of l that are tried.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
-#: What verifying a candidate costs, in postings.
-VERIFY = 4.0
+#: What a candidate costs, in postings: its pair is moved twice, then a signature, and for some a whole set.
+VERIFY = 16.0
 SKETCH_BITS = 18
 BITMAP_BITS = 24
 
@@ -278,12 +278,13 @@ def to_others(p: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     each = postings(named).select("token", "cls", "label", "n", "place", "k")
     lists = each.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("smallest"), F.count("*").alias("m")).where("low < high").select("token", "m", "smallest")
     first = (100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("smallest"))  # else no pair can begin to agree here
-    rows = C.cut(each.drop("label").join(lists.hint("merge"), "token").where(first).groupBy("cls").agg(F.collect_list(F.struct("token", "place", "k", "m")).alias("all")))
+    rows = C.cut(each.drop("label").join(lists.hint("merge"), "token").where(first).groupBy("cls").agg(F.collect_list(F.struct("k", "m")).alias("all")))
     groups = max(1, (rows.agg(F.sum(F.size("all"))).first()[0] or 0) // ROWS)
     begin = F.greatest(F.col("k") - BEFORE, F.lit(0))
     near = F.slice("prefix", begin + 1, F.lit(AROUND))
+    own = F.get("prefix", F.col("k"))
     packed = lambda numbers, size: F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2 * size, "0")), ""))
-    rows = rows.join(named.hint("merge"), "cls").select("cls", "n", "l", "label", "prefix", F.inline("all")).withColumns({"tokens": packed(near["token"], 6), "places": packed(near["place"], 4), "rest": F.greatest(F.size("prefix") - begin - AROUND, F.lit(0))})
+    rows = rows.join(named.hint("merge"), "cls").select("cls", "n", "l", "label", "prefix", F.inline("all")).withColumns({"token": own["token"], "place": own["place"], "tokens": packed(near["token"], 6), "places": packed(near["place"], 4), "rest": F.greatest(F.size("prefix") - begin - AROUND, F.lit(0))})
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     placed = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("token"), F.lit(groups))).otherwise(F.xxhash64("token", F.least("tile", "other"), F.greatest("tile", "other")))
