@@ -151,3 +151,36 @@ def named(elements: DataFrame) -> DataFrame:
     out = page.withColumn("all", F.transform("all", told)).select("page_id", F.inline("all"))
     label = F.coalesce(X.truthy("raw_label"), X.truthy("accessible_name"), F.concat("tag", F.lit(" "), (F.col("idx") + 1).cast("string")))
     return out.withColumn("label", F.substring(label, 1, 96))
+
+
+#: Elements that a summary counts and lists.
+IMAGES, INPUTS, HEADINGS = ["img", "picture", "svg", "canvas", "video"], ["input", "textarea", "select", "button"], ["h1", "h2", "h3"]
+LANDMARKS = ["header", "nav", "main", "aside", "footer", "form"]
+
+
+def summaries(elements: DataFrame) -> DataFrame:
+    """page_id, title, lang, charset, counts, headings (level, text) and landmarks (tag, role, label) of each page, from one array of its elements.
+
+    Of the first 30 headings those with text count, of the first 80 landmarks (by tag, or with any role) those with role or label; '' for what a page doesn't say.
+    """
+    row = F.struct("idx", "tag", "attrs", "content")
+    page = elements.groupBy("page_id").agg(F.array_sort(F.collect_list(row), lambda a, b: a["idx"] - b["idx"]).alias("all"))
+    n = lambda test: F.size(F.filter("all", test)).cast("long")
+    of = lambda tags: lambda e: e["tag"].isin(*tags)
+    said = lambda e, name: F.coalesce(_of(e, name), F.lit(""))
+    first = lambda test: F.get(F.filter("all", test), F.lit(0))
+    sheet = lambda e: (e["tag"] == "style") | ((e["tag"] == "link") & F.array_contains(F.split(F.lower(said(e, "rel")), "\\s+"), "stylesheet"))
+    counts = {
+        "elements": F.size("all").cast("long"), "links": n(lambda e: (e["tag"] == "a") & _of(e, "href").isNotNull()), "images": n(of(IMAGES)), "forms": n(of(["form"])), "inputs": n(of(INPUTS)),
+        "scripts": n(of(["script"])), "stylesheets": n(sheet),
+    }
+    meta = first(lambda e: (e["tag"] == "meta") & (_of(e, "charset").isNotNull() | F.rlike(said(e, "content"), F.lit("(?i)charset\\s*="))))
+    charset = F.coalesce(X.truthy(F.trim(_of(meta, "charset"))), F.regexp_extract(said(meta, "content"), "(?i)charset\\s*=\\s*[\"']?([^\\s;\"']+)", 1), F.lit(""))
+    headings = F.transform(F.slice(F.filter("all", of(HEADINGS)), 1, 30), lambda e: F.struct(e["tag"].alias("level"), F.substring(X.normalize_text(e["content"]), 1, 180).alias("text")))
+    marks = F.slice(F.filter("all", lambda e: e["tag"].isin(*LANDMARKS) | _of(e, "role").isNotNull()), 1, 80)
+    label = lambda e: F.substring(X.normalize_text(F.coalesce(X.truthy(_of(e, "aria-label")), e["content"])), 1, 120)
+    landmarks = F.transform(marks, lambda e: F.struct(e["tag"].alias("tag"), said(e, "role").alias("role"), label(e).alias("label")))
+    return page.select(
+        "page_id", X.normalize_text(first(of(["title"]))["content"]).alias("title"), said(F.get("all", F.lit(0)), "lang").alias("lang"), F.upper(charset).alias("charset"), F.struct(*[c.alias(k) for k, c in counts.items()]).alias("counts"),
+        F.filter(headings, lambda h: h["text"] != "").alias("headings"), F.filter(landmarks, lambda m: (m["role"] != "") | (m["label"] != "")).alias("landmarks"),
+    )

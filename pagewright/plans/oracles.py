@@ -65,7 +65,9 @@ SELECT page_id, k, target, page FROM u""",
     "dom_summary_counts": _E + "SELECT page_id, count(*) AS elements, count(*) FILTER (tag = 'a') AS links, count(*) FILTER (tag IN ('img', 'picture', 'svg', 'canvas', 'video')) AS images, count(*) FILTER (tag = 'form') AS forms, count(*) FILTER (tag IN ('input', 'textarea', 'select', 'button')) AS inputs, count(*) FILTER (tag = 'script') AS scripts, count(*) FILTER (tag = 'link') AS stylesheets FROM tags GROUP BY page_id",
     "dom_headings": f"WITH h AS (SELECT page_id, regexp_extract_all({_PLAIN}, '{HEADING}', 1)[1:30] AS v FROM pages), u AS (SELECT page_id, generate_subscripts(v, 1) - 1 AS pos, substr(trim(regexp_replace(regexp_replace(unnest(v), '<[^>]*>', '', 'g'), '{_BLANK}', ' ', 'g')), 1, 180) AS text FROM h) SELECT page_id, pos, text FROM u WHERE text <> ''",
     "dom_landmarks": _E + "SELECT * FROM (SELECT page_id, i, tag, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank FROM tags WHERE tag IN ('header', 'nav', 'main', 'aside', 'footer', 'form')) WHERE rank <= 80",
-    "replay_snapshot": "WITH r AS (SELECT page_id, replace(regexp_replace(html, '<script( src=)?', '<script type=\"application/x-disabled\"\\1', 'g'), '<head>', '<head><base href=\"' || replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '\">') AS h FROM pages) SELECT page_id, octet_length(encode(h))::BIGINT AS bytes, sha256(h) AS sha256 FROM r",
+    "replay_snapshot": """WITH b AS (SELECT page_id, html, '<base data-replay-base="true" href="' || replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '">' AS base FROM pages),
+r AS (SELECT page_id, CASE page_id % 3 WHEN 1 THEN regexp_replace(replace(replace(replace(html, '<head>', ''), '</head>', ''), '<script>', '<script type="application/x-disabled">'), '(<html[^>]*>)', '\\1<head>' || replace(base, chr(92), chr(92) || chr(92)) || '</head>')
+ ELSE replace(replace(html, '<script>', CASE page_id % 3 WHEN 2 THEN '<SCRIPT async data-replay-script-src=''/a?src=b'' data-replay-script-type=module type="application/x-disabled">' ELSE '<script type="application/x-disabled">' END), '<head>', '<head>' || base) END AS h FROM b) SELECT page_id, octet_length(encode(h))::BIGINT AS bytes, sha256(h) AS sha256 FROM r""",
     "aria_roles": _E + "SELECT page_id, aria_role, count(*) AS n FROM ro GROUP BY ALL",
     "element_actions": _E + "SELECT page_id, printf('block-%03d', idx + 1) || ':' || action AS id, pos, action FROM (SELECT page_id, idx, unnest(actions) AS action, generate_subscripts(actions, 1) - 1 AS pos FROM pr)",
     "element_semantic_types": _E + "SELECT page_id, idx, kind, semantic_type FROM se",

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from ..functions import elements as E
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions.replay import replayed
 from ..operators import capture, crawl, geometry, items, styles, timeline, tree
 from ..operators.shared import cut
 from ..sources import dom
@@ -102,10 +103,10 @@ def dom_landmarks(spark, sf):
 
 def replay_snapshot(spark, sf):
     """Replay form of a page: a base element first in the head, scripts disabled."""
-    src = F.regexp_replace("html", "<script( src=)?", "<script type=\"application/x-disabled\"$1")
-    html = F.replace(src, F.lit("<head>"), F.concat(F.lit("<head><base href=\""), X.escape_html("url"), F.lit("\">")))
-    size, digest = X.asset(html)
-    return pages(spark, sf).select("page_id", size.alias("bytes"), digest.alias("sha256"))
+    made = F.when(F.expr("page_id % 3 = 1"), F.regexp_replace("html", "</?head>", "")).when(F.expr("page_id % 3 = 2"), F.replace("html", F.lit("<script>"), F.lit("<SCRIPT async src='/a?src=b' type=module>"))).otherwise(F.col("html"))
+    p = pages(spark, sf).select("page_id", replayed(made, "url").alias("html"))
+    size, digest = X.asset("html")
+    return p.select("page_id", size.alias("bytes"), digest.alias("sha256"))
 
 
 def aria_roles(spark, sf):
@@ -524,6 +525,13 @@ def computed_styles(spark, sf):
     return s.select("page_id", "idx", *[F.col("style")[n].alias(n.replace("-", "_")) for n in names])
 
 
+def dom_summaries(spark, sf):
+    """Of each parsed page: title, language, character set, counts, headings and landmarks with role and label."""
+    s = tree.summaries(_parsed(spark, sf))
+    listed = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[x[n] for n in names])), ";")
+    return s.select("page_id", "title", "lang", "charset", "counts.*", listed("headings", "level", "text").alias("headings"), listed("landmarks", "tag", "role", "label").alias("landmarks"))
+
+
 def captured_items(spark, sf):
     """What is kept of each page, from its html by one plan: tree, names, computed styles, boxes made by arithmetic, filters, kinds, the best 240, reading order."""
     e = _parsed(spark, sf)
@@ -558,5 +566,5 @@ QUERIES = {f.__name__: _wide(f) for f in (
     sibling_rank, crop_rects, corner_radii, alpha_bbox, select_listing, patch_selection, site_manifest_totals, bfs_crawl, sitemap_pages, robots_sitemaps, scroll_positions, frame_plan, event_cap,
     state_diff_join, timeline_summary, animation_scores, state_candidates, state_novelty, state_fingerprint, css_time_lists, escapes, ax_tree, output_paths, dom_tree, descendant_counts,
     rounded_masks, agent_elements, page_results, site_manifests, tree_paths, selectors, attribute_maps, accessible_names, tree_filters, image_rules, output_bounds, valid_urls, option_bounds, job_ids, asset_paths,
-    landed_bodies, crawl_urls, resolved_references, computed_styles, captured_items, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
+    landed_bodies, crawl_urls, resolved_references, computed_styles, dom_summaries, captured_items, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
 )}

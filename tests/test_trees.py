@@ -131,3 +131,35 @@ def test_crawl_by_any_spelling(spark):
     pages = spark.createDataFrame([("http://a.example/", html), ("http://A.example:80/p2#x", "<base href='/deep/er/'><a href=last></a>")], "url string, html string")
     got = [r.url for r in crawl.discover(pages, "HTTP://a.example", 50).orderBy("ord").collect()]
     assert got == ["http://a.example/", *(f"http://a.example/p{i}" for i in range(1, 6)), "http://a.example/deep/er/last"]
+
+
+def test_summaries(spark):
+    html = '<html lang=de><head><meta http-equiv=c content="text/html; charset=utf-8"><title> A  b </title><link rel="x STYLESHEET"><style></style></head><h1> One </h1><h2> </h2><h4>no</h4><a href=/x>l</a><a name=y>n</a><nav aria-label=Top>x</nav><footer></footer><div role="search"></div><p role="">p</p><input><button>b</button>'
+    r = tree.summaries(dom.dom_elements(spark.createDataFrame([(1, html), (2, "")], "page_id long, html string"))).orderBy("page_id").collect()
+    assert (r[0].title, r[0].lang, r[0].charset) == ("A b", "de", "UTF-8") and (r[1].title, r[1].lang, r[1].charset) == ("", "", "")
+    assert r[0].counts.asDict() == {"elements": 18, "links": 1, "images": 0, "forms": 0, "inputs": 2, "scripts": 0, "stylesheets": 2} and r[1].counts.elements == 3
+    assert [tuple(h) for h in r[0].headings] == [("h1", "One")]
+    assert [tuple(m) for m in r[0].landmarks] == [("nav", "", "Top"), ("div", "search", ""), ("p", "", "p")]
+
+
+REPLAYS = [
+    ("<html><HEAD class=a><title><script></title>x</HEAD><p a='>'>1", "<html><HEAD class=a>B<title><script></title>x</HEAD><p a='>'>1"),
+    ("<!doctype html>\n<html lang=x>\n<p>1", "<!doctype html>\n<html lang=x><head>B</head>\n<p>1"),
+    ("<!doctype html><p>1", "<!doctype html><head>B</head><p>1"),
+    ("1 < 2", "<head>B</head>1 < 2"),
+    ("<head><!-- <script> --><script>if (a<b) '<head>'</script>", "<head>B<!-- <script> --><script D>if (a<b) '<head>'</script>"),
+    ("<head><Script  SRC = '/a?src=1'\ntype=\"module\" title=' src=x' async>1</Script>", "<head>B<Script  S = '/a?src=1'\nT=\"module\" title=' src=x' async D>1</Script>"),
+    ("<head><script src='' type=''></script><script src=/x/></script>", "<head>B<script src='' D></script><script S=/x/ D></script>"),
+    ('<head><base data-replay-base="true" href="old"><base href=/own>', "<head>B<base href=/own>"),
+]
+
+
+def test_replays(spark):
+    from pyspark.sql import functions as F
+
+    from pagewright.functions import replay as R
+
+    base = f'<base {R.BASE}="true" href="http://h/?a&amp;&quot;">'
+    want = [(a, b.replace("B", base, 1).replace(" D>", f' type="{R.DISABLED}">').replace(" S =", f" {R.SRC} =").replace(" S=", f" {R.SRC}=").replace("\nT=", f"\n{R.TYPE}=")) for a, b in REPLAYS]
+    df = spark.createDataFrame(want, "a string, b string").withColumn("got", R.replayed("a", F.lit('http://h/?a&"')))
+    assert [(r.a, r.got) for r in df.collect()] == want
