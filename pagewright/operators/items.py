@@ -159,3 +159,17 @@ def patch_items(items: DataFrame, chosen: DataFrame, manifest: Column) -> DataFr
     name = F.concat(F.format_string("%03d-", F.col("reading")), F.coalesce(X.truthy("id"), F.format_string("item-%d", F.col("reading"))), F.lit(".png"))
     path = F.concat_ws("/", F.lit("items"), F.coalesce(X.truthy("kind"), F.lit("unknown")), name)
     return picked.withColumn("index", F.col("reading")).withColumn("source", X.resolved_path(manifest, "image")).withColumn("path", path)
+
+
+def patch_documents(pages: DataFrame, picked: DataFrame, created: Column) -> DataFrame:
+    """The document of each page's patch: pages (page_id, job_id, url, manifest), picked as patch_items gives it; a page of which nothing is picked has an empty patch.
+
+    A patch is named after its job, else `patch`, and the time at which it is made; its images lie in its own folder.
+    """
+    made = F.date_format(F.to_utc_timestamp(created, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rows = picked.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("pos", "index", "id", "kind", "source", "path"))).alias("_rows"))
+    kind = rows.schema["_rows"].dataType
+    p = pages.join(rows, "page_id", "left").withColumn("patchId", F.concat(F.coalesce(X.truthy("job_id"), F.lit("patch")), F.lit("-"), F.regexp_replace(made, "[:.]", "-")))
+    p = p.withColumn("outputDir", F.concat(F.lit("patches/"), "patchId")).withColumn("_rows", F.coalesce("_rows", F.array().cast(kind)))
+    listed = F.transform("_rows", lambda r: F.struct(r["index"].alias("index"), r["id"].alias("id"), r["kind"].alias("kind"), r["source"].alias("source"), F.concat_ws("/", F.col("outputDir"), r["path"]).alias("path")))
+    return p.select("page_id", "patchId", "outputDir", F.col("manifest").alias("sourceManifest"), F.coalesce("url", F.lit("")).alias("sourceUrl"), made.alias("createdAt"), F.size("_rows").alias("totalItems"), listed.alias("items"))

@@ -87,6 +87,11 @@ SELECT p.page_id, coalesce(total, 0) AS "totalBlocks", coalesce(total, 0) AS "pa
     "corner_radii": _E + f"SELECT page_id, idx, {_radius(0, 'width')} AS rx, {_radius(0, 'height')} AS ry, {_radius(3, 'width')} AS last_rx, {_radius(3, 'height')} AS last_ry FROM el",
     "alpha_bbox": _E + ", p AS (SELECT page_id || '-' || idx AS item_id, kind, a.x, b.y, (a.x * 31 + b.y * 17 + idx + page_id * 7) % 80 AS alpha, CASE WHEN kind IN ('button', 'badge') THEN 56 ELSE 18 END AS least_alpha FROM ki, (SELECT unnest(range(0, 6)) AS x) a, (SELECT unnest(range(0, 5)) AS y) b) SELECT item_id, kind, min(x) FILTER (alpha >= least_alpha) AS x0, min(y) FILTER (alpha >= least_alpha) AS y0, max(x) FILTER (alpha >= least_alpha) AS x1, max(y) FILTER (alpha >= least_alpha) AS y1 FROM p GROUP BY ALL HAVING max(alpha) >= 32",
     "select_listing": _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, area DESC, priority DESC, idx) AS reading FROM pr) SELECT page_id, reading, reading || '. [' || kind || '] ' || coalesce(nullif(label, ''), 'untitled') || ' (' || width || 'x' || height || '+' || x || '+' || y || ')' AS line FROM r",
+    "patch_documents": _E + f""", {_ITEMS}, k AS (SELECT page_id, c.i, reading, id, kind, file FROM ic JOIN (VALUES (0, 3), (1, 1), (2, 7)) c(i, at_) ON reading = c.at_),
+d AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'job-' || page_id ELSE 'patch' END || '-2023-11-14T22-13-20-123Z' AS patch FROM pages)
+SELECT d.page_id, patch AS "patchId", '/out/' || d.page_id || '/manifest.json' AS "sourceManifest", '2023-11-14T22:13:20.123Z' AS "createdAt", count(k.id) AS "totalItems",
+coalesce(string_agg(reading || '|' || id || '|' || coalesce('/out/' || d.page_id || '/items/' || file, '') || '|patches/' || patch || '/items/' || kind || '/' || printf('%03d', reading) || '-' || id || '.png', ',' ORDER BY i), '') AS listed
+FROM d LEFT JOIN k USING (page_id) GROUP BY d.page_id, patch""",
     "patch_selection": _E + ", r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y, x, area DESC, priority DESC, idx) AS reading FROM pr) SELECT page_id, c.i::BIGINT AS index, idx, kind, count(*) OVER (PARTITION BY page_id) AS total FROM r JOIN (VALUES (1, 3), (2, 1), (3, 7)) c(i, at_) ON r.reading = c.at_",
     "site_manifest_totals": f"SELECT {_ORIGIN} AS origin, count(*) AS total, count(*) FILTER (html LIKE '%</html>%') AS succeeded, count(*) FILTER (html NOT LIKE '%</html>%') AS failed FROM pages GROUP BY ALL",
     "sitemap_pages": "WITH u AS (SELECT 'http://a.example/p' || (page_id % 40) AS url, min(page_id) AS first FROM pages GROUP BY ALL) SELECT row_number() OVER (ORDER BY first) AS ord, url FROM u ORDER BY first LIMIT 25",

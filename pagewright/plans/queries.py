@@ -334,6 +334,17 @@ def patch_selection(spark, sf):
     return out.select("page_id", (F.col("pos") + 1).alias("index"), "idx", "kind", F.col("n").alias("total"))
 
 
+def patch_documents(spark, sf):
+    """The patch of items 3, 1 and 7 of each page: its name, and where each image comes from and goes."""
+    rows = _item_rows(spark, sf).select("page_id", "reading", "item.id", "item.kind", F.col("item.image.path").alias("image"))
+    chosen = spark.range(1).select(F.posexplode(X.item_indexes(F.lit("3,1,x,3,7"), F.lit(240))).alias("pos", "at"))
+    p = pages(spark, sf).select("page_id", F.expr("CASE WHEN page_id % 2 = 0 THEN concat('job-', page_id) END").alias("job_id"), "url", F.concat(F.lit("/out/"), F.col("page_id").cast("string"), F.lit("/manifest.json")).alias("manifest"))
+    picked = items.patch_items(rows, chosen, F.concat(F.lit("/out/"), F.col("page_id").cast("string"), F.lit("/manifest.json")))
+    d = items.patch_documents(p, picked, F.timestamp_millis(F.lit(1700000000123)))
+    listed = F.array_join(F.transform("items", lambda i: F.concat_ws("|", i["index"].cast("string"), i["id"], i["source"], i["path"])), ",")
+    return d.select("page_id", "patchId", "sourceManifest", "createdAt", "totalItems", listed.alias("listed"))
+
+
 def site_manifest_totals(spark, sf):
     p = pages(spark, sf).select(X.origin("url").alias("origin"), F.expr("CASE WHEN html LIKE '%</html>%' THEN 'success' ELSE 'failed' END").alias("status"))
     return items.site_totals(p, "origin")
@@ -566,5 +577,5 @@ QUERIES = {f.__name__: _wide(f) for f in (
     sibling_rank, crop_rects, corner_radii, alpha_bbox, select_listing, patch_selection, site_manifest_totals, bfs_crawl, sitemap_pages, robots_sitemaps, scroll_positions, frame_plan, event_cap,
     state_diff_join, timeline_summary, animation_scores, state_candidates, state_novelty, state_fingerprint, css_time_lists, escapes, ax_tree, output_paths, dom_tree, descendant_counts,
     rounded_masks, agent_elements, page_results, site_manifests, tree_paths, selectors, attribute_maps, accessible_names, tree_filters, image_rules, output_bounds, valid_urls, option_bounds, job_ids, asset_paths,
-    landed_bodies, crawl_urls, resolved_references, computed_styles, dom_summaries, captured_items, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
+    landed_bodies, patch_documents, crawl_urls, resolved_references, computed_styles, dom_summaries, captured_items, animation_phases, animation_summaries, animation_changes, compact_animations, active_targets,
 )}
