@@ -12,7 +12,7 @@ from ..functions import elements as E
 from ..functions import text as X
 from ..functions import urls as U
 from ..functions.replay import replayed
-from ..operators import capture, crawl, geometry, items, styles, timeline, tree
+from ..operators import capture, crawl, geometry, items, masks, styles, timeline, tree
 from ..operators.shared import cut
 from ..sources import dom
 from ..sources import pages as P
@@ -316,8 +316,9 @@ def rounded_masks(spark, sf):
 
 def alpha_bbox(spark, sf):
     k = D.classified(spark, sf).select(F.concat_ws("-", "page_id", "idx").alias("item_id"), "kind", "page_id", "idx")
-    px = k.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("alpha", F.expr("cast((x * 31 + y * 17 + idx + page_id * 7) % 80 AS int)"))
-    return geometry.alpha_boxes(px).select("item_id", "kind", "x0", "y0", "x1", "y1")
+    alpha = F.expr("unhex(array_join(transform(sequence(0, 29), p -> lpad(hex((p % 6 * 31 + p div 6 * 17 + idx + page_id * 7) % 80), 2, '0')), ''))")
+    made = k.select("item_id", "kind", F.lit(6).alias("width"), F.lit(5).alias("height"), alpha.alias("alpha"))
+    return masks.boxes(masks.with_runs(made)).select("item_id", "kind", "x0", "y0", "x1", "y1")
 
 
 def select_listing(spark, sf):
