@@ -196,10 +196,11 @@ def fit(texts: list[str], toxic: list[int], rate: float = 0.1) -> Model:
     """The field and the document's function, from labelled documents; rate: part of all that is toxic."""
     pieces = list(C.pieces(_clean(pa.array(texts, pa.string())), lower=True))
     words: dict[str, int] = {}
+    one: dict[str, str] = {}  # equal words are one object
     token, lengths, docs = [], [], []
     for p in pieces:
         body = p.buf.tobytes()
-        w = [body[a:z].decode("utf-8", "replace") for a, z in zip(p.starts, p.ends)]
+        w = [one.setdefault(x, x) for x in (body[a:z].decode("utf-8", "replace") for a, z in zip(p.starts, p.ends))]
         token += [words.setdefault(x, len(words)) for x in w]
         lengths += np.diff(p.word_of).tolist()
         docs += [w[p.word_of[i] : p.word_of[i + 1]] for i in range(p.n)]
@@ -211,6 +212,7 @@ def fit(texts: list[str], toxic: list[int], rate: float = 0.1) -> Model:
         own[:] = True
     held = ~own if not own.all() else own
     chosen = markers([d for d, t, u in zip(docs, toxic, own) if t and u], [d for d, t, u in zip(docs, toxic, own) if not t and u])
+    del docs, pieces, one
     marked = np.array([w in chosen or any(f in chosen for f in beginnings(w)) for w in words], bool)
     label = (marked[token] & (np.repeat(y, lengths) == 1)).astype(float)
     flat = [slots(w) for w in words]
