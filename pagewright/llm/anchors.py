@@ -232,7 +232,8 @@ def coded(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", label
     if not first:
         return rows.sparkSession.createDataFrame([], schema)
     size = len(first[0].vector)
-    first = [r for r in first if len(r.vector) == size]
+    if any(len(r.vector) != size for r in first):
+        first = named.where("id IS NOT NULL").where(F.size("vector") == size).orderBy("id", "vector").limit(entries).collect()
     start = V.whole(np.array([r.vector for r in first], float), scale)
     books = np.stack(np.split(start, parts, axis=1))
     blocks = _blocks(named.where(F.size("vector") == size), size, parts, scale)
