@@ -57,6 +57,7 @@ def weighed(terms: list[tuple[Column, int]]) -> Column:
 
 
 def aria_role() -> Column:
+    """The role an element has; which tags and input types have which is fixed."""
     t, kind = F.col("tag"), _lc("type")
     out = F.when((t == "a") & (F.coalesce(F.col("href"), F.lit("")) != ""), "link").when(t == "button", "button")
     out = out.when((t == "input") & kind.isin("button", "submit", "reset"), "button").when((t == "input") & (kind == "checkbox"), "checkbox").when((t == "input") & (kind == "radio"), "radio")
@@ -109,7 +110,7 @@ def semantic_type(viewport_height: int = 1000) -> Column:
 
 
 def actions() -> Column:
-    """Ordered actions; needs aria_role."""
+    """Ordered actions; needs aria_role. Which tags, roles and input types allow which is fixed."""
     t, role, kind_ = F.col("tag"), F.col("aria_role"), _lc("type")
     set_ = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     click = (t == "button") | set_("onclick") | ((t == "a") & (F.coalesce(F.col("href"), F.lit("")) != "")) | role.isin("button", "link", "menuitem", "tab", "option") | F.col("expanded").isNotNull() | (t == "summary")

@@ -11,8 +11,14 @@ from ..functions.elements import weighed
 #: What a style may promise to change, for scores and for signals.
 SCORED, SIGNALLED = "transform|opacity|filter", "transform|opacity|filter|clip-path|translate|scale|rotate"
 #: The styles of a snapshot, and those of them that a change is told by.
-SNAPSHOT = "opacity transform filter clipPath visibility display position top left backgroundColor color willChange animationName animationDuration animationDelay animationTimingFunction animationIterationCount animationDirection animationFillMode animationPlayState transitionProperty transitionDuration transitionDelay transitionTimingFunction".split()
-COMPARED = "opacity transform filter clipPath visibility display backgroundColor color animationPlayState".split()
+SNAPSHOT = [
+    "opacity", "transform", "filter", "clipPath", "visibility", "display", "position", "top", "left", "backgroundColor", "color", "willChange",
+    "animationName", "animationDuration", "animationDelay", "animationTimingFunction", "animationIterationCount", "animationDirection",
+    "animationFillMode", "animationPlayState", "transitionProperty", "transitionDuration", "transitionDelay", "transitionTimingFunction",
+]
+COMPARED = [
+    "opacity", "transform", "filter", "clipPath", "visibility", "display", "backgroundColor", "color", "animationPlayState",
+]
 
 
 def first_events(events: DataFrame, by: str, order: list[str], most: int = 400) -> DataFrame:

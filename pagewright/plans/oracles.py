@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import text as X
 from ..sources import pages as P
 from .data import ELEMENTS_SQL, TREE_SQL
 from .queries import HEADING, REFERENCES
@@ -11,7 +12,7 @@ _E = f"WITH {ELEMENTS_SQL}\n"
 _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 _SLUG = f"coalesce(nullif(substr(regexp_replace(regexp_replace(lower(coalesce(nullif(regexp_extract(regexp_replace({_PATH}, '/+$', ''), '([^/]*)$', 1), ''), regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), ''), 'capture')"
-_BLANK = "[\\t\\n\\x{0b}\\f\\r \\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]+"
+_BLANK = X.BLANK
 _PLAIN = P.plain_sql("html")
 _quoted = lambda p: p.replace("'", "''")
 _found = lambda p, name: f"list_transform(regexp_extract_all(h, '{_quoted(p)}', 1), lambda v: {{'href': regexp_replace(v, '^[\"'']|[\"'']$', '', 'g'), 'source': '{name}'}})"
