@@ -61,6 +61,7 @@ def bundles(docs: DataFrame, key: str, text: str, lang: str, blocks: int) -> Dat
                 out[2].append(b.column(2).take(pa.array(part)).to_pylist())
                 out[3].append([len(d) for d in data])
                 out[4].append(pack.compress(b"".join(data)))
+            C.release()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(b.column(1).type)), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.binary())], names=["block", "keys", "langs", "sizes", "texts"])
 
     return rows.mapInArrow(run, f"block int, keys array<{kind}>, langs array<string>, sizes array<int>, texts binary")
@@ -104,6 +105,7 @@ def _keys(points: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _counted(t: pa.Table, trusted: pa.Table) -> pa.Table:
     """block, key, gram and count (in trusted texts) of the distinct n-grams of a block."""
+    C.release()
     good = set(trusted.column("key").to_pylist()) - {None}
     seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -182,6 +184,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     answers = asked.select("block", "key").join(known, "key").select("block", "key", "logp")
 
     def score(t: pa.Table, a: pa.Table) -> pa.Table:
+        C.release()
         h = a.column("key").to_numpy().view(C.U)
         order = np.argsort(h)
         h, logp = h[order], a.column("logp").to_numpy()[order].astype(np.float64)

@@ -111,6 +111,7 @@ def shingled(docs: DataFrame, k: int, key: str, text: str, lower: bool) -> DataF
                     toks.append(None if s in seen else body[6 * lo : 6 * hi])
                     seen.add(s)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(p.first, p.n), pa.array(np.diff(first), pa.int32()), pa.array(sig.view(np.int64), pa.int64(), mask=sig == 0), pa.array(toks, pa.binary())], names=["id", "n", "cls", "tok"])
+            C.release()
 
     return docs.select(key, text).mapInArrow(run, f"id {kind}, n int, cls long, tok binary").withColumn("row", F.monotonically_increasing_id())
 
@@ -169,6 +170,7 @@ def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, mos
 
     def run(batches):
         for b in batches:
+            C.release()
             cls, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             off, data = _body(b.column(2))
             ends = np.cumsum(n)
@@ -235,6 +237,7 @@ def _pairs_of_group(percent: int):
     """Candidates (a, b, u, v) of some lists, as to_others groups them."""
 
     def run(t: pa.Table) -> pa.Table:
+        C.release()
         t = t.sort_by([("token", "ascending"), ("pair", "ascending")]).combine_chunks()
         cls, label, side = (t.column(c).to_numpy() for c in ("cls", "label", "side"))
         lists = np.stack([t.column("token").to_numpy(), t.column("pair").to_numpy()])
@@ -367,6 +370,7 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
         def run(batches):
             for b in batches:
+                C.release()
                 ok = [test(*x) for x in zip(*(b.column(len(keep) + k) for k in range(len(rest))))]
                 yield pa.RecordBatch.from_arrays(b.columns[: len(keep)], names=keep).filter(pa.array(ok, pa.bool_()))
 
