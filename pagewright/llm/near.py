@@ -166,26 +166,35 @@ def prefixed(held: DataFrame, percent: int, sketch: np.ndarray, rate: float, mos
     """cls, n, l, prefix (place and token of those in the class's prefix that another class's prefix holds too, in order) and weight (how many those are, in thousandths of the prefix).
 
     A class with fewer than l such tokens is left out: what it holds alone is more than a link allows.
+    Every token of every prefix is moved, so with it go only its row's number, which differs little from the one before and packs
+    well, and no class. Rows that share a token are few; they get their class, one row of each class stays, and its tokens are held against the others' once more.
     """
 
     def run(batches):
         for b in batches:
             C.release()
-            cls, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            at_row, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             off, data = _body(b.column(2))
             ends = np.cumsum(n)
             at = 0
             while at < len(n):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + UNIT, "right")))
                 l, token, row, place = prefixes(n[at:to], _unpack(data[off[at] : off[to]]), percent, sketch, most, rate)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(cls[at:to][row], pa.int64()), pa.array(n[at:to][row], pa.int32()), pa.array(l[row], pa.int32()), pa.array(place, pa.int32())], names=["token", "cls", "n", "l", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(at_row[at:to][row], pa.int64()), pa.array(l[row], pa.int32()), pa.array(place, pa.int32())], names=["token", "row", "l", "place"])
                 at = to
 
-    every = held.where("tok IS NOT NULL").select("cls", "n", "tok").mapInArrow(run, "token long, cls long, n int, l int, place int")
+    def shared(rows: DataFrame) -> DataFrame:
+        """The rows whose token another row holds too."""
+        met = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+        return rows.join(met.hint("merge"), "token")
+
+    filled = held.where("tok IS NOT NULL")
+    every = filled.select("row", "n", "tok").mapInArrow(run, "token long, row long, l int, place int")
+    one = filled.groupBy("cls").agg(F.min("row").alias("row"), F.first("n").alias("n"))  # n is the same in all rows of a class
+    known = C.written(shared(every).join(one.hint("merge"), "row").drop("row"), "shared")
     size = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + F.col("l")
-    met = every.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("last")).where("least < last").select("token")
-    shared = every.join(met.hint("merge"), "token").groupBy("cls", "n", "l").agg(F.sort_array(F.collect_set(F.struct("place", "token"))).alias("prefix"))
-    return C.written(shared.where(F.size("prefix") >= F.col("l")).withColumn("weight", (1000 * F.size("prefix") / size).cast("int")), "prefixes")
+    out = shared(known).groupBy("cls", "n", "l").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("prefix"))
+    return C.written(out.where(F.size("prefix") >= F.col("l")).withColumn("weight", (1000 * F.size("prefix") / size).cast("int")), "prefixes")
 
 
 def postings(p: DataFrame) -> DataFrame:

@@ -134,3 +134,25 @@ def test_signatures_bound_the_overlap():
         bound = near.at_most(near.signature(a), near.signature(b), n, m)
         assert common <= bound <= min(n, m) and (abs(n - m) > 100 or bound <= common + 0.5 * (n - common) + 3)
         assert bound == near.at_most(near.signature(b), near.signature(a), m, n)
+
+
+def test_what_a_prefix_token_moves_does_not_grow_with_the_partitions(spark):
+    """More partitions hold fewer tokens of one text each; a row's share of the shuffle stays as it is, so the shuffle grows as the input."""
+    r = random.Random(5)
+    texts = [" ".join(str(r.randrange(10**6)) for _ in range(300)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:200])], "doc_id long, text string").repartition(2)
+    held = near.C.written(near.shingled(df, 4, "doc_id", "text", True), "sets")
+    sc, moved = spark.sparkContext, []
+    for partitions in (4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            sc.setJobGroup(group := f"prefixes {partitions}", "")
+            near.prefixed(held, 85, *near._sketch(held), 16)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            sc._jsc.clearJobGroup()
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+        store = sc._jsc.sc().statusStore()
+        moved.append(sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages))
+    tokens = sum(300 - 3 - -(-85 * 297 // 100) + 1 for _ in texts)
+    assert moved[1] < 1.15 * moved[0], [m / tokens for m in moved]
