@@ -33,7 +33,9 @@ BLOCK_MB = 48.0
 #: Languages up to which their thresholds are broadcast; more are joined by language.
 FEW_LANGUAGES = 10_000
 #: Characters that are turned into arrays at once; a longer single text goes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows and bytes of text that a task puts into bundles together; distinct n-grams of chunks that are merged at once; n-grams that are turned to text at once.
+BUNDLE_ROWS, BUNDLE, MERGE, SLICE = 10_000, 24 << 20, 1 << 17, 1 << 16
 START = "\x02"
 
 
@@ -48,21 +50,32 @@ def bundles(docs: DataFrame, key: str, text: str, lang: str, blocks: int) -> Dat
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=9)
-        for b in batches:
-            block = b.column(0).to_numpy()
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order])) + 1
+        held: dict[int, tuple[list, list, list]] = {}  # keys, langs and texts of each block
+        rows = size = 0
+
+        def bundled(key_type: pa.DataType) -> pa.RecordBatch:
             out = [[], [], [], [], []]
-            for part in np.split(order, cuts) if len(order) else []:
-                t = b.column(3).take(pa.array(part))
-                data = [s.encode("utf-8", "surrogatepass") for s in t.to_pylist()]
-                out[0].append(int(block[part[0]]))
-                out[1].append(b.column(1).take(pa.array(part)).to_pylist())
-                out[2].append(b.column(2).take(pa.array(part)).to_pylist())
+            for block in sorted(held):
+                keys, langs, data = held.pop(block)
+                out[0].append(block)
+                out[1].append(keys)
+                out[2].append(langs)
                 out[3].append([len(d) for d in data])
                 out[4].append(pack.compress(b"".join(data)))
             C.release()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(b.column(1).type)), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.binary())], names=["block", "keys", "langs", "sizes", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(key_type)), pa.array(out[2], pa.list_(pa.string())), pa.array(out[3], pa.list_(pa.int32())), pa.array(out[4], pa.binary())], names=["block", "keys", "langs", "sizes", "texts"])
+
+        for b in batches:
+            for block, *row, t in zip(*(c.to_pylist() for c in b.columns)):
+                data = t.encode("utf-8", "surrogatepass")
+                for column, x in zip(held.setdefault(block, ([], [], [])), (*row, data)):
+                    column.append(x)
+                rows, size = rows + 1, size + len(data)
+                if rows >= BUNDLE_ROWS or size >= BUNDLE:
+                    yield bundled(b.column(1).type)
+                    rows = size = 0
+        if held:
+            yield bundled(b.column(1).type)
 
     return rows.mapInArrow(run, f"block int, keys array<{kind}>, langs array<string>, sizes array<int>, texts binary")
 
@@ -70,8 +83,9 @@ def bundles(docs: DataFrame, key: str, text: str, lang: str, blocks: int) -> Dat
 def _chunks(t: pa.Table):
     """(keys, langs, code points led by marks, first position of each text and the end) of about CHUNK characters."""
     unpack = zstandard.ZstdDecompressor()
-    for keys, langs, sizes, texts in zip(*(t.column(c).to_pylist() for c in ("keys", "langs", "sizes", "texts"))):
-        data, at, i = unpack.decompress(texts), 0, 0
+    for bundle in range(t.num_rows):
+        keys, langs, sizes = (t.column(c)[bundle].as_py() for c in ("keys", "langs", "sizes"))
+        data, at, i = unpack.decompress(t.column("texts")[bundle].as_buffer()), 0, 0
         while i < len(keys):
             j, size = i, 0
             while j < len(keys) and (j == i or size + sizes[j] <= CHUNK):
@@ -125,7 +139,7 @@ def _counted(t: pa.Table, trusted: pa.Table) -> pa.Table:
             n = np.zeros(len(u), np.int64)
         grams = np.stack([points[at[one] + j] for j in range(ORDER)], 1) if len(u) else np.empty((0, ORDER), np.uint32)
         seen.append((u, n, grams))
-        if len(seen) >= 8:
+        if sum(len(s[0]) for s in seen[1:]) >= max(MERGE, len(seen[0][0]) // 2):
             merge()
     if not seen:
         return pa.table({"block": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "gram": pa.array([], pa.string()), "count": pa.array([], pa.int64())})
@@ -133,9 +147,9 @@ def _counted(t: pa.Table, trusted: pa.Table) -> pa.Table:
     key, count, grams = seen[0]
     flat = np.ascontiguousarray(grams.astype("<u4"))
     text = flat.tobytes().decode("utf-32-le", "surrogatepass")
-    text = [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+    text = pa.chunked_array([pa.array([text[i : i + ORDER] for i in range(at, min(at + ORDER * SLICE, len(text)), ORDER)], pa.string()) for at in range(0, len(text), ORDER * SLICE)], pa.string())
     block = t.column("block")[0].as_py() if t.num_rows else 0
-    return pa.table({"block": pa.array(np.full(len(key), block), pa.int32()), "key": pa.array(key.view(np.int64), pa.int64()), "gram": pa.array(text, pa.string()), "count": pa.array(count, pa.int64())})
+    return pa.table({"block": pa.array(np.full(len(key), block), pa.int32()), "key": pa.array(key.view(np.int64), pa.int64()), "gram": text, "count": pa.array(count, pa.int64())})
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
@@ -209,7 +223,8 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """key, lang, n_chars, perplexity, threshold and kept of every row."""
     good = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(key).distinct()
     held = F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5)) == 0
-    scored = C.written(perplexities(docs, good.where(~held), key, text, lang), "perplexity")
+    with C.small_batches(docs.sparkSession):
+        scored = C.written(perplexities(docs, good.where(~held), key, text, lang), "perplexity")
     sample = scored.join(good.withColumn("_held", held), key).where("perplexity IS NOT NULL")
     at = lambda x: F.percentile_approx(x, quantile, 10000)
     by = sample.groupBy(F.col("lang").alias("_lang")).agg(at(F.when(F.col("_held"), F.col("perplexity"))).alias("_own"), F.count_if("_held").alias("_n"), at("perplexity").alias("_all"))

@@ -48,6 +48,8 @@ MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
 VERIFY = 16.0
 SKETCH_BITS = 18
 BITMAP_BITS = 24
+#: Classes that a task remembers, so that it gives the set of a class once among so many.
+SEEN = 10_000
 
 
 def sets(p: C.Piece, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,12 +99,14 @@ def _body(column) -> tuple[np.ndarray, memoryview]:
 
 
 def shingled(docs: DataFrame, k: int, key: str, text: str, lower: bool) -> DataFrame:
-    """id, n, cls (null for an empty set), tok and row of every row; tok (sorted tokens of 6 bytes) only where a batch first meets the class; row: a number."""
+    """id, n, cls (null for an empty set), tok and row of every row; tok (sorted tokens of 6 bytes) where a task meets a class that it does not remember; row: a number."""
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
+        seen: set[int] = {0}
         for b in batches:
-            seen: set[int] = {0}
+            if len(seen) > SEEN:
+                seen = {0}
             for p in C.pieces(b.column(1), lower):
                 token, first, sig = sets(p, k)
                 body = _pack(token >> C.U(16))
@@ -399,11 +403,8 @@ def verified(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return filtered(_with_both(near, _passing(rows, held, "tok")).drop("row_a", "row_b"), names, link)
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", lower: bool = True, most: int = MATCHES[-1]) -> DataFrame:
-    """key, n_shingles and component_id (least key that links lead to) of every row.
-
-    Two sets link when 100 * size of intersection >= percent * size of union. most: the largest l.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int, key: str, text: str, lower: bool, most: int) -> DataFrame:
+    """What near_groups returns; the tasks in Python have ended by then."""
     held = C.written(shingled(docs, k, key, text, lower), "sets")
     rows = held.select("id", "n", "cls")
     p = prefixed(held, percent, *_sketch(held), most)
@@ -425,6 +426,15 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", lower: bool = True, most: int = MATCHES[-1]) -> DataFrame:
+    """key, n_shingles and component_id (least key that links lead to) of every row.
+
+    Two sets link when 100 * size of intersection >= percent * size of union. most: the largest l.
+    """
+    with C.small_batches(docs.sparkSession):
+        return _grouped(docs, k, percent, key, text, lower, most)
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the members of a group other than the one with the least key; rows without key stay."""
     out = near_groups(docs, k, percent, key, text).where(F.col(key) != F.col("component_id")).select(key).distinct()

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 LENGTH, SEED = 50, 5
+#: Rows whose words are cut out at once.
+ROWS = 1000
 
 
 def retained(p: C.Piece, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +153,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
     joined = docs.join(cuts.toDF(key, "".join(names) + "_"), key, "left").select(*names, "".join(names) + "_")
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             texts, gone = b.column(at).to_pylist(), []
             for i, cut in enumerate(b.column(len(names)).to_pylist()):
                 if not cut:
