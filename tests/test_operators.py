@@ -175,3 +175,17 @@ def test_patch_items(spark):
     chosen = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "pos int, at int")
     got = [(r["index"], r.source, r.path) for r in items.patch_items(items_, chosen, F.lit("/out/manifest.json")).orderBy("pos").collect()]
     assert got == [(3, "/x.png", "items/link/003-block-003.png"), (1, "/out/a.png", "items/card/001-block-001.png"), (2, "", "items/unknown/002-item-2.png")]
+
+
+def test_arrays_of_a_page_are_made_once(spark):
+    """No test of the size of a page's results makes them before they are made: its labels would be made for each element there."""
+    e = dom.dom_elements(spark.createDataFrame([(1, "<p>x")], "page_id long, html string"))
+    for made in (tree.named(e), tree.paths(e)):
+        assert "size(transform(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_name_the_first_field_inside(spark):
+    html = "<label>a</label><input id=p><label>b<i>c<input id=q></i><input id=r></label><label for=r>d</label><label>e<input type=hidden id=s><i></i></label><input id=t><label for=none>f<input id=u></label>"
+    e = dom.dom_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    names = {r.attrs["id"]: r.accessible_name for r in tree.named(e).where("attrs['id'] IS NOT NULL").collect()}
+    assert names == {"p": "", "q": "bc", "r": "d", "s": "", "t": "", "u": ""}
