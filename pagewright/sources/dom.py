@@ -17,13 +17,24 @@ _ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(p
 #: Elements after which a batch goes on; characters of an element's content that are kept, as many as any rule looks at.
 ROWS, CONTENT = 5000, 240
 #: Fixed value: white space in page text, as in functions/text.py.
-_BLANK = re.compile("[\t\n\x0b\f\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+_BLANK = "\t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Runs of it but for single blanks, which may stay; characters of a text that mostly hold CONTENT characters of it.
+_RUN, _AHEAD = re.compile(f"[ {_BLANK}][ {_BLANK}]+|[{_BLANK}]"), 1000
+
+
+def _begun(text: str) -> str:
+    """The first CONTENT + 2 characters of a text, blanks as one."""
+    out = _RUN.sub(" ", text[:_AHEAD])
+    if len(text) > _AHEAD and len(out) <= CONTENT + 2:  # a run may go on
+        out = _RUN.sub(" ", text)
+    return out[: CONTENT + 2]
 
 
 def numbered(root: Node) -> list[tuple]:
     """The rows of a tree's elements in document order, but for the error."""
     rows: list[list] = []
     pieces: list[str] = []  # of text, blanks as one; each cut, as no content needs more of it
+    sizes: list[int] = []
     spans: list[list[int]] = []
     todo: list[tuple] = [(root, None)]
     while todo:
@@ -33,24 +44,24 @@ def numbered(root: Node) -> list[tuple]:
             spans[parent][1] = len(pieces)
             continue
         if isinstance(node, str):
-            pieces.append(_BLANK.sub(" ", node)[: CONTENT + 2])
+            piece = _begun(node)
+            pieces.append(piece)
+            sizes.append(len(piece.strip(" ")))
             continue
         me = len(rows)
         above = [] if parent is None else [*rows[parent][8], parent]
-        own = _BLANK.sub(" ", "".join(k for k in node.kids if isinstance(k, str))).strip(" ")
+        own = _RUN.sub(" ", "".join([k for k in node.kids if isinstance(k, str)])).strip(" ") if node.kids else ""
         rows.append([me, parent, len(above), me, node.tag, list(node.attrs.items()), own, None, above])
         spans.append([len(pieces), 0])
         todo.append((None, me))
         todo += [(k, me) for k in reversed(node.kids)]
     for row, (first, end) in zip(rows, spans):
-        taken, size = [], 0
-        for k in range(first, end):
-            taken.append(pieces[k])
-            size += len(pieces[k].strip(" "))
-            if size > CONTENT:
-                break
-        text = "".join(taken)
-        row[7] = _BLANK.sub(" ", text).strip(" ")[:CONTENT] or text[:1]
+        last, size = first, 0
+        while last < end and size <= CONTENT:
+            size += sizes[last]
+            last += 1
+        text = pieces[first] if last == first + 1 else _RUN.sub(" ", "".join(pieces[first:last]))
+        row[7] = text.strip(" ")[:CONTENT] or text[:1]
     return [tuple(r) for r in rows]
 
 
@@ -95,13 +106,17 @@ def dom_elements(pages: DataFrame) -> DataFrame:
     return dom_rows(pages).where("error IS NULL").drop("error")
 
 
-def descendant_counts(elements: DataFrame, wanted: Column, most: int = 4) -> DataFrame:
-    """page_id, idx and n, how many wanted descendants each element (page_id, idx, last) has, at most `most`.
+def with_descendants(elements: DataFrame, wanted: dict[str, Column], most: int = 4) -> DataFrame:
+    """Elements (page_id, idx, last; whole pages) with how many wanted descendants each has, at most `most`, by name.
 
-    A running count of wanted elements is taken at the last element inside one and at itself: one window and one
-    join by equal keys.
+    A running count of wanted elements is taken at the last element inside one and at itself. Of the elements that end with the same one
+    this has the largest count, so two windows are enough; both are within a page.
     """
-    count = F.count_if(wanted).over(W.partitionBy("page_id").orderBy("idx"))
-    at = elements.select("page_id", "idx", "last", count.alias("seen"))
-    ends = at.select(F.col("page_id"), F.col("idx").alias("last"), F.col("seen").alias("to"))
-    return at.join(ends, ["page_id", "last"]).select("page_id", "idx", F.least(F.col("to") - F.col("seen"), F.lit(most)).alias("n"))
+    run, ends = W.partitionBy("page_id").orderBy("idx").rowsBetween(W.unboundedPreceding, 0), W.partitionBy("page_id", "last")
+    counted = elements.withColumns({f"_{n}": F.count_if(c).over(run) for n, c in wanted.items()})
+    return counted.withColumns({n: F.least(F.max(f"_{n}").over(ends) - F.col(f"_{n}"), F.lit(most)) for n in wanted}).drop(*[f"_{n}" for n in wanted])
+
+
+def descendant_counts(elements: DataFrame, wanted: Column, most: int = 4) -> DataFrame:
+    """page_id, idx and n, how many wanted descendants each element (page_id, idx, last) has, at most `most`."""
+    return with_descendants(elements, {"n": wanted}, most).select("page_id", "idx", "n")

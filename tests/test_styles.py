@@ -37,3 +37,16 @@ def test_children_below_descendants(spark):
     e = dom.dom_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
     got = {r.text: r.style["color"] for r in e.join(styles.computed_styles(e, ["color"]), ["page_id", "idx"]).where("tag = 'u'").collect()}
     assert got == {"1": "red", "2": "blue", "3": "rgb(0, 0, 0)"}
+
+
+def test_elements_are_moved_once(spark):
+    e = dom.dom_elements(spark.createDataFrame([(1, PAGE)], "page_id long, html string"))
+    plan = styles.computed_styles(e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_keywords_and_displays_in_any_case(spark):
+    html = "<style>u { DISPLAY: BLOCK; color: Red; opacity: .5 } i { display: Inherit; color: UNSET; opacity: Inherit } b { display: revert; color: INITIAL }</style><u id=u>1<i id=i>2</i><b id=b>3</b></u>"
+    e = dom.dom_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
+    got = {r.attrs["id"]: [r.style[n] for n in ("display", "color", "opacity")] for r in e.join(styles.computed_styles(e, ["display", "color", "opacity"]), ["page_id", "idx"]).where("attrs['id'] IS NOT NULL").collect()}
+    assert got == {"u": ["block", "Red", ".5"], "i": ["block", "Red", ".5"], "b": ["inline", "rgb(0, 0, 0)", "1"]}
