@@ -47,7 +47,8 @@ def without_near_copies(items: DataFrame, kind: str = "kind") -> DataFrame:
     cut = F.when(F.col("y") - F.lag("y").over(w) > 2, 1).otherwise(0)
     group = items.withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
     rest = [c for c in items.columns if c not in ("page_id", kind)]
-    rows = group.groupBy("page_id", kind, "_run").agg(F.sort_array(F.collect_list(F.struct(-F.col("priority"), -F.col("area"), "idx", *[F.col(c) for c in rest if c != "idx"]))).alias("_all"))
+    before = lambda a, b: F.when(a["_by"] < b["_by"], -1).when(a["_by"] > b["_by"], 1).otherwise(0)
+    rows = group.groupBy("page_id", kind, "_run").agg(F.array_sort(F.collect_list(F.struct(F.struct(-F.col("priority"), -F.col("area"), "idx").alias("_by"), *rest)), before).alias("_all"))
     kept = F.aggregate("_all", F.filter("_all", lambda x: F.lit(False)), lambda done, x: F.when(F.exists(done, lambda k: near(k, x)), done).otherwise(F.array_append(done, x)))
     return rows.select("page_id", kind, F.explode(kept).alias("_k")).select("page_id", kind, *[F.col(f"_k.{c}").alias(c) for c in rest])
 

@@ -47,3 +47,16 @@ def test_frames_and_paint_decide(spark):
     """Without its painted descendants the frame is one large card by paint alone; without paint it goes."""
     plain = HTML.replace("<div id=frame class=paint>", "<div id=frame>")
     assert [k for k, _ in kept(spark, html=plain)] == ["b2", "card", "l", "in", "r"]
+
+
+def test_what_is_inside_needs_no_box(spark):
+    """An element stays if the last one inside it has no box."""
+    got = kept(spark, html=HTML.replace('class="card paint">c</div>', 'class="card paint">c<script id=boxless></script></div>'))
+    assert [k for k, _ in got] == ["b2", "card", "l", "in", "frame", "r"]
+
+
+def test_pages_are_moved_once(spark):
+    e = capture.described(dom.dom_elements(spark.createDataFrame([(1, HTML)], "page_id long, html string")))
+    e = e.selectExpr("*", *[f"cast(idx AS double) AS {n}" for n in ("x", "y", "width", "height")], *[f"0 AS {n}" for n in ("scroll_height", "client_height", "scroll_width", "client_width")])
+    plan = capture.kept(e)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan
