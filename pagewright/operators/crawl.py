@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as X
 from ..functions import urls as U
 from ..sources import pages as P
-from .shared import set_folder
+from .shared import cut, set_folder
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
@@ -40,7 +40,8 @@ def discover(pages: DataFrame, start: str, most: int, sitemaps: DataFrame | None
 
     pages: url and html of what was fetched; a page that wasn't is found but leads nowhere. Links and form actions
     of the same origin count, without query and fragment, but for assets. The queue holds start, then the
-    pages of sitemaps (ord, body), then what each page links to, in order.
+    pages of sitemaps (ord, body), then what each page links to, in order. Links are taken from pages once, into a table
+    that is checkpointed: each level joins it.
     """
     spark = pages.sparkSession
     first = spark.createDataFrame([(start,)], "url string").select(U.page_url("url").alias("node"), U.origin_of(U.page_url("url")).alias("origin"), F.lit(0).alias("ord"))
@@ -51,4 +52,4 @@ def discover(pages: DataFrame, start: str, most: int, sitemaps: DataFrame | None
     if sitemaps is not None:
         listed = P.sitemap_pages(sitemaps, origin, most).where(F.col("url") != home)
         seeds = seeds.unionByName(listed.select(F.col("url").alias("node"), F.col("ord").cast("int").alias("ord")))
-    return bfs(inside(found), seeds, most).withColumnRenamed("node", "url")
+    return bfs(cut(inside(found)), seeds, most).withColumnRenamed("node", "url")

@@ -189,3 +189,19 @@ def test_labels_name_the_first_field_inside(spark):
     e = dom.dom_elements(spark.createDataFrame([(1, html)], "page_id long, html string"))
     names = {r.attrs["id"]: r.accessible_name for r in tree.named(e).where("attrs['id'] IS NOT NULL").collect()}
     assert names == {"p": "", "q": "bc", "r": "d", "s": "", "t": "", "u": ""}
+
+
+def test_links_are_taken_once(spark):
+    """Neither is the array of a page's links tested for its size first, nor does a level of a crawl take links again."""
+    pages = spark.createDataFrame([(f"http://a/{i}", f"<a href='/{i + 1}'>n</a>") for i in range(3)], "url string, html string")
+    found = P.links(pages.selectExpr("0 AS page_id", "*"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(filter(" not in found
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = [r.url for r in crawl.discover(pages.mapInArrow(through, pages.schema), "http://a/0", 9).orderBy("ord").collect()]
+    assert got == [f"http://a/{i}" for i in range(4)] and seen.value == 3
